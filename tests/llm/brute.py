@@ -49,3 +49,43 @@ def removed_words(rows, size=35):
             for k, i in at:
                 out[k].update(range(i, i + size))
     return out
+
+
+def measures(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    tri = {}
+    for i in range(len(w) - 2):
+        tri.setdefault(tuple(w[i : i + 3]), []).append(i)
+    hit = {j for at in tri.values() if len(at) > 1 for i in at for j in range(i, i + 3)}
+    return (
+        len(w),
+        sum(len(x.decode()) for x in w),
+        sum(c in "#*$%&|<>" for c in text or ""),
+        len(lines) - len(set(lines)),
+        len(hit),
+    )
+
+
+def contaminated(text, items, size=5, percent=80):
+    """Ids of the items that some window of ``text`` is alike."""
+    from collections import Counter
+
+    def grams(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    w, out = (text or "").lower().encode().split(), set()
+    for item, t in items:
+        v = (t or "").lower().encode().split()
+        if not v:
+            continue
+        k, n = min(size, len(v)), min(len(v), len(w))
+        b = grams(v, k)
+        for s in range(len(w) - n + 1):
+            a = grams(w[s : s + n], k)
+            both = sum((a & b).values())
+            if both and 100 * both >= percent * (sum(a.values()) + sum(b.values()) - both):
+                out.add(item)
+                break
+    return out
