@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.llm import oracle
 from quillmatch.llm.chat import digests, format_windows
 from quillmatch.llm.common import table
 from quillmatch.llm.decontaminate import contamination
@@ -104,4 +105,12 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+#: Sharding (iterative), packing (tokenizer), decontamination (windows by items) and
+#: the two trained scorers have no SQL; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": oracle.near_duplicates(4, 80),
+    "op5_quality_rules": oracle.QUALITY,
+    "op6_substring_dedup": oracle.substring(35),
+    "op7_url_filters": oracle.urls(URL_RULES),
+    "op10_chat_formatting": oracle.chat(1024, 256),
+}
