@@ -168,6 +168,10 @@ def clean(text: Column, limit: int) -> Column:
     return F.when(F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("..."))).otherwise(t)
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def split_eligibility(text: Column) -> Column:
     """struct(inclusion, exclusion) by the first headings of either kind."""
     text = F.coalesce(text, F.lit(""))
@@ -175,15 +179,15 @@ def split_eligibility(text: Column) -> Column:
         F.regexp_extract(text, rf"(?is)^(.*?)({w}\s*criteria\s*:?)", 2) for w in ("inclusion", "exclusion")
     )
     at = lambda mark: F.when(mark != "", F.instr(F.lower(text), F.lower(mark)))
-    tail = lambda pos, mark: F.trim(F.substring(text, pos + F.length(mark), F.length(text)))
+    tail = lambda pos, mark: strip(F.substring(text, pos + F.length(mark), F.length(text)))
     i, e = at(inc), at(exc)
     start = i + F.length(inc)
     both = i.isNotNull() & e.isNotNull() & (i < e)
     return F.struct(
-        F.when(both, F.trim(F.substring(text, start, e - start)))
+        F.when(both, strip(F.substring(text, start, e - start)))
         .when(i.isNotNull() & e.isNull(), tail(i, inc))
-        .when(i.isNull() & e.isNotNull(), F.trim(F.substring(text, F.lit(1), e - 1)))
-        .otherwise(F.trim(text))
+        .when(i.isNull() & e.isNotNull(), strip(F.substring(text, F.lit(1), e - 1)))
+        .otherwise(strip(text))
         .alias("inclusion"),
         F.when(both | (i.isNull() & e.isNotNull()), tail(e, exc)).otherwise(F.lit("")).alias("exclusion"),
     )

@@ -202,8 +202,8 @@ SPLIT_TEXT = r"""(CASE doc_id % 4 WHEN 0 THEN 'Inclusion Criteria: ' || split(co
         WHEN 1 THEN 'Inclusion Criteria: ' || text WHEN 2 THEN split(coalesce(text, ''), chr(10))[1] || ' exclusion criteria: x y' ELSE text END)"""
 SPLIT = rf"""WITH a AS (SELECT doc_id, t, regexp_extract(t, '(?is)inclusion\s*criteria\s*:?') AS im, regexp_extract(t, '(?is)exclusion\s*criteria\s*:?') AS em FROM (SELECT doc_id, coalesce({SPLIT_TEXT}, '') AS t FROM documents)),
       b AS (SELECT *, CASE WHEN im <> '' THEN strpos(t, im) END AS i, CASE WHEN em <> '' THEN strpos(t, em) END AS e FROM a)
-      SELECT doc_id, md5(trim(CASE WHEN i < e THEN substr(t, i + length(im), e - i - length(im)) WHEN i IS NOT NULL AND e IS NULL THEN substr(t, i + length(im)) WHEN i IS NULL AND e IS NOT NULL THEN substr(t, 1, e - 1) ELSE t END)) AS inclusion,
-        md5(CASE WHEN i < e OR (i IS NULL AND e IS NOT NULL) THEN trim(substr(t, e + length(em))) ELSE '' END) AS exclusion FROM b"""
+      SELECT doc_id, md5(regexp_replace(CASE WHEN i < e THEN substr(t, i + length(im), e - i - length(im)) WHEN i IS NOT NULL AND e IS NULL THEN substr(t, i + length(im)) WHEN i IS NULL AND e IS NOT NULL THEN substr(t, 1, e - 1) ELSE t END, '^\s+|\s+$', '', 'g')) AS inclusion,
+        md5(CASE WHEN i < e OR (i IS NULL AND e IS NOT NULL) THEN regexp_replace(substr(t, e + length(em)), '^\s+|\s+$', '', 'g') ELSE '' END) AS exclusion FROM b"""
 
 PHASE_TEXT = "CASE p_size % 8 WHEN 0 THEN 'Phase 1' WHEN 1 THEN 'phase 2/phase 3' WHEN 2 THEN 'PHASE3' WHEN 3 THEN 'Early Phase 1' WHEN 4 THEN 'Phase 1/Phase 2' WHEN 5 THEN 'N/A' WHEN 6 THEN '' ELSE 'Phase 4' END"
 
