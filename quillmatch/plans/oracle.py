@@ -114,9 +114,9 @@ def evidence() -> str:
         least(1, rq / greatest(it + 0.45::DOUBLE * et, 1e-9))::DOUBLE AS g FROM sums),
       thin AS (SELECT p.*, fraction_nei, CASE WHEN {label('benchmark')} = 'eligible' THEN CASE WHEN n_inc = 0 OR inc_met = 0 THEN 0.12::DOUBLE WHEN inc_met <= 1 AND b < 0.35::DOUBLE THEN 0.10::DOUBLE
         WHEN inc_met <= 1 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN fraction_nei >= 0.65::DOUBLE THEN 0.04::DOUBLE ELSE 0 END ELSE 0 END::DOUBLE AS t FROM parts p JOIN counts USING (trial))
-      SELECT trial, round(a, 6) AS inclusion_support, round(b, 6) AS substantive_support, round(c, 6) AS inclusion_failure, round(d, 6) AS exclusion_clear, round(e, 6) AS exclusion_penalty,
-        round(f, 6) AS exclusion_unknown, round(g, 6) AS missing_required, round(t, 6) AS thin,
-        round(least(1, greatest(0, 0.38 * a + 0.30 * b + 0.12 * d + 0.10 * (1 - fraction_nei) - 0.45 * c - 0.72 * e - 0.06 * f - 0.42 * g - t)), 6)::DOUBLE AS evidence FROM thin"""
+      SELECT trial, round(a + 1e-9, 6) AS inclusion_support, round(b + 1e-9, 6) AS substantive_support, round(c + 1e-9, 6) AS inclusion_failure, round(d + 1e-9, 6) AS exclusion_clear, round(e + 1e-9, 6) AS exclusion_penalty,
+        round(f + 1e-9, 6) AS exclusion_unknown, round(g + 1e-9, 6) AS missing_required, round(t + 1e-9, 6) AS thin,
+        round(least(1, greatest(0, 0.38 * a + 0.30 * b + 0.12 * d + 0.10 * (1 - fraction_nei) - 0.45 * c - 0.72 * e - 0.06 * f - 0.42 * g - t)) + 1e-9, 6)::DOUBLE AS evidence FROM thin"""
 
 
 def metrics(linear: bool) -> str:
@@ -245,6 +245,76 @@ def mmr(keep: int, total: int) -> str:
       SELECT topic_id, unnest(ids) AS doc_id, unnest(range(1, len(ids) + 1))::INTEGER AS place FROM sel QUALIFY step = max(step) OVER (PARTITION BY topic_id)"""
 
 
+CRITERIA = (
+    "Age 18 years or older", "Male or female", "ECOG performance status 0-1", "HER2 positive by IHC", "Prior chemotherapy within 4 weeks",
+    "Adequate organ function", "Pregnant or breast-feeding women", "Active HIV infection", "Histologically confirmed melanoma",
+    "Able to give informed consent", "Radiotherapy:", "See Disease Characteristics", "Inclusion Criteria:", "Creatinine < 1.5 mg/dL:",
+    "Likes long walks", "- Platelets >= 100,000", "For control participants", "EGFR mutation or normal eGFR", "", "Arm 1:",
+)
+CRITERION = "crit AS (SELECT p_partkey, (['" + "', '".join(CRITERIA) + f"'])[((p_partkey * 7 + p_size) % {len(CRITERIA)} + 1)::INT] AS t FROM part)"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _bare(t: str) -> str:
+    return rf"regexp_replace({_STRIP.format(t)}, '^\s*(?:[-*•·]|\d+\.)\s*', '')"
+
+
+def _low(t: str) -> str:
+    return _STRIP.format(f"regexp_replace(lower({_bare(t)}), ':+$', '')")
+
+
+def _hit(t: str, patterns) -> str:
+    return "regexp_matches(" + t + ", '" + "|".join(f"(?:{_re(p)})" for p in patterns) + "')"
+
+
+def header(t: str) -> str:
+    short = f"({_bare(t)} LIKE '%:' AND len(regexp_extract_all({_low(t)}, '{X.HEADER_WORD}')) <= 8 AND NOT regexp_matches({_low(t)}, '{X.HEADER_NOT}'))"
+    return f"({_bare(t)} <> '' AND ({_low(t)} IN {_in(X.HEADER_HINTS)} OR {_hit(_low(t), X.HEADER_REFERENCES)} OR {short}))"
+
+
+def typed() -> str:
+    cases = " ".join(f"WHEN {_hit('low', p)} THEN '{name}'" for name, p in X.CRITERION_TYPES)
+    return f"WITH {CRITERION} SELECT p_partkey, CASE WHEN {header('t')} THEN 'section_header' {cases} ELSE 'other' END AS type FROM (SELECT *, ' ' || lower(t) || ' ' AS low FROM crit)"
+
+
+def asked(t: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({t}), '{h}')" for h in hints) + f" THEN '{name}'" for name, hints in X.QUESTION_HINTS) + " ELSE 'text' END"
+
+
+SEGMENTS = f"""WITH l AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN '- ' || x WHEN 2 THEN ' ' WHEN 3 THEN 'Organ function:' ELSE x END AS raw
+        FROM (SELECT doc_id, unnest(split(coalesce(text, ''), chr(10))) AS x, unnest(range(0, len(split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+      k AS (SELECT doc_id, i, {_STRIP.format('raw')} AS line FROM l),
+      j AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '{X.BULLET}') THEN 'bullet' WHEN {header('line')} THEN 'header' ELSE 'more' END AS kind FROM k),
+      b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM j),
+      c AS (SELECT *, sum(CASE WHEN kind IN ('bullet', 'header') OR before IS NULL OR before IN ('blank', 'header') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS n FROM b WHERE kind <> 'blank')
+      SELECT doc_id, n, md5(string_agg(CASE kind WHEN 'bullet' THEN {_STRIP.format(f"regexp_extract(line, '{X.BULLET}', 1)")} ELSE line END, ' ' ORDER BY i)) AS digest FROM c GROUP BY ALL"""
+
+RUBRIC = f"""WITH {CRITERION}, q AS (SELECT p_partkey, 'Can you confirm the status of: ' || t || CASE WHEN p_partkey % 3 = 0 THEN '?' ELSE '' END AS text, CASE WHEN p_partkey % 2 = 0 THEN t ELSE '' END AS point,
+        p_partkey % 5 = 0 AS timed, {asked('t')} AS kind, CASE WHEN p_partkey % 4 > 0 THEN 'The trial needs it: ' || t ELSE '' END AS why FROM crit),
+      s AS (SELECT p_partkey, CASE WHEN length(point) > 3 THEN 2 WHEN point <> '' THEN 1 ELSE 0 END::DOUBLE AS specific, CASE WHEN timed THEN 2 WHEN contains(lower(text), 'within') THEN 1 ELSE 0 END::DOUBLE AS temporal,
+        CASE WHEN kind <> 'text' THEN 2 ELSE 1 END::DOUBLE AS format, CASE WHEN contains(lower(why), 'trial') AND length(why) > 30 THEN 2 WHEN why <> '' THEN 1 ELSE 0 END::DOUBLE AS rationale_score,
+        CASE WHEN len(regexp_extract_all(text, '\\S+')) BETWEEN 5 AND 60 AND contains(text, '?') THEN 2 ELSE 1 END::DOUBLE AS actionable FROM q)
+      SELECT *, (specific + temporal + format + rationale_score + actionable) / 10 AS normalized FROM s"""
+
+ERRORS = f"""WITH {EVALS}, {COUNTS}, e AS (SELECT *, trial % 3 AS gold, {grade(label('benchmark'))} AS predicted, trial % 2 = 0 AS judged, exc_met > 0 OR mandatory_failed AS veto, (trial % 10)::DOUBLE / 10 AS prior, {ELIG} AS score FROM counts),
+      x AS (SELECT list_filter([CASE WHEN gold = 0 AND predicted > 0 THEN 'retrieval_false_positive' END, CASE WHEN gold = 0 AND predicted > 0 AND judged THEN 'retrieval_false_positive_judged' END,
+        CASE WHEN gold = 0 AND predicted > 0 AND NOT judged THEN 'retrieval_false_positive_unjudged' END, CASE WHEN gold = 2 AND predicted < 2 THEN 'missed_gold_eligible' END,
+        CASE WHEN gold < 2 AND predicted = 2 THEN 'overcalled_eligible' END, CASE WHEN gold = 1 AND predicted <> 1 THEN 'missed_excludes' END,
+        CASE WHEN gold = 2 AND predicted < 2 AND (veto OR score <= -0.99) THEN 'hard_veto_gold_eligible' END, CASE WHEN gold = 2 AND predicted < 2 AND exc_met > 0 THEN 'exclusion_met_gold_eligible' END,
+        CASE WHEN gold = 2 AND predicted < 2 AND n_inc > 0 AND inc_met::DOUBLE / n_inc < 0.6::DOUBLE THEN 'low_inclusion_support_gold_eligible' END,
+        CASE WHEN gold = 2 AND predicted < 2 AND fraction_nei >= 0.6::DOUBLE THEN 'high_nei_gold_eligible' END, CASE WHEN prior < 0.25::DOUBLE THEN 'low_retrieval_prior' END], lambda c: c IS NOT NULL) AS c FROM e WHERE gold <> predicted)
+      SELECT category, count(*) AS n FROM (SELECT unnest(CASE WHEN len(c) = 0 THEN ['generic_disagreement'] ELSE c END) AS category FROM x) GROUP BY ALL"""
+
+FLAGS = f"""WITH {EVALS}, {COUNTS}, {TRIALS} SELECT trial, array_to_string(list_filter([CASE WHEN fraction_nei >= 0.4::DOUBLE THEN 'warning:data_quality' END, CASE WHEN mandatory_failed THEN 'critical:eligibility_mandatory' END,
+        CASE WHEN exc_met > 0 THEN 'critical:eligibility_exclusion' END, CASE WHEN trial % 4 = 0 THEN 'warning:geographic' END, CASE WHEN status NOT IN ('RECRUITING', 'NOT_YET_RECRUITING') THEN 'warning:trial_status' END], lambda c: c IS NOT NULL), ',') AS flags
+      FROM counts JOIN trials USING (trial)"""
+
+GEOGRAPHY = """WITH n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
+      h AS (SELECT c_custkey, lower(CASE c_custkey % 3 WHEN 0 THEN r_name WHEN 1 THEN r_name || ' city' ELSE n_name END) AS home, CASE WHEN c_custkey % 3 = 2 THEN n_name END AS country FROM customer JOIN n ON c_nationkey = n_nationkey),
+      s AS (SELECT c_custkey, s.n_nationkey, CASE WHEN s.n_name = country THEN 1 WHEN contains(lower(s.r_name), home) THEN 0.7 WHEN contains(home, lower(s.r_name)) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM h JOIN n s ON c_custkey % 5 = s.n_regionkey)
+      SELECT c_custkey, coalesce(min_by(score, n_nationkey) FILTER (score > 0), 0)::DOUBLE AS score FROM s GROUP BY c_custkey"""
+
+
 ORACLES = {
     "tok_bm25": f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "tok_entity_stem": f"SELECT doc_id, len(t) AS n, array_to_string(list_sort(t)[1:20], ' ') AS first_terms FROM (SELECT doc_id, {terms('text', True)} AS t FROM documents)",
@@ -312,4 +382,25 @@ ORACLES = {
     "missing_reasons": f"""WITH {QRELS}, {bm25(['all'], 20)}, w AS (SELECT topic_id, doc_id FROM qrels, (SELECT DISTINCT topic_id FROM run) WHERE grade > 0)
         SELECT topic_id, CASE WHEN run.doc_id IS NOT NULL THEN 'retrieved' WHEN w.doc_id % 10 = 7 THEN 'not_in_corpus' WHEN w.doc_id % 10 = 3 THEN 'not_in_index' ELSE 'not_retrieved' END AS reason, count(*) AS n
         FROM w LEFT JOIN run USING (topic_id, doc_id) GROUP BY ALL""",
+    "infer_type": typed(),
+    "section_header": f"WITH {CRITERION} SELECT p_partkey, {header('t')} AS header, CASE WHEN {header('t')} THEN CASE WHEN {_hit(_low('t'), X.HEADER_DROP)} THEN 'drop' ELSE 'merge' END END AS action FROM crit",
+    "question_type": f"WITH {CRITERION} SELECT p_partkey, {asked('t')} AS type FROM crit",
+    "segment_lines": SEGMENTS,
+    "cap_legacy": f"""WITH {EVALS}, r AS (SELECT trial, criterion AS pos, polarity, row_number() OVER (PARTITION BY trial, polarity ORDER BY criterion) AS nth, count(*) FILTER (polarity = 'exclusion') OVER (PARTITION BY trial) AS ne FROM evals),
+      t AS (SELECT *, CASE WHEN polarity = 'inclusion' THEN nth <= CASE WHEN ne > 0 THEN 2 ELSE 4 END ELSE nth <= 2 END AS first FROM r)
+      SELECT trial, pos, polarity FROM t QUALIFY row_number() OVER (PARTITION BY trial ORDER BY first DESC, pos) <= 4""",
+    "question_rubric": RUBRIC,
+    "question_summary": f"SELECT count(*) AS n, round(avg(normalized), 6) AS mean_score, round(avg(specific) / 2, 6) AS specific, round(avg(temporal) / 2, 6) AS temporal, round(avg(format) / 2, 6) AS format, round(avg(rationale_score) / 2, 6) AS rationale_score, round(avg(actionable) / 2, 6) AS actionable FROM ({RUBRIC})",
+    "dossier_completeness": "SELECT c_custkey, round(0.7 * (" + " + ".join(f"(c_custkey % {n} > 0)::INT" for n in (2, 3, 5, 7, 11, 13, 17, 19)) + ") / 8.0::DOUBLE + 0.2 * (" + " + ".join(f"(c_custkey % {n} > 0)::INT" for n in (2, 3, 4, 5)) + ") / 4.0::DOUBLE + CASE WHEN c_acctbal > 0 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS completeness FROM customer",
+    "error_categories": ERRORS,
+    "attention_flags": FLAGS,
+    "geography": GEOGRAPHY,
+    "fill_excluded": f"""WITH {bm25(['all'], 30)}, a AS (SELECT * FROM run WHERE rank <= 5), n AS (SELECT topic_id, count(*) AS n, min(score) AS low FROM a GROUP BY topic_id),
+      x AS (SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS i FROM run WHERE rank > 5 AND doc_id % 2 = 0)
+      SELECT topic_id, doc_id, score, false AS filled FROM a UNION ALL SELECT topic_id, doc_id, round(least(-2, low - 1) + 0.001::DOUBLE * greatest(0, 1 - (i - 1) / (10 - n)), 6), true FROM x JOIN n USING (topic_id) WHERE i <= 10 - n""",
+    "irrelevance_policy": f"""WITH {EVALS}, {COUNTS}, s AS (SELECT *, {label('benchmark')} AS label, (trial % 10)::DOUBLE / 10 <= 0.5::DOUBLE AS low FROM counts)
+      SELECT trial, CASE WHEN label = 'eligible' THEN 'eligible_label' WHEN exc_met > 0 THEN 'explicit_exclusion_met' WHEN mandatory_failed THEN 'mandatory_inclusion_failed'
+        WHEN NOT (fraction_nei >= 0.8::DOUBLE AND inc_met <= 0 AND low) THEN 'missing_core_irrelevance_signals' WHEN 3 + (trial % 2 = 0)::INT + (trial % 3 = 0)::INT < 4 THEN 'insufficient_signals' ELSE 'irrelevant' END AS outcome FROM s""",
+    "index_coverage": f"WITH {QRELS} SELECT grade, count(*) AS judged, count(d.doc_id) AS in_corpus, count(*) FILTER (d.doc_id % 10 <> 3) AS in_index FROM qrels LEFT JOIN documents d USING (doc_id) GROUP BY grade",
+    "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
 }

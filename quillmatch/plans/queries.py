@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.functions import criteria as C
 from quillmatch.functions import fixed as X
 from quillmatch.functions import text as T
 from quillmatch.operators import eligibility as E
 from quillmatch.operators import evaluation as V
+from quillmatch.operators import report as P
 from quillmatch.operators import retrieval as R
 from quillmatch.operators import selection as S
 
@@ -331,7 +333,8 @@ def criterion_evidence(spark, sf_dir):
     evals = evaluations(spark, sf_dir)
     counts = E.trial_counts(evals).withColumn("label", E.trial_label("benchmark"))
     rows = E.evidence(evals, counts)
-    return rows.select("trial", *[F.round(c, 6).alias(c) for c in rows.columns if c not in ("trial", "fraction_nei")])
+    # sums may differ in their last bit by order: a nudge keeps values halfway between two roundings on one side
+    return rows.select("trial", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in rows.columns if c not in ("trial", "fraction_nei")])
 
 
 def label_histogram(spark, sf_dir):
@@ -395,6 +398,141 @@ def missing_reasons(spark, sf_dir):
     return rows.groupBy("topic_id", "reason").agg(F.count("*").alias("n"))
 
 
+# --- criteria and reports -----------------------------------------------------------
+
+CRITERIA = (
+    "Age 18 years or older", "Male or female", "ECOG performance status 0-1", "HER2 positive by IHC", "Prior chemotherapy within 4 weeks",
+    "Adequate organ function", "Pregnant or breast-feeding women", "Active HIV infection", "Histologically confirmed melanoma",
+    "Able to give informed consent", "Radiotherapy:", "See Disease Characteristics", "Inclusion Criteria:", "Creatinine < 1.5 mg/dL:",
+    "Likes long walks", "- Platelets >= 100,000", "For control participants", "EGFR mutation or normal eGFR", "", "Arm 1:",
+)
+
+
+def _criteria(spark, sf_dir):
+    t = F.get(F.array(*map(F.lit, CRITERIA)), F.pmod(F.col("p_partkey") * 7 + F.col("p_size"), F.lit(len(CRITERIA))).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.alias("criterion"))
+
+
+def infer_type(spark, sf_dir):
+    return _criteria(spark, sf_dir).select("p_partkey", C.criterion_type(F.col("criterion")).alias("type"))
+
+
+def section_header(spark, sf_dir):
+    t = F.col("criterion")
+    return _criteria(spark, sf_dir).select("p_partkey", C.is_header(t).alias("header"), C.header_action(t).alias("action"))
+
+
+def question_type(spark, sf_dir):
+    return _criteria(spark, sf_dir).select("p_partkey", C.question_type(F.col("criterion")).alias("type"))
+
+
+def segment_lines(spark, sf_dir):
+    """Documents whose lines become bullets, blanks, headings and continuations in turn."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    marked = F.transform(
+        lines,
+        lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("- "), x)).when(i % 5 == 2, F.lit(" ")).when(i % 5 == 3, F.lit("Organ function:")).otherwise(x),
+    )
+    texts = documents(spark, sf_dir).select("doc_id", F.array_join(marked, "\n").alias("text"))
+    return C.line_chunks(texts, "doc_id").select("doc_id", "n", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+def cap_legacy(spark, sf_dir):
+    rows = evaluations(spark, sf_dir).select("trial", F.col("criterion").alias("pos"), "polarity")
+    return C.cap_balanced(rows, "trial", 4)
+
+
+def _questions(spark, sf_dir):
+    c = _criteria(spark, sf_dir)
+    text = F.concat(F.lit("Can you confirm the status of: "), F.col("criterion"), F.when(F.col("p_partkey") % 3 == 0, "?").otherwise(""))
+    return c.select(
+        "p_partkey",
+        text.alias("question_text"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("criterion")).alias("data_point"),
+        F.when(F.col("p_partkey") % 5 == 0, "30 days").alias("time_window"),
+        C.question_type(F.col("criterion")).alias("expected_data_type"),
+        F.when(F.col("p_partkey") % 4 > 0, F.concat(F.lit("The trial needs it: "), F.col("criterion"))).alias("rationale"),
+    )
+
+
+def question_rubric(spark, sf_dir):
+    return _questions(spark, sf_dir).select("p_partkey", P.rubric().alias("x")).select("p_partkey", "x.*")
+
+
+def question_summary(spark, sf_dir):
+    rows = question_rubric(spark, sf_dir)
+    half = [F.round(F.avg(c) / 2, 6).alias(c) for c in ("specific", "temporal", "format", "rationale_score", "actionable")]
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("normalized"), 6).alias("mean_score"), *half)
+
+
+def dossier_completeness(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    yes = lambda n: F.col("c_custkey") % n > 0
+    need, may = [yes(n) for n in (2, 3, 5, 7, 11, 13, 17, 19)], [yes(n) for n in (2, 3, 4, 5)]
+    return c.select("c_custkey", F.round(P.completeness(need, may, F.col("c_acctbal") > 0), 6).alias("completeness"))
+
+
+def error_categories(spark, sf_dir):
+    rows = E.trial_counts(evaluations(spark, sf_dir)).select(
+        "*",
+        (F.col("trial") % 3).alias("gold"),
+        E.grade(E.trial_label("benchmark")).alias("predicted"),
+        (F.col("trial") % 2 == 0).alias("judged"),
+        E.eligibility_score().alias("score"),
+        ((F.col("exc_met") > 0) | F.col("mandatory_failed")).alias("veto"),
+        (F.col("trial") % 10 / 10).alias("prior"),
+    )
+    rows = rows.where("gold <> predicted").select(F.explode(P.error_categories()).alias("category"))
+    return rows.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def attention_flags(spark, sf_dir):
+    rows = labelled(spark, sf_dir).join(trials(spark, sf_dir), "trial").withColumn("in_country", F.col("trial") % 4 > 0)
+    return rows.select("trial", F.array_join(P.attention_flags(), ",").alias("flags"))
+
+
+def geography(spark, sf_dir):
+    """Customers against the nations of their region's suppliers, as sites in key order."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sites = nations.groupBy(F.col("n_regionkey").alias("site_region")).agg(
+        F.sort_array(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("country"), F.col("r_name").alias("state"), F.lit("").alias("city")))).alias("sites")
+    )
+    home = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    home = home.join(F.broadcast(sites), F.col("c_custkey") % 5 == F.col("site_region")).select("c_custkey", "r_name", "n_name", "sites")
+    place = F.when(F.col("c_custkey") % 3 == 0, F.col("r_name")).when(F.col("c_custkey") % 3 == 1, F.concat("r_name", F.lit(" city"))).otherwise(F.col("n_name"))
+    country = F.when(F.col("c_custkey") % 3 == 2, F.col("n_name"))
+    return home.select("c_custkey", P.geography(F.col("sites"), place, country).alias("score"))
+
+
+def fill_excluded(spark, sf_dir):
+    run = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir), 30)
+    rows = P.fill(run.where("rank <= 5"), run.where("rank > 5 and doc_id % 2 = 0"), 10)
+    return rows.select("topic_id", "doc_id", F.round("score", 6).alias("score"), "filled")
+
+
+def irrelevance_policy(spark, sf_dir):
+    rows = labelled(spark, sf_dir, "benchmark").select(
+        "*",
+        (F.col("trial") % 10 / 10).alias("prior"),
+        (F.col("trial") % 2 == 0).alias("no_condition"),
+        (F.col("trial") % 3 == 0).alias("no_intervention"),
+    )
+    return rows.select("trial", P.irrelevance(least=4).alias("outcome"))
+
+
+def index_coverage(spark, sf_dir):
+    """Judged documents that are in the corpus and in the index, by grade."""
+    docs = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 10 != 3).alias("indexed"))
+    rows = qrels(spark, sf_dir).join(docs, "doc_id", "left")
+    return rows.groupBy("grade").agg(F.count("*").alias("judged"), F.count("indexed").alias("in_corpus"), F.count_if("indexed").alias("in_index"))
+
+
+def event_windows(spark, sf_dir):
+    from quillmatch.streaming.ingest import timings
+
+    return timings(table(spark, sf_dir, "events"), width="1 day").select("start", "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -405,6 +543,8 @@ QUERIES = {
         top_score_select, retrieval_prior, mmr_select, trial_label_benchmark, trial_label_clinical, predicate_eval,
         sc_vote, eligibility_score, trial_score_hard, trial_score_soft, criterion_evidence, label_histogram,
         trec_metrics, trec_metrics_linear, trec_summary, f1_trial, f1_average, confusion, threshold_sweep,
-        stage_metrics, missing_reasons,
+        stage_metrics, missing_reasons, infer_type, section_header, question_type, segment_lines, cap_legacy, question_rubric,
+        question_summary, dossier_completeness, error_categories, attention_flags, geography, fill_excluded,
+        irrelevance_policy, index_coverage, event_windows,
     )
 }
