@@ -33,7 +33,7 @@ LABELLERS = (
     ("symbols", "symbols", 0.10, 0.02),
     ("shouting", "shouts", 0.20, 0.02),
     ("capitals", "capitals", 0.40, 0.12),
-    ("repeated_lines", "dup_lines", 0.30, 0.05),
+    ("repeated_lines", "dup_lines", 0.40, 0.05),
     ("repeated_words", "dup_words", 0.90, 0.75),
     ("line_ends", "open_lines", 0.90, 0.50),
     ("length", "few_words", 0.9, 0.5),
