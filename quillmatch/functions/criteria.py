@@ -75,3 +75,47 @@ def cap_balanced(criteria: DataFrame, key: str, most: int) -> DataFrame:
     order = whole.orderBy(F.when(first, 0).otherwise(1), "pos")
     rows = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
     return rows.select(*criteria.columns)
+
+
+def triage_terms(text: Column) -> Column:
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({X.HEADER_WORD})"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(X.TRIAGE_STOPWORDS)))
+
+
+def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column, terms: Column) -> Column:
+    """How much a criterion tells: base by type, raised by signals, lowered for administration, 0 at least."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    base = F
+    for k, v in X.TRIAGE_BASE.items():
+        base = base.when(kind == k, F.lit(v))
+    exclusion = polarity == "exclusion"
+    add = lambda cond, v: F.when(cond, F.lit(v)).otherwise(F.lit(0.0))
+    score = (
+        base.otherwise(2.0)
+        + add(exclusion, 0.4)
+        + add(exclusion & kind.isin(list(X.TRIAGE_STRONG_EXCLUSIONS)), 0.8)
+        + add(mandatory, 0.3)
+        + F.least(F.lit(3.0), 0.7 * F.size(F.array_intersect(terms, triage_terms(low))))
+    )
+    for pattern, v in X.TRIAGE_WORDS:
+        score = score + add(low.rlike(pattern), v)
+    score = score - add(any_of(low, X.TRIAGE_ADMIN), 3.5) - add(low.rlike(X.TRIAGE_BROAD), 0.6)
+    return F.greatest(score, F.lit(0.0))
+
+
+def lookup_keys(term: Column) -> Column:
+    """Keys to try in a thesaurus, in order: whole, without a qualifier, its three longest words."""
+    whole = F.trim(F.regexp_replace(F.lower(F.regexp_replace(term, r"[()]", " ")), r"\s+", " "))
+    short = [F.when(F.startswith(whole, F.lit(q)), F.substring(whole, F.lit(len(q) + 1), F.length(whole))) for q in X.QUALIFIERS]
+    words = F.filter(F.split(whole, " "), lambda w: w != "")
+    ranked = F.sort_array(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    longest = F.slice(F.transform(ranked, lambda r: r["w"]), 1, 3)
+    return F.array_compact(F.concat(F.array(whole, *short), longest))
+
+
+def data_type(text: Column) -> Column:
+    t = F.replace(F.replace(F.lower(F.trim(text)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
+    out = F
+    for k, v in X.TYPE_ALIASES.items():
+        out = out.when(t == k, v)
+    return out.otherwise(t)

@@ -185,3 +185,30 @@ def vote(votes: DataFrame) -> DataFrame:
         F.when(won, F.col("top.label")).otherwise("NEI").alias("label"),
         F.round(F.when(won, F.col("top.conf")).otherwise(0.4), 6).alias("confidence"),
     )
+
+
+def verified(label: Column, confidence: Column, strength: Column, revised: Column, threshold: float = 0.85) -> Column:
+    """struct(label, confidence, flipped): a moderate or strong rebuttal with another label makes an unsure one NEI."""
+    flip = (confidence < threshold) & strength.isin("moderate", "strong") & (revised != label)
+    return F.struct(
+        F.when(flip, "NEI").otherwise(label).alias("label"),
+        F.when(flip, F.least(confidence, F.lit(0.5))).otherwise(confidence).alias("confidence"),
+        flip.alias("flipped"),
+    )
+
+
+def route(kind: Column, deterministic: Column) -> Column:
+    """Which evaluator decides a criterion: header, deterministic, model or votes."""
+    return (
+        F.when(kind == "section_header", "header")
+        .when(deterministic.isNotNull() & (deterministic != "NEI"), "deterministic")
+        .when(deterministic.isNotNull() & kind.isin("age", "sex"), "deterministic")
+        .when(kind.isin(*X.LLM_TYPES, "performance_status"), "model")
+        .otherwise("votes")
+    )
+
+
+def adjust(score: Column, evidence_score: Column, veto: Column, weight: float) -> Column:
+    """Score moved by evidence around one half; a quarter of it for trials sunk by a veto."""
+    used = F.when(veto & (score <= -0.95), 0.25 * weight).otherwise(F.lit(weight))
+    return score + used * (evidence_score - 0.5)

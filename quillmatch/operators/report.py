@@ -107,3 +107,25 @@ def irrelevance(policy_min_nei: float = 0.8, max_met: int = 0, max_prior: float
         .when(count < least, "insufficient_signals")
         .otherwise("irrelevant")
     )
+
+
+def demote(run: DataFrame, flagged: DataFrame, by: int = 2) -> DataFrame:
+    """Each flagged id moves ``by`` places down, in id order, unless it is among the last ``by``.
+
+    A topic's short list is one array, so the moves are a fold inside a row.
+    """
+    lists = run.groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
+    bad = flagged.groupBy("topic_id").agg(F.array_sort(F.collect_set("doc_id")).alias("bad"))
+    rows = lists.join(bad, "topic_id", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<bigint>")))
+
+    def move(ids: Column, x: Column) -> Column:
+        at = F.array_position(ids, x)
+        moved = F.concat(
+            F.filter(F.slice(ids, F.lit(1), F.least(at + by, F.size(ids))), lambda y: y != x),
+            F.array(x),
+            F.slice(ids, (at + by + 1).cast("int"), F.size(ids)),
+        )
+        return F.when((at > 0) & (at - 1 < F.size(ids) - by), moved).otherwise(ids)
+
+    done = rows.select("topic_id", F.posexplode(F.aggregate("bad", F.col("ids"), move)).alias("i", "doc_id"))
+    return done.select("topic_id", "doc_id", (F.col("i") + 1).alias("rank"))

@@ -119,12 +119,12 @@ def evidence() -> str:
         round(least(1, greatest(0, 0.38 * a + 0.30 * b + 0.12 * d + 0.10 * (1 - fraction_nei) - 0.45 * c - 0.72 * e - 0.06 * f - 0.42 * g - t)) + 1e-9, 6)::DOUBLE AS evidence FROM thin"""
 
 
-def metrics(linear: bool) -> str:
+def metrics(linear: bool, run: str = "run", before: str = "") -> str:
     gain = (lambda g: f"{g}::DOUBLE") if linear else (lambda g: f"(pow(2, {g}) - 1)")
-    return f"""WITH {QRELS}, {bm25(['all'], 20)},
+    return f"""WITH {QRELS}, {before or bm25(['all'], 20)},
       best AS (SELECT sum({gain('grade')} / log2(i + 1)) AS ideal FROM (SELECT grade, row_number() OVER (ORDER BY grade DESC, doc_id) AS i FROM qrels) WHERE i <= 10),
       total AS (SELECT count(*) AS relevant FROM qrels WHERE grade > 0),
-      j AS (SELECT run.*, coalesce(grade, 0) AS g, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank) AS hits FROM run LEFT JOIN qrels USING (doc_id))
+      j AS (SELECT {run}.*, coalesce(grade, 0) AS g, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank) AS hits FROM {run} LEFT JOIN qrels USING (doc_id))
       SELECT topic_id, round(coalesce(sum(CASE WHEN rank <= 10 THEN {gain('g')} / log2(rank + 1) END) / (SELECT ideal FROM best), 0), 6) AS ndcg10,
         round(count(*) FILTER (g > 0 AND rank <= 10) / 10, 6) AS p10, round(coalesce(count(*) FILTER (g > 0 AND rank <= 20) / (SELECT relevant FROM total), 0), 6) AS recall20,
         round(coalesce(max(CASE WHEN g > 0 THEN 1 / rank END), 0), 6)::DOUBLE AS rr, round(coalesce(sum(CASE WHEN g > 0 THEN hits / rank END) / (SELECT relevant FROM total), 0), 6)::DOUBLE AS ap FROM j GROUP BY topic_id"""
@@ -315,6 +315,43 @@ GEOGRAPHY = """WITH n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_re
       SELECT c_custkey, coalesce(min_by(score, n_nationkey) FILTER (score > 0), 0)::DOUBLE AS score FROM s GROUP BY c_custkey"""
 
 
+BLEND = f"""{bm25(['all'], 50)}, r AS (SELECT *, ((doc_id * 7919 + topic_id * 31) % 1000)::DOUBLE AS ce FROM run),
+      n AS (SELECT *, min(ce) OVER w AS l1, max(ce) OVER w AS h1, min(score) OVER w AS l2, max(score) OVER w AS h2, count(*) OVER w AS n, row_number() OVER (PARTITION BY topic_id ORDER BY rank, doc_id) - 1 AS i FROM r WINDOW w AS (PARTITION BY topic_id)),
+      v AS (SELECT topic_id, doc_id, rank AS old_rank, CASE WHEN h1 > l1 THEN (ce - l1) / (h1 - l1) WHEN n = 1 THEN 1 ELSE 1 - i / (n - 1) END AS a, CASE WHEN h2 > l2 THEN (score - l2) / (h2 - l2) WHEN n = 1 THEN 1 ELSE 1 - i / (n - 1) END AS b FROM n),
+      s AS (SELECT topic_id, doc_id, round(0.7::DOUBLE * a + 0.3::DOUBLE * b, 6) AS blended, old_rank FROM v),
+      blend AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY blended DESC, old_rank, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 20)"""
+
+
+def triage() -> str:
+    polar, low = "CASE WHEN p_partkey % 2 = 0 THEN 'exclusion' ELSE 'inclusion' END", "lower(t)"
+    words = f"list_distinct(list_filter(regexp_extract_all({low}, '{X.HEADER_WORD}'), lambda x: length(x) >= 3 AND x NOT IN {_in(X.TRIAGE_STOPWORDS)}))"
+    signals = " + ".join(f"CASE WHEN regexp_matches({low}, '{_re(p)}') THEN {v}::DOUBLE ELSE 0 END" for p, v in X.TRIAGE_WORDS)
+    return f"""WITH {CRITERION}, k AS (SELECT * FROM crit JOIN ({typed()}) USING (p_partkey))
+      SELECT p_partkey, round(greatest(0, {_case('type', X.TRIAGE_BASE, 2)} + CASE WHEN {polar} = 'exclusion' THEN 0.4 + CASE WHEN type IN {_in(X.TRIAGE_STRONG_EXCLUSIONS)} THEN 0.8 ELSE 0 END ELSE 0 END::DOUBLE
+        + CASE WHEN p_partkey % 3 = 0 THEN 0.3::DOUBLE ELSE 0 END + least(3, 0.7::DOUBLE * len(list_intersect(['melanoma', 'her2', 'chemotherapy', 'hiv', 'infection'], {words}))) + {signals}
+        - CASE WHEN {_hit(low, X.TRIAGE_ADMIN)} THEN 3.5::DOUBLE ELSE 0 END - CASE WHEN regexp_matches({low}, '{X.TRIAGE_BROAD}') THEN 0.6::DOUBLE ELSE 0 END), 6)::DOUBLE AS score FROM k"""
+
+
+def adjusted() -> str:
+    hard = score("benchmark", False).replace("round(", "(", 1).replace(", 6)::DOUBLE AS score", ")::DOUBLE AS score", 1)
+    veto = f"(SELECT trial, exc_met > 0 OR mandatory_failed AS veto FROM (WITH {EVALS}, {COUNTS} SELECT * FROM counts))"
+    ev = evidence().replace("+ 1e-9, 6)::DOUBLE AS evidence", ", 15)::DOUBLE AS evidence")
+    return f"""SELECT trial, round(score + CASE WHEN veto AND score <= -0.95 THEN 0.125::DOUBLE ELSE 0.5::DOUBLE END * (evidence - 0.5::DOUBLE) + 1e-9, 6) AS score
+      FROM ({hard}) JOIN ({ev}) USING (trial) JOIN {veto} USING (trial)"""
+
+
+DEMOTE = f"""WITH RECURSIVE {bm25(['all'], 10)}, l AS (SELECT topic_id, list(doc_id ORDER BY rank) AS ids, list_sort(list(doc_id) FILTER (doc_id % 3 = 0)) AS bad FROM run GROUP BY topic_id),
+      r AS (SELECT topic_id, ids, coalesce(bad, []) AS bad, 0 AS k FROM l UNION ALL
+        SELECT topic_id, CASE WHEN p - 1 < len(ids) - 2 THEN list_filter(ids[1:p + 2], lambda y: y <> x) || [x] || ids[p + 3:] ELSE ids END, bad, k + 1
+        FROM (SELECT *, bad[k + 1] AS x, list_position(ids, bad[k + 1]) AS p FROM r WHERE k < len(bad)))
+      SELECT topic_id, unnest(ids) AS doc_id, unnest(range(1, len(ids) + 1))::INTEGER AS rank FROM r QUALIFY k = max(k) OVER (PARTITION BY topic_id)"""
+
+STAGES = f"""WITH {QRELS}, {bm25(['all'], 200)}, h AS (SELECT topic_id, cutoff, count(*) FILTER (rank <= cutoff AND grade > 0) AS relevant, count(*) FILTER (rank <= cutoff AND grade = 2) AS eligible
+        FROM run LEFT JOIN qrels USING (doc_id), (SELECT unnest([10, 20, 50, 100, 200]) AS cutoff) GROUP BY ALL)
+      SELECT cutoff, round(avg(relevant), 6) AS mean_relevant, round(avg(eligible), 6) AS mean_eligible, count(*) FILTER (relevant = 0) AS zero_topics FROM h GROUP BY cutoff"""
+AVERAGE = "count(*) AS n_topics, round(avg(ndcg10), 6) AS ndcg10, round(avg(p10), 6) AS p10, round(avg(recall20), 6) AS recall20, round(avg(rr), 6) AS rr, round(avg(ap), 6) AS ap"
+
+
 ORACLES = {
     "tok_bm25": f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "tok_entity_stem": f"SELECT doc_id, len(t) AS n, array_to_string(list_sort(t)[1:20], ' ') AS first_terms FROM (SELECT doc_id, {terms('text', True)} AS t FROM documents)",
@@ -344,11 +381,7 @@ ORACLES = {
     "hyde_mean_vector": "SELECT query_id, i, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT vec_id % 10 AS query_id, unnest(embedding) AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings WHERE vec_id < 40) GROUP BY ALL",
     "rrf_hybrid": f"""WITH {bm25(['all'], 50)}, both_ AS (SELECT 'bm25' AS source, topic_id, doc_id, rank FROM run WHERE topic_id < 10 UNION ALL SELECT 'dense', query_id, vec_id, rank FROM ({dense('true', 50)}))
         {fused({'bm25': 1.0, 'dense': 1.0}, 30, 'both_', 'source')}""",
-    "rerank_blend": f"""WITH {bm25(['all'], 50)}, r AS (SELECT *, ((doc_id * 7919 + topic_id * 31) % 1000)::DOUBLE AS ce FROM run),
-      n AS (SELECT *, min(ce) OVER w AS l1, max(ce) OVER w AS h1, min(score) OVER w AS l2, max(score) OVER w AS h2, count(*) OVER w AS n, row_number() OVER (PARTITION BY topic_id ORDER BY rank, doc_id) - 1 AS i FROM r WINDOW w AS (PARTITION BY topic_id)),
-      v AS (SELECT topic_id, doc_id, rank AS old_rank, CASE WHEN h1 > l1 THEN (ce - l1) / (h1 - l1) WHEN n = 1 THEN 1 ELSE 1 - i / (n - 1) END AS a, CASE WHEN h2 > l2 THEN (score - l2) / (h2 - l2) WHEN n = 1 THEN 1 ELSE 1 - i / (n - 1) END AS b FROM n),
-      s AS (SELECT topic_id, doc_id, round(0.7::DOUBLE * a + 0.3::DOUBLE * b, 6) AS blended, old_rank FROM v)
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY blended DESC, old_rank, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 20""",
+    "rerank_blend": f"WITH {BLEND} SELECT * FROM blend",
     "run_overlap": f"""WITH {bm25(['all', 'summary_description'], 100)}, d AS (SELECT topic_id, doc_id, count(*) AS k FROM run GROUP BY ALL)
         SELECT topic_id, count(*) FILTER (k = 2) AS common, count(*) AS together, round(count(*) FILTER (k = 2) / count(*), 6) AS jaccard FROM d GROUP BY topic_id""",
     "hard_filter_reasons": HARD,
@@ -403,4 +436,18 @@ ORACLES = {
         WHEN NOT (fraction_nei >= 0.8::DOUBLE AND inc_met <= 0 AND low) THEN 'missing_core_irrelevance_signals' WHEN 3 + (trial % 2 = 0)::INT + (trial % 3 = 0)::INT < 4 THEN 'insufficient_signals' ELSE 'irrelevant' END AS outcome FROM s""",
     "index_coverage": f"WITH {QRELS} SELECT grade, count(*) AS judged, count(d.doc_id) AS in_corpus, count(*) FILTER (d.doc_id % 10 <> 3) AS in_index FROM qrels LEFT JOIN documents d USING (doc_id) GROUP BY grade",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
+    "triage_score": triage(),
+    "alias_norm": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'numeric' WHEN 1 THEN 'boolean' WHEN 2 THEN 'text' WHEN 3 THEN 'numeric' WHEN 4 THEN 'date' WHEN 5 THEN 'categorical' ELSE 'other_kind' END AS type FROM part",
+    "thesaurus_lookup": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'D1' WHEN 1 THEN 'D2' WHEN 2 THEN 'D3' WHEN 3 THEN 'D4' ELSE 'D1' END AS concept FROM part WHERE p_partkey % 6 < 5",
+    "verifier_rule": f"""WITH {EVALS}, f AS (SELECT *, confidence < 0.85 AND trial % 4 >= 2 AND label <> CASE trial % 3 WHEN 0 THEN 'met' WHEN 1 THEN 'not_met' ELSE 'NEI' END AS flipped FROM evals)
+      SELECT trial, criterion, CASE WHEN flipped THEN 'NEI' ELSE label END AS label, round(CASE WHEN flipped THEN least(confidence, 0.5::DOUBLE) ELSE confidence END, 6) AS confidence, flipped FROM f""",
+    "cascade_route": f"""WITH {EVALS} SELECT CASE WHEN trial % 2 = 0 AND (label <> 'NEI' OR type IN ('age', 'sex')) THEN 'deterministic' WHEN type IN {_in((*X.LLM_TYPES, 'performance_status'))} THEN 'model' ELSE 'votes' END AS route, count(*) AS n FROM evals GROUP BY ALL""",
+    "evidence_adjust": adjusted(),
+    "critique_demote": DEMOTE,
+    "final_ranked_gap": f"""WITH {QRELS}, {bm25(['all'], 20)} SELECT topic_id, count(*) AS missing, count(*) FILTER (grade > 0) AS relevant_lost, count(*) FILTER (grade = 2) AS eligible_lost
+      FROM run LEFT JOIN qrels USING (doc_id) WHERE rank > 10 GROUP BY topic_id""",
+    "stage_aggregate": STAGES,
+    "run_compare": f"SELECT 'bm25' AS run, {AVERAGE} FROM ({metrics(False)}) UNION ALL SELECT 'blend', {AVERAGE} FROM ({metrics(False, 'blend', BLEND)})",
+    "reretrieval_flag": f"WITH {bm25(['all'], 20)} SELECT topic_id, count(*) FILTER (doc_id % 2 = 0) AS viable, count(*) FILTER (doc_id % 2 = 0) < 10 AS again FROM run GROUP BY topic_id",
+    "fewshot_knn": f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC)::INTEGER AS rank FROM ({dense('v.vec_id >= 10', 50)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) <= 3",
 }

@@ -533,6 +533,97 @@ def event_windows(spark, sf_dir):
     return timings(table(spark, sf_dir, "events"), width="1 day").select("start", "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
+def triage_score(spark, sf_dir):
+    c = _criteria(spark, sf_dir).withColumn("kind", C.criterion_type(F.col("criterion")))
+    polarity = F.when(F.col("p_partkey") % 2 == 0, "exclusion").otherwise("inclusion")
+    terms = F.array(*map(F.lit, ("melanoma", "her2", "chemotherapy", "hiv", "infection")))
+    return c.select("p_partkey", F.round(C.triage_score(F.col("criterion"), F.col("kind"), polarity, F.col("p_partkey") % 3 == 0, terms), 6).alias("score"))
+
+
+def alias_norm(spark, sf_dir):
+    names = ("Number", "yes-no", "Free text", "lab value", "DATETIME", "category", "other kind")
+    t = F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.data_type(t).alias("type"))
+
+
+TERMS = ("Metastatic (Melanoma)", "advanced  breast cancer", "stage IV sarcoma", "asthma", "weird melanoma thing", "nothing here")
+
+
+def thesaurus_lookup(spark, sf_dir):
+    """Concepts of terms by the first key that a small synonym table has."""
+    book = spark.createDataFrame([("melanoma", "D1"), ("breast cancer", "D2"), ("sarcoma", "D3"), ("asthma", "D4"), ("cancer", "D5")], "key string, concept string")
+    t = F.get(F.array(*map(F.lit, TERMS)), (F.col("p_partkey") % len(TERMS)).cast("int"))
+    keys = table(spark, sf_dir, "part").select("p_partkey", t.alias("term")).select("p_partkey", F.posexplode(C.lookup_keys(F.col("term"))).alias("i", "key"))
+    hits = keys.join(F.broadcast(book), "key")
+    return hits.groupBy("p_partkey").agg(F.min_by("concept", "i").alias("concept"))
+
+
+def verifier_rule(spark, sf_dir):
+    strength = F.get(F.array(*map(F.lit, ("none", "weak", "moderate", "strong"))), (F.col("trial") % 4).cast("int"))
+    revised = F.get(F.array(*map(F.lit, ("met", "not_met", "NEI"))), (F.col("trial") % 3).cast("int"))
+    x = E.verified(F.col("label"), F.col("confidence"), strength, revised)
+    return evaluations(spark, sf_dir).select("trial", "criterion", x.alias("x")).select("trial", "criterion", "x.label", F.round("x.confidence", 6).alias("confidence"), "x.flipped")
+
+
+def cascade_route(spark, sf_dir):
+    known = F.when(F.col("trial") % 2 == 0, F.col("label"))
+    rows = evaluations(spark, sf_dir).select(E.route(F.col("type"), known).alias("route"))
+    return rows.groupBy("route").agg(F.count("*").alias("n"))
+
+
+def evidence_adjust(spark, sf_dir):
+    scored = _scored(spark, sf_dir, "benchmark").withColumn("score", E.trial_score("benchmark", False))
+    evals = evaluations(spark, sf_dir)
+    facts = E.evidence(evals, E.trial_counts(evals).withColumn("label", E.trial_label("benchmark"))).select("trial", "evidence")
+    veto = (F.col("exc_met") > 0) | F.col("mandatory_failed")
+    return scored.join(facts, "trial").select("trial", F.round(E.adjust(F.col("score"), F.col("evidence"), veto, 0.5) + 1e-9, 6).alias("score"))
+
+
+def critique_demote(spark, sf_dir):
+    run = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir), 10)
+    return P.demote(run, run.where("doc_id % 3 = 0").select("topic_id", "doc_id"))
+
+
+def final_ranked_gap(spark, sf_dir):
+    """Relevant documents of the first twenty that the selection of ten lost, by topic."""
+    run = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir), 20)
+    lost = run.where("rank <= 20").join(run.where("rank <= 10").select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
+    rows = lost.join(qrels(spark, sf_dir), "doc_id", "left")
+    return rows.groupBy("topic_id").agg(
+        F.count("*").alias("missing"), F.count_if(F.col("grade") > 0).alias("relevant_lost"), F.count_if(F.col("grade") == 2).alias("eligible_lost")
+    )
+
+
+def stage_aggregate(spark, sf_dir):
+    rows = stage_metrics(spark, sf_dir)
+    return rows.groupBy("cutoff").agg(
+        F.round(F.avg("relevant"), 6).alias("mean_relevant"), F.round(F.avg("eligible"), 6).alias("mean_eligible"), F.count_if(F.col("relevant") == 0).alias("zero_topics")
+    )
+
+
+def run_compare(spark, sf_dir):
+    """Metrics of the lexical run and of its blend, side by side."""
+    judged, run = qrels(spark, sf_dir), bm25_topk(spark, sf_dir)
+    a = V.summary(V.topic_metrics(run, judged)).select(F.lit("bm25").alias("run"), "*")
+    b = V.summary(V.topic_metrics(rerank_blend(spark, sf_dir).select("topic_id", "doc_id", "rank"), judged)).select(F.lit("blend").alias("run"), "*")
+    return a.unionAll(b)
+
+
+def reretrieval_flag(spark, sf_dir):
+    """Topics with under ten viable candidates are searched again."""
+    run = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir), 20)
+    got = run.groupBy("topic_id").agg(F.count_if(F.col("doc_id") % 2 == 0).alias("viable"))
+    return got.select("topic_id", "viable", (F.col("viable") < 10).alias("again"))
+
+
+def fewshot_knn(spark, sf_dir):
+    """The three nearest examples of each query vector; ties go to the later example."""
+    v, q = _vectors(spark, sf_dir)
+    near = R.dense(v.where("vec_id >= 10"), q, 50)
+    rows = near.drop("rank")
+    return R.top(rows, ["query_id"], [F.desc("score"), F.desc("vec_id")], 3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -545,6 +636,8 @@ QUERIES = {
         trec_metrics, trec_metrics_linear, trec_summary, f1_trial, f1_average, confusion, threshold_sweep,
         stage_metrics, missing_reasons, infer_type, section_header, question_type, segment_lines, cap_legacy, question_rubric,
         question_summary, dossier_completeness, error_categories, attention_flags, geography, fill_excluded,
-        irrelevance_policy, index_coverage, event_windows,
+        irrelevance_policy, index_coverage, event_windows, triage_score, alias_norm, thesaurus_lookup, verifier_rule,
+        cascade_route, evidence_adjust, critique_demote, final_ranked_gap, stage_aggregate, run_compare,
+        reretrieval_flag, fewshot_knn,
     )
 }
