@@ -30,15 +30,22 @@ from quillmatch.llm.common import binary_column, buckets_for, documents, window_
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
-FLUSH = 1_000_000
-_PACK = "bucket int, hashes binary, owners binary, places binary"
-_PLACES = "owner long, places binary"
+FLUSH = 500_000
+_PACK = "bucket int, hashes binary, owners binary, runs binary, places binary"
+_FOUND = "bucket int, owners binary, runs binary, places binary"
 _SEEN = np.uint32(1 << 31)
 
 
-def _tasks(batches, column):
-    for batch in batches:
-        yield batch.column("owner").to_numpy().astype(np.int64), column(batch)
+def _run_lengths(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, counts as 32-bit) of the runs of equal owners."""
+    at = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else np.zeros(0, np.int64)
+    return owners[at], np.diff(np.r_[at, len(owners)]).astype(np.uint32)
+
+
+def _spread(row) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of each entry of a packed row (owners, runs, places)."""
+    owners, runs, places = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.uint32, np.uint32)))
+    return np.repeat(owners, runs), places
 
 
 def _emit(hashes: np.ndarray, owners: np.ndarray, places: np.ndarray, buckets: int):
@@ -62,9 +69,16 @@ def _emit(hashes: np.ndarray, owners: np.ndarray, places: np.ndarray, buckets: i
     for a, b in zip(cuts, np.r_[cuts[1:], len(where)]):
         part = send[a:b]
         out.append((int(where[a]), hashes[part], owners[part], places[part].astype(np.uint32) | marks[a:b]))
+    runs = [_run_lengths(x[2]) for x in out]
     return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in out], pa.int32()), *(binary_column([x[i] for x in out]) for i in (1, 2, 3))],
-        names=["bucket", "hashes", "owners", "places"],
+        [
+            pa.array([x[0] for x in out], pa.int32()),
+            binary_column([x[1] for x in out]),
+            binary_column([x[0] for x in runs]),
+            binary_column([x[1] for x in runs]),
+            binary_column([x[3] for x in out]),
+        ],
+        names=["bucket", "hashes", "owners", "runs", "places"],
     )
 
 
@@ -109,9 +123,9 @@ def _windows(size: int, buckets: int):
             words, at = word_hashes(batch.column(1).to_pylist(), lower=False)
             runs = window_hashes(words, size)
             cover = np.zeros(len(words) + 1, np.int64)
-            for k, marks in enumerate(batch.column(2).to_pylist()):
+            for k, marks in enumerate(batch.column(2)):
                 last = at[k + 1] - size
-                p = np.concatenate([np.frombuffer(m, np.uint32) for m in marks]).astype(np.int64) + at[k]
+                p = np.frombuffer(marks.as_buffer(), np.uint32).astype(np.int64) + at[k]
                 begin, end = np.maximum(p - PERIOD + 1, at[k]), np.minimum(p, last) + 1
                 ok = begin < end
                 np.add.at(cover, begin[ok], 1)
@@ -123,53 +137,77 @@ def _windows(size: int, buckets: int):
     return lambda batches: _packed(pieces(batches), buckets)
 
 
-def _repeats(rows: pa.Table) -> pa.Table:
-    """Places of a bucket's hashes that occur twice, one row per owner."""
-    own, at, settled_own, settled_at, hashes = [], [], [], [], []
-    for h, o, p in zip(rows.column("hashes"), rows.column("owners"), rows.column("places")):
-        o, p = np.frombuffer(o.as_buffer(), np.int64), np.frombuffer(p.as_buffer(), np.uint32)
-        h = np.frombuffer(h.as_buffer(), np.uint64)
-        if len(h):
-            hashes.append(h), own.append(o), at.append(p)
-        else:
-            settled_own.append(o), settled_at.append(p)
-    if hashes:
-        h, o, p = np.concatenate(hashes), np.concatenate(own), np.concatenate(at)
-        order = np.argsort(h, kind="stable")
-        h, o, p = h[order], o[order], p[order]
-        run = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-        known = (p & _SEEN) > 0
-        repeated = (np.bincount(run) > 1) | (np.bincount(run, weights=known) > 0)
-        hit = repeated[run] & ~known
-        settled_own.append(o[hit]), settled_at.append(p[hit])
-    o, p = np.concatenate(settled_own), np.concatenate(settled_at)
-    order = np.argsort(o, kind="stable")
+def _repeats(buckets: int):
+    """Places of a bucket's hashes that occur twice, packed by the owners' buckets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own, at, hashes, settled = [], [], [], []
+        for h, *rest in zip(*(rows.column(c) for c in ("hashes", "owners", "runs", "places"))):
+            h = np.frombuffer(h.as_buffer(), np.uint64)
+            o, p = _spread(rest)
+            if len(h):
+                hashes.append(h), own.append(o), at.append(p)
+            else:
+                settled.append((o, p))
+        if hashes:
+            h, o, p = np.concatenate(hashes), np.concatenate(own), np.concatenate(at)
+            order = np.argsort(h, kind="stable")
+            h, o, p = h[order], o[order], p[order]
+            group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+            known = (p & _SEEN) > 0
+            repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=known) > 0)
+            hit = repeated[group] & ~known
+            settled.append((o[hit], p[hit]))
+        o, p = (np.concatenate([x[i] for x in settled]) for i in range(2))
+        to = o % buckets
+        order = np.lexsort((p, o, to))
+        o, p, to = o[order], p[order], to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        parts = [slice(a, b) for a, b in zip(cuts, np.r_[cuts[1:], len(to)])]
+        runs = [_run_lengths(o[x]) for x in parts]
+        return pa.table(
+            {
+                "bucket": pa.array(to[cuts], pa.int32()),
+                "owners": binary_column([x[0] for x in runs]),
+                "runs": binary_column([x[1] for x in runs]),
+                "places": binary_column([p[x] for x in parts]),
+            }
+        )
+
+    return run
+
+
+def _by_owner(rows: pa.Table) -> pa.Table:
+    """One row per owner with all its places."""
+    spread = [_spread(x) for x in zip(*(rows.column(c) for c in ("owners", "runs", "places")))]
+    o, p = (np.concatenate([x[i] for x in spread]) for i in range(2))
+    order = np.lexsort((p, o))
     o, p = o[order], p[order]
-    cuts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(o)].astype(np.int64)
+    owners, counts = _run_lengths(o)
+    ends = np.cumsum(counts, dtype=np.int64)
     return pa.table(
         {
-            "owner": pa.array(o[cuts], pa.int64()),
-            "places": binary_column([p[a:b] for a, b in zip(cuts, ends)]) if len(cuts) else pa.array([], pa.binary()),
+            "owner": pa.array(owners, pa.int64()),
+            "marks": binary_column([p[b - n : b] for b, n in zip(ends, counts.astype(np.int64))]),
         }
     )
 
 
-def _marked(packed: DataFrame) -> DataFrame:
+def _marked(packed: DataFrame, buckets: int) -> DataFrame:
     """(owner, marks): the repeated places of each owner."""
-    found = packed.groupBy("bucket").applyInArrow(_repeats, _PLACES)
-    return found.groupBy("owner").agg(F.collect_list("places").alias("marks"))
+    found = packed.groupBy("bucket").applyInArrow(_repeats(buckets), _FOUND)
+    return found.groupBy("bucket").applyInArrow(_by_owner, "owner long, marks binary")
 
 
 def _finish(size: int, with_text: bool):
     def run(batches):
         for batch in batches:
             n_words, n_removed, digests, texts, spans = [], [], [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2)):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 gone = np.zeros(len(words) + 1, np.int64)
-                if marks:
-                    p = np.unique(np.concatenate([np.frombuffer(m, np.uint32) for m in marks])).astype(np.int64)
+                if marks.is_valid:
+                    p = np.unique(np.frombuffer(marks.as_buffer(), np.uint32)).astype(np.int64)
                     gone[p] += 1
                     np.add.at(gone, p + size, -1)
                     gone = np.cumsum(gone) > 0
@@ -186,7 +224,7 @@ def _finish(size: int, with_text: bool):
                 if with_text:  # an untouched text stays as it is
                     texts.append(text if len(kept) == len(words) else whole.decode("utf-8", "surrogatepass"))
             columns = [
-                *(batch.column(i) for i in ([0] if not with_text else [0])),
+                batch.column(0),
                 pa.array(n_words, pa.int64()),
                 pa.array(n_removed, pa.int64()),
                 pa.array(digests, pa.string()),
@@ -204,14 +242,15 @@ def _finish(size: int, with_text: bool):
 def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     """(owner, marks): starts of the windows whose words also start elsewhere.
 
-    ``docs`` has owner and text; ``owner`` tells rows apart that differ.
+    ``docs`` has owner, text and what its caller joins the result with: the same
+    columns on both sides let Spark shuffle the texts once.
     """
     if size < PERIOD:
         raise ValueError(f"windows have {PERIOD} words or more")
     buckets = buckets_for(docs)
-    anchors = _marked(docs.mapInArrow(_anchors(size, buckets), _PACK))
-    around = docs.join(anchors, "owner").select("owner", "text", "marks")
-    return _marked(around.mapInArrow(_windows(size, buckets), _PACK))
+    anchors = _marked(docs.select("owner", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets)
+    around = docs.join(anchors, "owner").select("owner", "text", "marks", *[c for c in docs.columns if c not in ("owner", "text")])
+    return _marked(around.mapInArrow(_windows(size, buckets), _PACK), buckets)
 
 
 def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) -> DataFrame:
@@ -220,8 +259,8 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
     ``removed_spans`` lists word positions begin, end, begin, end, ...  A text
     that keeps all its words is handed on unchanged as ``kept_text``.
     """
-    rows = documents(docs).withColumn("owner", F.xxhash64("doc_id", "text"))
-    marks = repeated_windows(rows.select("owner", "text"), size)
+    rows = documents(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("owner"))
+    marks = repeated_windows(rows, size)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<int>"
     return (
         rows.join(marks, "owner", "left")
