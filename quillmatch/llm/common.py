@@ -33,7 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(
             df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-ckpt-")
         )
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # shuffles that only led up to this are garbage now; Spark drops them when the JVM notices
+    sc._jvm.System.gc()
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.llm.common import cut, documents, mix, word_hashes, window_hashes
@@ -121,6 +122,20 @@ def _set_maker(size: int):
     return run
 
 
+def _shingle_maker(size: int):
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
+            at = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
+                names=["rep", "shingles"],
+            )
+
+    return run
+
+
 def _confirmer(percent: int):
     def run(batches):
         for batch in batches:
@@ -181,6 +196,50 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     )
 
 
+def _sizes_fit(x: str, y: str, percent: int):
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, n, root) of classes in buckets that span several components."""
+    live = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "bucket", "rep", "n", F.coalesce("root", "rep").alias("root")
+    )
+    mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    return cut(live.join(mixed, "bucket").select("rep", "n", "root").distinct())
+
+
+def _prefix_pairs(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose rarest shingles meet."""
+    sets = (
+        docs.join(rest, docs.doc_id == rest.rep, "left_semi")
+        .select("doc_id", "text")
+        .dropDuplicates(["doc_id"])
+        .mapInArrow(_shingle_maker(size), "rep long, shingles array<long>")
+    )
+    grams = cut(sets.select("rep", F.explode("shingles").alias("h")))
+    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = grams.join(often, "h", "left").select(
+        "rep", "h", "df", F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "h")).alias("r")
+    )
+    prefix = (
+        ranked.where("df is not null")
+        .join(rest, "rep")
+        .where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .select("h", "rep", "n", "root")
+    )
+    prefix = cut(prefix)
+    other = prefix.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    return (
+        prefix.join(other, "h")
+        .where(F.col("a") < F.col("rep"))
+        .where(F.col("ra") != F.col("root"))
+        .where(_sizes_fit("na", "n", percent))
+        .select("a", F.col("rep").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -202,63 +261,27 @@ def near_duplicates(
         )
     )
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = cut(members.join(shared, "bucket").select("bucket", "rep", "n"))
-    budget = 4 * members.count() + 100_000
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    links, roots = None, None
-    first = True
-    while True:
-        live = members.withColumn("root", F.col("rep"))
-        if roots is not None:
-            live = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-                "bucket", "rep", "n", F.coalesce("root", "rep").alias("root")
-            )
-        spans = (
-            live.groupBy("bucket", "root")
-            .agg(F.count("*").alias("k"), F.min("rep").alias("low"))
-            .groupBy("bucket")
-            .agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"), F.min("low").alias("c"))
-            .where("open > 0")
-        )
-        spans = cut(spans)
-        left = spans.agg(F.sum("open")).first()[0] or 0
-        if not left:
-            break
-        live = live.join(spans.select("bucket", "c"), "bucket")
-        if first or left > budget:  # a star from each bucket's smallest id
-            centre = live.where("rep = c").select(
-                "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")
-            )
-            pairs = live.where("rep <> c").join(centre, "bucket")
-            last = False
-        else:
-            left_side = live.select(
-                "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")
-            )
-            pairs = live.join(left_side, "bucket").where("a < rep")
-            last = True
-        pairs = (
-            pairs.where("ra <> root")
-            .select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb"))
-            .where(fits)
-            .select("a", "b")
-            .distinct()
-        )
-        found = cut(_confirm(cut(pairs), docs, shingle, percent))
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
-        if last:
-            break
-        members = cut(live.where("rep <> c").select("bucket", "rep", "n"))
-        first = False
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1")
+    members = cut(members.join(shared.select("bucket", "a"), "bucket"))
+    centre = members.where("rep = a").select("bucket", F.col("n").alias("na"))
+    stars = (
+        members.where("rep <> a")
+        .join(centre, "bucket")
+        .where(_sizes_fit("na", "n", percent))
+        .select("a", F.col("rep").alias("b"))
+        .distinct()
+    )
+    links = cut(_confirm(cut(stars), docs, shingle, percent))
+    roots = cut(components(links))
+    rest = _unsettled(members.where("rep <> a"), roots)
+    if not rest.isEmpty():
+        more = cut(_confirm(cut(_prefix_pairs(rest, docs, shingle, percent)), docs, shingle, percent))
+        if not more.isEmpty():
+            roots = components(links.unionAll(more))
     to_root = classes.select("digest", "rep")
-    if roots is not None:
-        to_root = to_root.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "digest", F.coalesce("root", "rep").alias("root")
-        )
-    else:
-        to_root = to_root.select("digest", F.col("rep").alias("root"))
+    to_root = to_root.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "digest", F.coalesce("root", "rep").alias("root")
+    )
     # a null id names no document; it takes no part in a class
     return (
         sketch.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("digest")))

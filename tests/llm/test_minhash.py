@@ -37,3 +37,20 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_families_below_and_above(spark):
+    """Families around one text: stars fail, only the exact prefixes can tell."""
+    rng = random.Random(11)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(80)]
+        for k in range(25):
+            text = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                text[rng.randrange(80)] = f"y{rng.randrange(10**6)}"
+            rows.append((f * 100 + k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_duplicates(rows, 4, 80)
+    assert as_dict(near_duplicates(df, 4)) == want
+    assert 10 < len({c for _, c in want.values()}) < 70
