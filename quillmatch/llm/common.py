@@ -22,20 +22,21 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial window hash
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a private one is set
-    only where none is configured (tests, single machine).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a private folder is set only where
+    none is configured (tests, single machine)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-ckpt-")
-        )
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
     # shuffles that only led up to this are garbage now; Spark drops them when the JVM notices
-    sc._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -294,3 +294,21 @@ def near_duplicates(
             "digest",
         )
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their groups, with all columns.
+
+    Of rows that repeat a kept id the one with the smallest text stays; rows
+    without an id stay all.
+    """
+    kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    named = (
+        docs.where("doc_id is not null")
+        .join(kept, "doc_id", "left_semi")
+        .select(*docs.columns, F.row_number().over(order).alias("nth of its id"))
+        .where("`nth of its id` = 1")
+        .select(*docs.columns)
+    )
+    return named.unionAll(docs.where("doc_id is null"))

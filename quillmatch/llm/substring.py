@@ -267,3 +267,31 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
         .select("doc_id", "text", "marks")
         .mapInArrow(_finish(size, with_text), schema + (", kept_text string" if with_text else ""))
     )
+
+
+def _rewriter(size: int):
+    finish = _finish(size, with_text=True)
+
+    def run(batches):
+        for batch in batches:
+            for done in finish([batch]):
+                yield pa.RecordBatch.from_arrays([batch.column(0), done.column("kept_text")], names=["others", "text"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
+    """All rows and columns of ``docs``; ``text`` loses its repeated windows and
+    ``n_chars``, if there, follows.  A null text stays null."""
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    rows = docs.select(
+        others.alias("others"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("owner"),
+    )
+    marks = repeated_windows(rows, size)
+    done = rows.join(marks, "owner", "left").select("others", "text", "marks")
+    kind = docs.select(others.alias("others")).schema["others"].dataType.simpleString()
+    done = done.mapInArrow(_rewriter(size), f"others {kind}, text string")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[changed.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
