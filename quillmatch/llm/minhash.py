@@ -226,15 +226,18 @@ def _prefix_pairs(rest: DataFrame, docs: DataFrame, size: int, percent: int) ->
         ranked.where("df is not null")
         .join(rest, "rep")
         .where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-        .select("h", "rep", "n", "root")
+        .select("h", "rep", "n", "root", "r")
     )
     prefix = cut(prefix)
-    other = prefix.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    other = prefix.toDF("h", "a", "na", "ra", "rank_a")
+    # at two sets' first common shingle, what follows it in either bounds their intersection
+    most = 1 + F.least(F.col("na") - F.col("rank_a"), F.col("n") - F.col("r"))
     return (
         prefix.join(other, "h")
         .where(F.col("a") < F.col("rep"))
         .where(F.col("ra") != F.col("root"))
         .where(_sizes_fit("na", "n", percent))
+        .where((100 + percent) * most >= percent * (F.col("na") + F.col("n")))
         .select("a", F.col("rep").alias("b"))
         .distinct()
     )
