@@ -70,16 +70,29 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def in_pieces(run, rows: int = 512):
+    """``run`` over slices of the Arrow batches, so that its arrays stay small."""
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return lambda batches: run(sliced(batches))
+
+
 def word_hashes(texts: list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets of each text's first word and the end)."""
-    words: list[bytes] = []
+    parts = [np.zeros(0, np.uint64)]
     offsets = np.zeros(len(texts) + 1, np.int64)
     for i, text in enumerate(texts):
+        offsets[i + 1] = offsets[i]
         if text is not None:
             raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
-            words += (raw.lower() if lower else raw).split()
-        offsets[i + 1] = len(words)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), offsets
+            words = (raw.lower() if lower else raw).split()
+            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+            offsets[i + 1] += len(words)
+    return np.concatenate(parts), offsets
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:

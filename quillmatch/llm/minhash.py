@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import cut, documents, mix, word_hashes, window_hashes
+from quillmatch.llm.common import cut, documents, in_pieces, mix, window_hashes, word_hashes
 
 BANDS = 32
 ROWS = 4
@@ -185,7 +185,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     sets = (
         docs.join(ids, docs.doc_id == ids.id, "left_semi")
         .select("doc_id", "text")
-        .mapInArrow(_set_maker(size), "id long, shingles binary")
+        .mapInArrow(in_pieces(_set_maker(size)), "id long, shingles binary")
     )
     sets = cut(sets)
     return (
@@ -215,7 +215,7 @@ def _prefix_pairs(rest: DataFrame, docs: DataFrame, size: int, percent: int) ->
         docs.join(rest, docs.doc_id == rest.rep, "left_semi")
         .select("doc_id", "text")
         .dropDuplicates(["doc_id"])
-        .mapInArrow(_shingle_maker(size), "rep long, shingles array<long>")
+        .mapInArrow(in_pieces(_shingle_maker(size)), "rep long, shingles array<long>")
     )
     grams = cut(sets.select("rep", F.explode("shingles").alias("h")))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -254,7 +254,7 @@ def near_duplicates(
     docs = documents(docs)
     sketch = cut(
         docs.mapInArrow(
-            _sketcher(shingle, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"
+            in_pieces(_sketcher(shingle, bands, rows)), "doc_id long, n_shingles long, digest binary, bands array<long>"
         )
     )
     named = sketch.where("doc_id is not null and n_shingles > 0")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import cut, documents
+from quillmatch.llm.common import cut, documents, in_pieces
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Lower-cased Latin-1: letters, single digits, runs of anything else.
@@ -174,7 +174,7 @@ def pack(
     sequence's by default) limit a sequence beside its ``capacity`` tokens.
     """
     limits = (float(capacity), float(max_docs), float(max_cost or capacity**2))
-    pieces = documents(docs).mapInArrow(_cutter(vocabulary, end_id, capacity), _PIECES)
+    pieces = documents(docs).mapInArrow(in_pieces(_cutter(vocabulary, end_id, capacity)), _PIECES)
     pieces = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
     full = F.col("length") == capacity
     demand = pieces.where(~full).select(

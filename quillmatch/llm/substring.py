@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import binary_column, buckets_for, documents, window_hashes, word_hashes
+from quillmatch.llm.common import binary_column, buckets_for, documents, in_pieces, window_hashes, word_hashes
 
 #: A perfect difference set: every residue mod 21 is a difference of two of these.
 PERIOD = 21
@@ -248,9 +248,9 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     if size < PERIOD:
         raise ValueError(f"windows have {PERIOD} words or more")
     buckets = buckets_for(docs)
-    anchors = _marked(docs.select("owner", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets)
+    anchors = _marked(docs.select("owner", "text").mapInArrow(in_pieces(_anchors(size, buckets)), _PACK), buckets)
     around = docs.join(anchors, "owner").select("owner", "text", "marks", *[c for c in docs.columns if c not in ("owner", "text")])
-    return _marked(around.mapInArrow(_windows(size, buckets), _PACK), buckets)
+    return _marked(around.mapInArrow(in_pieces(_windows(size, buckets)), _PACK), buckets)
 
 
 def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) -> DataFrame:
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
     return (
         rows.join(marks, "owner", "left")
         .select("doc_id", "text", "marks")
-        .mapInArrow(_finish(size, with_text), schema + (", kept_text string" if with_text else ""))
+        .mapInArrow(in_pieces(_finish(size, with_text)), schema + (", kept_text string" if with_text else ""))
     )
 
 
@@ -292,6 +292,6 @@ def without_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     marks = repeated_windows(rows, size)
     done = rows.join(marks, "owner", "left").select("others", "text", "marks")
     kind = docs.select(others.alias("others")).schema["others"].dataType.simpleString()
-    done = done.mapInArrow(_rewriter(size), f"others {kind}, text string")
+    done = done.mapInArrow(in_pieces(_rewriter(size)), f"others {kind}, text string")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[changed.get(c, F.col("others")[c]).alias(c) for c in docs.columns])

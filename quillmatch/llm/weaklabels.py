@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import documents, mix, word_hashes
+from quillmatch.llm.common import documents, in_pieces, mix, word_hashes
 
 SLOTS = 1 << 16
 _UPPER = bytes(range(65, 91))
@@ -177,4 +177,4 @@ def quality_scores(docs: DataFrame, fit_rows: int = 5_000, cutoff: float = 0.5)
     if model is None:
         return documents(docs).selectExpr("doc_id", "0.0D as quality", "false as kept")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS bounds its size
-    return documents(docs).mapInArrow(_scorer(shared, cutoff), schema)
+    return documents(docs).mapInArrow(in_pieces(_scorer(shared, cutoff)), schema)
