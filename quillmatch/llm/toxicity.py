@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link (proportional-odds) ordinal regression.
 
 P(grade <= k | x) = sigmoid(threshold_k - w.x) with one weight vector for all
-ordered thresholds.  Features are counts of hashed words: severity of a text
+ordered thresholds.  Features are counts of hashed words and word beginnings: severity of a text
 is what it says at worst and how often, not the share of it, so counts are
 capped and not scaled to the text's length.  Training grades come from the
 labels: 0 for a text that isn't toxic; a toxic text is graded 1 to
@@ -18,14 +18,16 @@ rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import documents, mix, word_hashes
+from quillmatch.llm.common import documents, in_pieces, mix
 
 SLOTS = 1 << 18
 GRADES = 4
@@ -34,13 +36,32 @@ CAP = 3.0
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]+")
 
 
-def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot, capped count, offsets) of each text's words without outer punctuation."""
-    bare = [None if t is None else _PUNCTUATION.sub(" ", t) for t in texts]
-    words, at = word_hashes(bare, lower=True)
-    slot = (mix(words) % np.uint64(SLOTS)).astype(np.int64)
-    key, count = np.unique(np.repeat(np.arange(len(texts)), np.diff(at)) * SLOTS + slot, return_counts=True)
-    return key % SLOTS, np.minimum(count, CAP), np.searchsorted(key, np.arange(len(texts) + 1) * SLOTS)
+def _tokens(text) -> list[str]:
+    """Words without outer punctuation, and their first four and five characters: endings vary."""
+    words = _PUNCTUATION.sub(" ", text).lower().split() if text else []
+    return words + ["4" + w[:4] for w in words if len(w) > 4] + ["5" + w[:5] for w in words if len(w) > 5]
+
+
+def features(texts: list, together: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, capped count, offsets) of each text's hashed tokens."""
+    slots, values, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], []
+    for i in range(0, len(texts), together):  # so that no array holds the words of all texts
+        tokens = [_tokens(t) for t in texts[i : i + together]]
+        n = np.array([len(t) for t in tokens])
+        flat = itertools.chain.from_iterable(tokens)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, n.sum())
+        slot = (mix(hashes) % np.uint64(SLOTS)).astype(np.int64)
+        key, count = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + slot, return_counts=True)
+        slots.append((key % SLOTS).astype(np.int32))
+        values.append(np.minimum(count, CAP).astype(np.float32))
+        sizes += np.diff(np.searchsorted(key, np.arange(len(n) + 1) * SLOTS)).tolist()
+    return np.concatenate(slots), np.concatenate(values), np.cumsum([0, *sizes])
+
+
+def only(keep: np.ndarray, slot, value, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features whose slot is kept."""
+    hit = keep[slot]
+    return slot[hit], value[hit].astype(float), np.r_[0, np.cumsum(hit)][at]
 
 
 def _sums(weights, slot, value, at):
@@ -48,10 +69,10 @@ def _sums(weights, slot, value, at):
     return run[at[1:]] - run[at[:-1]]
 
 
-def telling_slots(slot, at, toxic: np.ndarray, share: float = 0.02, sigmas: float = 2.5) -> np.ndarray:
+def telling_slots(slot, at, toxic: np.ndarray, share: float = 0.05, sigmas: float = 2.5) -> np.ndarray:
     """Slots whose words are in toxic texts surely more often than in others.
 
-    A word must be in ``share`` of the toxic texts (and five), and its log ratio of
+    A word must be in ``share`` of the toxic texts (and six), and its log ratio of
     smoothed document rates must exceed 1 and ``sigmas`` standard errors.
     """
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -60,12 +81,12 @@ def telling_slots(slot, at, toxic: np.ndarray, share: float = 0.02, sigmas: floa
     n_bad, n_good = toxic.sum(), (~toxic).sum()
     ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
     error = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    return (bad >= max(5, share * n_bad)) & (ratio > np.maximum(1, sigmas * error))
+    return (bad >= max(6, share * n_bad)) & (ratio > np.maximum(1, sigmas * error))
 
 
 def grades(slot, value, at, toxic: np.ndarray) -> np.ndarray:
     """0 for texts that aren't toxic, else 1 .. GRADES - 1 by occurrences of telling words."""
-    n = _sums(telling_slots(slot, at, toxic).astype(float), slot, value, at)
+    n = _sums(np.ones(SLOTS), *only(telling_slots(slot, at, toxic), slot, value, at))
     out = np.zeros(len(toxic), np.int64)
     if toxic.any():
         edges = np.quantile(n[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
@@ -73,7 +94,7 @@ def grades(slot, value, at, toxic: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(slot, value, at, grade: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4):
+def fit(slot, value, at, grade: np.ndarray, rounds: int = 600, rate: float = 0.5, decay: float = 1e-5):
     """(weights, thresholds) that maximise the penalised likelihood, by Adagrad on all rows."""
     cuts = GRADES - 1
     share = np.clip(np.array([(grade <= k).mean() for k in range(cuts)]), 1e-3, 1 - 1e-3)
@@ -109,7 +130,7 @@ def predict(w, theta, texts: list) -> np.ndarray:
     return np.diff(np.c_[np.zeros(len(texts)), upto, np.ones(len(texts))], axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000):
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000):
     """(weights, thresholds) or None, from at most ``fit_rows`` labelled documents."""
     known = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")
@@ -124,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000):
         return None
     slot, value, at = features(rows["text"].tolist())
     grade = grades(slot, value, at, toxic)
-    return fit(slot, value * telling_slots(slot, at, toxic)[slot], at, grade)
+    return fit(*only(telling_slots(slot, at, toxic), slot, value, at), grade)
 
 
 def _scorer(model, cutoff: float):
@@ -147,11 +168,14 @@ def _scorer(model, cutoff: float):
     return run
 
 
-def severity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, cutoff: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected grade), grade (likeliest), toxic: one row per document."""
+def severity(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, cutoff: float = 0.25) -> DataFrame:
+    """doc_id, severity (expected grade), grade (likeliest), toxic: one row per document.
+
+    ``toxic``: a grade above 0 has a probability of ``cutoff`` or more.
+    """
     model = train(docs, labels, fit_rows)
     if model is not None:  # SLOTS and GRADES bound its size
         model = docs.sparkSession.sparkContext.broadcast(model)
     return documents(docs).mapInArrow(
-        _scorer(model, cutoff), "doc_id long, severity double, grade int, toxic boolean"
+        in_pieces(_scorer(model, cutoff)), "doc_id long, severity double, grade int, toxic boolean"
     )

@@ -40,7 +40,7 @@ def test_ordinal_order():
     slot, value, at = toxicity.features(texts)
     grade = toxicity.grades(slot, value, at, toxic)
     assert set(grade) == set(range(toxicity.GRADES))
-    w, theta = toxicity.fit(slot, value * toxicity.telling_slots(slot, at, toxic)[slot], at, grade)
+    w, theta = toxicity.fit(*toxicity.only(toxicity.telling_slots(slot, at, toxic), slot, value, at), grade)
     assert (np.diff(theta) >= 0).all()
     p = toxicity.predict(w, theta, ["plain words", "vile", "vile vile foul foul", "vile vile vile foul foul foul"])
     assert np.allclose(p.sum(axis=1), 1)
