@@ -11,6 +11,8 @@ from quillmatch.functions.text import index_tokens
 
 #: Query sides up to so many rows are sent to every task; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Queries that a dense search holds at once.
+BLOCK_QUERIES = 10_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -97,20 +99,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine search of few queries over many vectors.
+def scored_pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): the exact cosine of every query with every vector.
 
-    Queries are a block of checked size; every vector is read once and scored
-    against the block, and each task keeps its own best ``k`` before the shuffle.
+    Queries are dealt to blocks; a single block is sent to every task, more
+    blocks meet the vectors one by one without a broadcast.
     """
-    block = queries.select("query_id", "query").agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    if queries.count() > 10_000:
-        raise ValueError("search in blocks of at most 10000 queries")
-    pairs = vectors.crossJoin(F.broadcast(block)).select("vec_id", "embedding", F.explode("qs").alias("q"))
-    scored = pairs.select(
+    n = queries.count()
+    rows = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK_QUERIES)))).alias("block"))
+    blocks = rows.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("qs")).drop("block")
+    pairs = vectors.crossJoin(F.broadcast(blocks) if n <= BLOCK_QUERIES else blocks)
+    return pairs.select("vec_id", "embedding", F.explode("qs").alias("q")).select(
         F.col("q.query_id").alias("query_id"), "vec_id", F.round(cosine(F.col("q.query"), F.col("embedding")), 6).alias("score")
     )
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact cosine search of any number of queries; ties go to the smaller id.
+
+    Each task keeps its own best ``k`` before the shuffle.
+    """
+    return top(scored_pairs(vectors, queries), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def min_max(by: list[str], value: str) -> Column:
