@@ -197,7 +197,7 @@ def bm25_fielded_runs(spark, sf_dir):
 
 
 def bm25_fielded_rrf(spark, sf_dir):
-    return R.fielded(documents(spark, sf_dir), topics(spark, sf_dir), 20, field_k=200)
+    return R.fielded(documents(spark, sf_dir), topics(spark, sf_dir), 20)
 
 
 def _vectors(spark, sf_dir):
@@ -619,9 +619,7 @@ def reretrieval_flag(spark, sf_dir):
 def fewshot_knn(spark, sf_dir):
     """The three nearest examples of each query vector; ties go to the later example."""
     v, q = _vectors(spark, sf_dir)
-    near = R.dense(v.where("vec_id >= 10"), q, 50)
-    rows = near.drop("rank")
-    return R.top(rows, ["query_id"], [F.desc("score"), F.desc("vec_id")], 3)
+    return R.top(R.scored_pairs(v.where("vec_id >= 10"), q), ["query_id"], [F.desc("score"), F.desc("vec_id")], 3)
 
 
 QUERIES = {

@@ -2,7 +2,9 @@
 
 import math
 
+from quillmatch.functions import fixed as X
 from quillmatch.operators import retrieval as R
+from quillmatch.plans import queries as Q
 
 
 def test_dense_takes_any_number_of_queries(spark):
@@ -13,3 +15,28 @@ def test_dense_takes_any_number_of_queries(spark):
     got = {r.query_id: r.vec_id for r in R.dense(vectors, queries, 1).collect()}
     want = {q: max(range(5), key=lambda v: (round(math.cos(q - 2.5 * v), 6), -v)) for q in range(n)}
     assert got == want
+
+
+def test_fewshot_takes_the_last_of_many_ties(spark, tmp_path):
+    rows = [(i, [1.0, 0.0] if i < 10 else [2.0, 0.0], 0) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in Q.fewshot_knn(spark, str(tmp_path)).collect()}
+    assert got == {(q, k): 80 - k for q in range(10) for k in (1, 2, 3)}
+
+
+def test_fielded_fuses_ranks_beyond_200(spark, tmp_path):
+    """A document at rank 250 of a field counts with that rank, too."""
+    # longer titles rank lower; only the last 40 documents have the word in their other lines
+    rows = [(i, "melanoma " + "filler " * i + ("\nmelanoma" * 50 if i >= 210 else "\nother\nnothing")) for i in range(250)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "melanoma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, topics = Q.documents(spark, str(tmp_path)), Q.topics(spark, str(tmp_path))
+    ranks = {}
+    for r in R.bm25(docs, topics, 250, list(X.FIELD_WEIGHTS)).collect():
+        ranks.setdefault(r.doc_id, []).append((X.FIELD_WEIGHTS[r.field], r["rank"]))
+    fused = {d: sum(w / (X.RRF_K + k) for w, k in x) for d, x in ranks.items()}
+    got = Q.bm25_fielded_rrf(spark, str(tmp_path)).collect()
+    assert len(got) == 20 and all(abs(r.score - fused[r.doc_id]) < 2e-6 for r in got)
+    assert min(r.score for r in got) > max(v for d, v in fused.items() if d not in {r.doc_id for r in got}) - 2e-6
+    late = {d for d, x in ranks.items() if any(k > 200 for _, k in x)}
+    assert late & {r.doc_id for r in got}
