@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows, with built-in functions only.
 
-Prefix sums of turn tokens deal a conversation's turns to cells of ``budget``
-tokens; a cell's turns are one window.  Each later window starts with the
-system turn and with the last turns of the window before, as many as fit
-``history`` tokens.  Only assistant turns that are new in a window are under
-its loss mask, so every target counts once.
+A fold over a conversation's turn tokens fills windows greedily: the system
+turn, the history and the new turns of a window have at most ``budget`` tokens
+together.  Each later window starts with the system turn and with the last new
+turns of the window before, as many as fit ``history`` tokens and leave room for
+the window's first new turn; where that turn fits the budget, but not beside
+the system turn, the window goes without it.  Only assistant turns that are new
+in a window are under its loss mask, so every target counts once.
 
 A turn reads ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``.  Inside roles
 and texts a backslash is doubled and ``<|`` becomes ``<\\|`` (in roles a line
@@ -12,14 +14,14 @@ break becomes ``\\n``), which `read_back` undoes; no text can hold a mark.
 
 Defined cases: null role or text is empty; turns of equal number are ordered by
 role and text; a null ``conv_id`` is a conversation of its own; repeated rows
-are turns each; a turn longer than the budget is never cut; an empty table has
-no windows; other columns are ignored.
+are turns each; a turn longer than the budget is never cut and is the only new turn
+of its window, the one kind that exceeds the budget; an empty table has no
+windows; other columns are ignored.  A conversation is held in one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -42,6 +44,71 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
+def token_count(text: Column) -> Column:
+    """Words, and four for marks and role."""
+    return F.size(F.split(F.trim(text), r"\s+")) + 4
+
+
+def _turn(t: Column, i: Column) -> Column:
+    head, body = F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")), escape(t["text"])
+    return F.struct(
+        (i + 1).alias("pos"),
+        t["role"].alias("role"),
+        head.alias("head"),
+        body.alias("body"),
+        F.concat(head, body, F.lit(CLOSE)).alias("piece"),
+        token_count(t["text"]).cast("long").alias("tokens"),
+    )
+
+
+def _spans(budget: int, history: int) -> Column:
+    """Windows of ``turns`` as (start, stop, system, history): places of the new turns, whether the
+    system turn goes first, how many turns before ``start`` are repeated."""
+    has_system = F.col("system").isNotNull()
+    set_by = F.coalesce("system.tokens", F.lit(0))
+
+    def span(s, stop):
+        return F.struct(s["start"], stop.alias("stop"), s["system"], s["history"])
+
+    def opened(s, t):
+        system = has_system & ((set_by + t["tokens"] <= budget) | ((t["tokens"] > budget) & (set_by <= budget)))
+        room = F.least(F.lit(history), budget - t["tokens"] - F.when(system, set_by).otherwise(0))
+        begin = F.when(has_system, F.greatest(s["start"], F.lit(2))).otherwise(s["start"])
+        # the last turns first, until one does not fit
+        recent = F.aggregate(
+            F.reverse(F.slice("turns", begin, F.greatest(t["pos"] - begin, F.lit(0)))),
+            F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("open")),
+            lambda h, x: F.when(
+                h["open"] & (h["used"] + x["tokens"] <= room),
+                F.struct((h["n"] + 1).alias("n"), (h["used"] + x["tokens"]).alias("used"), h["open"]),
+            ).otherwise(F.struct(h["n"], h["used"], F.lit(False).alias("open"))),
+        )
+        states = F.transform(
+            F.array(recent),
+            lambda h: F.struct(
+                F.concat(s["done"], F.array(span(s, t["pos"] - 1))).alias("done"),
+                t["pos"].alias("start"),
+                system.alias("system"),
+                h["n"].alias("history"),
+                (t["tokens"] + h["used"] + F.when(system, set_by).otherwise(0)).alias("used"),
+            ),
+        )
+        return F.get(states, F.lit(0))
+
+    def step(s, t):
+        more = F.struct(s["done"], s["start"], s["system"], s["history"], (s["used"] + t["tokens"]).alias("used"))
+        return F.when((t["pos"] == 1) | (s["used"] + t["tokens"] <= budget), more).otherwise(opened(s, t))
+
+    start = F.struct(
+        F.array().cast("array<struct<start:int,stop:int,system:boolean,history:int>>").alias("done"),
+        F.lit(1).alias("start"),
+        F.lit(False).alias("system"),
+        F.lit(0).alias("history"),
+        F.lit(0).cast("long").alias("used"),
+    )
+    return F.aggregate("turns", start, step, lambda s: F.concat(s["done"], F.array(span(s, F.size("turns")))))
+
+
 def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
     """conv_id, window, formatted, n_repeated, n_turns, loss_spans.
 
@@ -56,73 +123,50 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) ->
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.select(
-        "*",
-        F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")).alias("head"),
-        escape(F.col("text")).alias("body"),
-        # marks and role count as four tokens
-        (F.size(F.split(F.trim("text"), r"\s+")) + 4).cast("long").alias("tokens"),
-    ).withColumn("piece", F.concat("head", "body", F.lit(CLOSE)))
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.select(
-        "*",
-        F.row_number().over(order).alias("pos"),
-        (F.sum("tokens").over(upto) - F.col("tokens")).alias("before"),
-        (F.sum(F.length("piece")).over(upto) - F.length("piece")).alias("at"),
-        F.first(F.when(F.col("role") == "system", F.col("piece"))).over(upto).alias("system"),
-    )
-    cells = (
-        rows.withColumn("cell", F.floor(F.col("before") / budget))
-        .groupBy("conv_id", "cell")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "pos",
-                        "before",
-                        "at",
-                        "piece",
-                        F.length("head").alias("head"),
-                        F.length("body").alias("body"),
-                        (F.col("role") == "assistant").alias("target"),
-                    )
-                )
-            ).alias("turns"),
-            F.first("system").alias("system"),
-        )
+    # sorted arrays put null turns first, then go by role and text
+    talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    talks = talks.select("conv_id", F.transform("turns", _turn).alias("turns"))
+    first = F.get("turns", F.lit(0))
+    talks = talks.withColumn("system", F.when(first["role"] == "system", F.struct(first["piece"], first["tokens"])))
+    talks = talks.withColumn("spans", _spans(budget, history))
+    windows = F.transform(
+        "spans",
+        lambda s: F.struct(
+            F.when(s["system"], F.array(F.col("system.piece"))).otherwise(F.array().cast("array<string>")).alias("system"),
+            F.slice("turns", s["start"] - s["history"], s["history"]).alias("recent"),
+            F.slice("turns", s["start"], s["stop"] - s["start"] + 1).alias("turns"),
+        ),
     )
-    along = W.partitionBy("conv_id").orderBy("cell")
+    cells = talks.select("conv_id", F.posexplode(windows).alias("window", "x"))
     cells = cells.select(
-        "conv_id",
-        "turns",
-        (F.row_number().over(along) - 1).alias("window"),
-        F.lag("turns").over(along).alias("previous"),
-        F.first("system").over(along).alias("system"),
-    )
-    begin = F.get("turns", F.lit(0))
-    recent = F.filter(
-        F.coalesce("previous", F.expr("filter(turns, x -> false)")),
-        lambda t: (begin["before"] - t["before"] <= history)
-        & ((t["pos"] > 1) | F.col("system").isNull()),
-    )
-    first_system = F.when((F.col("window") > 0) & F.col("system").isNotNull(), F.array("system")).otherwise(
-        F.array().cast("array<string>")
+        "conv_id", "window", "x.turns", F.concat("x.system", F.transform("x.recent", lambda t: t["piece"])).alias("repeated")
     )
-    cells = cells.withColumn("repeated", F.concat(first_system, F.transform(recent, lambda t: t["piece"])))
     cells = cells.withColumn("prefix", F.array_join("repeated", ""))
+    none = F.array().cast("array<struct<begin:int,length:int>>")
+    masked = F.aggregate(
+        "turns",
+        F.struct(F.length("prefix").alias("at"), none.alias("spans")),
+        lambda s, t: F.struct(
+            (s["at"] + F.length(t["piece"])).alias("at"),
+            F.when(
+                t["role"] == "assistant",
+                F.concat(
+                    s["spans"],
+                    F.array(F.struct((s["at"] + F.length(t["head"])).alias("begin"), F.length(t["body"]).alias("length"))),
+                ),
+            )
+            .otherwise(s["spans"])
+            .alias("spans"),
+        ),
+        lambda s: s["spans"],
+    )
     return cells.select(
         "conv_id",
         "window",
         F.concat("prefix", F.array_join(F.transform("turns", lambda t: t["piece"]), "")).alias("formatted"),
         F.size("repeated").alias("n_repeated"),
         F.size("turns").alias("n_turns"),
-        F.transform(
-            F.filter("turns", lambda t: t["target"]),
-            lambda t: F.struct(
-                (F.length("prefix") + t["at"] - begin["at"] + t["head"]).alias("begin"), t["body"].alias("length")
-            ),
-        ).alias("loss_spans"),
+        masked.alias("loss_spans"),
     )
 
 
