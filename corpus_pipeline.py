@@ -5,8 +5,9 @@ that is written as Parquet and read again as the next stage's ``docs``.  All
 but the last return the columns of ``documents``.
 
 Defined cases: null or empty texts fall to the quality rules; rows that repeat
-an id count as one document from the near-duplicate stage on; an empty table
-stays empty; further columns are carried along up to the last stage.
+an id with different texts are documents of their own, and of rows that repeat
+id and text the near-duplicate stage keeps one; an empty table stays empty;
+further columns are carried along up to the last stage.
 """
 
 from __future__ import annotations

@@ -29,6 +29,8 @@ from quillmatch.llm.common import cut, documents, in_pieces, mix, window_hashes,
 
 BANDS = 32
 ROWS = 4
+#: So many ids with several texts are sent to every task; more are shuffled.
+MIXED_ROWS = 200_000
 
 
 def shingle_sets(texts: list, size: int) -> list[np.ndarray]:
@@ -299,17 +301,38 @@ def near_duplicates(
     )
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """The rows with an id, and ``own id``: the id, or a hash of id and text where an id has several texts."""
+    named = docs.where("doc_id is not null")
+    said = F.xxhash64(F.col("text").cast("string"))
+    mixed = cut(
+        named.groupBy(F.col("doc_id").cast("long").alias("mixed id"))
+        .agg(F.min(said).alias("x"), F.max(said).alias("y"))
+        .where("x < y")
+        .select("mixed id")
+    )
+    number = F.col("doc_id").cast("long")
+    if mixed.isEmpty():
+        return named.select("*", number.alias("own id"))
+    if mixed.limit(MIXED_ROWS + 1).count() <= MIXED_ROWS:
+        mixed = F.broadcast(mixed)
+    own = F.when(F.col("mixed id").isNull(), number).otherwise(F.xxhash64(number, F.col("text").cast("string")))
+    return named.join(mixed, number == F.col("mixed id"), "left").select(*docs.columns, own.alias("own id"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their groups, with all columns.
 
-    Of rows that repeat a kept id the one with the smallest text stays; rows
-    without an id stay all.
+    Rows are judged by their texts: different texts under one id are documents
+    of their own here, each with a 64-bit hash in place of the id.  Of rows that
+    repeat id and text one stays; rows without an id stay all.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    rows = _told_apart(docs)
+    near = near_duplicates(rows.select(F.col("own id").alias("doc_id"), "text"), shingle, percent)
+    kept = near.where("kept").select(F.col("doc_id").alias("own id")).distinct()
+    order = W.partitionBy("own id").orderBy(F.col("text").asc_nulls_last())
     named = (
-        docs.where("doc_id is not null")
-        .join(kept, "doc_id", "left_semi")
+        rows.join(kept, "own id", "left_semi")
         .select(*docs.columns, F.row_number().over(order).alias("nth of its id"))
         .where("`nth of its id` = 1")
         .select(*docs.columns)
