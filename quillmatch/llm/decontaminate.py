@@ -3,25 +3,29 @@
 Texts are lower-cased and cut into words; a window holds as many words as an
 item (the whole document if that is shorter).  An item and a window are alike
 if the weighted Jaccard similarity of their ``shingle``-word shingles, counted
-with multiplicity, reaches ``percent``.  The stages, none of which loses a
-window that is alike:
-
-1. shingles of all documents meet the items' shingles in an equi-join; a
-   window that is alike holds at least ``ceil(p * 2m / (1 + p))`` of m of them
-   (p the similarity), so only the starts of windows with as many are listed;
-2. each listed window gets a 64-bit SimHash (sums of packed 16-bit lanes);
-   multi-index blocks of 8 bits, enumerated up to ``radius // 8`` flips for the
-   items, meet in an equi-join: by the pigeonhole principle every fingerprint
-   within ``radius`` shares a block; the distance is then checked;
-3. the exact weighted similarity verifies the candidates.
+with multiplicity, reaches ``percent``.  The stages:
+
+1. a window that shares no shingle with an item of its size has similarity 0,
+   so only windows that hold a shingle of some item of their size are looked at;
+   they come in runs of neighbouring starts, at most ``RUN`` to a row;
+2. every window of a run gets a 64-bit SimHash from rolling lane sums: one
+   shingle is added and one dropped from word to word;
+3. fingerprints are cut into ``BLOCKS`` blocks.  The items' blocks are listed
+   with up to ``radius // BLOCKS`` flipped bits, and windows meet them in an
+   equi-join on size, block and value: by the pigeonhole principle every pair
+   within ``radius`` shares an entry.  The distance is then checked; no pair
+   passes but through its fingerprints;
+4. the exact weighted similarity verifies the candidates.
 
 At similarity 0.8 a bit differs with probability 0.15: 9.7 of 64 are expected,
-and more than the default radius of 31 has a probability under 1e-9.
+and more than the default radius of 19 has a probability under 0.001; of
+unrelated pairs fewer than 0.1 % are within it.
 
 Defined cases: null or blank texts and items have no shingles and match
-nothing; a text or item under ``shingle`` words is one shingle; items that
-repeat are reported each; repeated rows get equal results; empty tables are
-fine on either side; other columns are ignored.
+nothing; a text or item under ``shingle`` words is one shingle; very long items
+get wider lanes (up to 2**29 shingles); items that repeat an id with different
+texts are items each; repeated rows get equal results; empty tables are fine on
+either side; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +38,11 @@ from pyspark.sql import functions as F
 from quillmatch.llm.common import cut, documents
 from quillmatch.llm.quality import let, words_of
 
-#: Item shingles up to this many are sent to every task; beyond, the join shuffles.
-BROADCAST_SHINGLES = 1_000_000
-BLOCK = 8
+#: Rows of item shingles, of index entries or of runs up to this many are sent to every task; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Starts of one row of windows.
+RUN = 256
+BLOCKS = 5
 
 
 def runs(words: Column, size: int) -> Column:
@@ -50,138 +56,178 @@ def runs(words: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def lanes(h: Column) -> list[Column]:
-    """Sixteen sums: lane i of sum j counts the rows whose hash has bit 4j+i."""
-    out = []
-    for j in range(16):
-        bits = [F.shiftleft(F.shiftright(h, 4 * j + i).bitwiseAND(F.lit(1).cast("long")), 16 * i) for i in range(4)]
-        out.append(F.sum(bits[0] + bits[1] + bits[2] + bits[3]).alias(f"lane{j}"))
-    return out
+def lane_width(longest: int) -> int:
+    """Bits of a lane that counts up to ``longest`` with two bits to spare."""
+    return 16 if longest < 1 << 13 else 32
+
+
+def fingerprints(g: str, m: str, width: int) -> Column:
+    """SimHash of every run of ``m`` entries of column ``g``: bit b is set if more than half of the entries have it.
+
+    Bit b is counted in lane b // width of sum b % width, so that one shift and
+    one mask spread a hash over a sum's lanes.
+    """
+    ones = sum(1 << (width * i) for i in range(64 // width))
+    guard = 1 << (width - 2)
+
+    def spread(h: str, j: int) -> str:
+        return f"(shiftrightunsigned({h}, {j}) & {ones}L)"
+
+    def sums(one) -> str:
+        return ", ".join(f"'sum{j}', {one(j)}" for j in range(width))
+
+    # a lane reaches the guard bit if its count is m / 2 + 1 or more
+    lift = f"(({guard}L - {m} div 2 - 1) * {ones}L)"
+    signs = " | ".join(
+        f"shiftleft(shiftrightunsigned((s.sum{j} + {lift}) & {ones * guard}L, {width - 2}), {j})" for j in range(width)
+    )
+    first = (
+        f"aggregate(slice({g}, 1, {m}), named_struct({sums(lambda j: '0L')}), "
+        f"(s, h) -> named_struct({sums(lambda j: f's.sum{j} + ' + spread('h', j))}))"
+    )
+    moved = sums(lambda j: f"s.sum{j} + {spread(f'get({g}, i + {m})', j)} - {spread(f'get({g}, i)', j)}")
+    rolled = (
+        f"aggregate(sequence(0, size({g}) - {m}), named_struct({sums(lambda j: f'f.sum{j}')}, 'out', cast(array() as array<bigint>)), "
+        f"(s, i) -> named_struct({moved}, 'out', concat(s.out, array({signs}))), s -> s.out)"
+    )
+    return F.expr(f"get(transform(array({first}), f -> {rolled}), 0)")
 
 
-def fingerprint(total: Column) -> Column:
-    """SimHash from the lanes: a bit is set if more than half of the weight has it."""
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        count = F.shiftright(F.col(f"lane{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        value = value.bitwiseOR(F.when(2 * count > total, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return value
+def block_bounds(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each block."""
+    at = [64 * k // blocks for k in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
-def block(h: Column, k: int) -> Column:
-    return F.shiftrightunsigned(h, BLOCK * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
+def block(h: Column, bounds: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(h, bounds[0]).bitwiseAND(F.lit((1 << bounds[1]) - 1).cast("long")).cast("int")
 
 
-def flips(most: int) -> list[int]:
-    return [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(BLOCK), n)]
+def flips(bits: int, most: int) -> list[int]:
+    return [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
 def prepare_items(items: DataFrame, shingle: int) -> DataFrame:
-    """item_id, n (words), k (shingle length), shingles."""
+    """item (a hash of id and text), item_id, n (words), k (shingle length), shingles."""
     rows = items.select(
-        F.col("item_id").cast("long").alias("item_id"), words_of(F.lower(F.coalesce("text", F.lit("")))).alias("w")
-    ).where("size(w) > 0")
+        F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    ).select("item_id", F.xxhash64("item_id", "text").alias("item"), words_of(F.lower("text")).alias("w"))
+    rows = rows.where("size(w) > 0").dropDuplicates(["item"])
     n = F.size("w")
     grams = F.coalesce(*[F.when(n == s, runs(F.col("w"), s)) for s in range(1, shingle)], runs(F.col("w"), shingle))
-    return rows.select("item_id", n.alias("n"), F.least(n, F.lit(shingle)).alias("k"), grams.alias("shingles"))
+    return rows.select("item", "item_id", n.alias("n"), F.least(n, F.lit(shingle)).alias("k"), grams.alias("shingles"))
 
 
-def matches(
-    docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 31
-) -> DataFrame:
-    """uid, item_id, start, words, percent of each item's best windows; ``docs`` has uid and text."""
-    if not 0 <= radius < 8 * BLOCK:
-        raise ValueError("the radius must be under 64")
-    items = cut(prepare_items(items, shingle))
-    sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most ``shingle`` numbers
-    weights = items.select("item_id", "n", "k", F.explode("shingles").alias("h"))
-    weights = weights.groupBy("item_id", "n", "k", "h").agg(F.count("*").alias("weight"))
+def window_runs(docs: DataFrame, items: DataFrame, sizes: list[int], percent: int) -> DataFrame:
+    """uid, n, k, m, lo, g: starts ``lo`` and following of windows that share a shingle with an item of ``n``
+    words; ``m`` shingles to a window, ``g`` the shingles of them all."""
+    known = items.select("n", F.explode("shingles").alias("known")).distinct()
+    if (items.select(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     words = docs.select("uid", words_of(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
-    n_words = F.size("w").alias("n_words")
     grams = None
-    for k in sorted(sizes) or [shingle]:
-        part = words.select("uid", n_words, F.lit(k).alias("k"), F.posexplode(runs(F.col("w"), k)).alias("pos", "h"))
-        grams = part if grams is None else grams.unionAll(part)
-    known = weights.select("item_id", "n", F.col("h").alias("known"))
-    few = items.select(F.sum(F.size("shingles"))).first()[0] or 0
-    if few <= BROADCAST_SHINGLES:
-        known = F.broadcast(known)
-    # a document shorter than a shingle is one shingle itself and can equal short items only
-    hits = grams.join(known, F.col("h") == F.col("known"))
-    found = hits.groupBy("uid", "item_id", "n", "k", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    m = F.least("n", "n_words") - F.col("k") + 1  # shingles of a window
-    of_item = F.col("n") - F.col("k") + 1
-    found = found.select("*", m.alias("m"), of_item.alias("mi"))
-    # inter >= percent * (m + mi - inter) / 100
-    found = found.withColumn("need", F.ceil(F.lit(percent) * (F.col("m") + F.col("mi")) / F.lit(100 + percent)).cast("int"))
-    starts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size("at") - F.col("need")),
-            lambda j: let(
-                F.struct(
-                    F.greatest(F.lit(0), F.get("at", j + F.col("need") - 1) - F.col("m") + 1).alias("a"),
-                    F.least(F.get("at", j), F.col("n_words") - F.col("k") - F.col("m") + 1).alias("b"),
-                ),
-                lambda r: F.when(r["a"] <= r["b"], F.sequence(r["a"], r["b"])).otherwise(F.array().cast("array<int>")),
-            ),
+    for k in sizes:
+        part = words.select(
+            "uid", F.size("w").alias("n_words"), F.lit(k).alias("k"), F.posexplode(runs(F.col("w"), k)).alias("pos", "h")
         )
+        grams = part if grams is None else grams.unionAll(part)
+    m = F.least("n", "n_words") - F.col("k") + 1
+    hits = (
+        grams.join(known, F.col("h") == F.col("known"))
+        .select("uid", "n", "k", "n_words", m.alias("m"), "pos")
+        .where(100 * F.col("m") >= percent * (F.col("n") - F.col("k") + 1))
     )
-    found = found.where("size(at) >= need").withColumn("starts", F.array_distinct(starts)).drop("at")
-    found = cut(found.where("size(starts) > 0"))
-    # the shingles of the listed windows, from the few documents that have any
-    keep = words.join(found.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])
-    there = None
-    for k in sorted(sizes) or [shingle]:
-        part = keep.join(found.where(F.col("k") == k), "uid").select(
-            "uid", "item_id", "k", "n_words", "m", "mi", "starts", runs(F.col("w"), k).alias("g")
-        )
-        there = part if there is None else there.unionAll(part)
-    windows = there.select("*", F.explode("starts").alias("start")).select(
-        "uid", "item_id", "k", "m", "mi", "start", F.slice("g", F.col("start") + 1, F.col("m")).alias("g")
+    key = ["uid", "n", "k", "m", "n_words"]
+    near = hits.groupBy(*key, F.floor(F.col("pos") / RUN).alias("c")).agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    lo = F.greatest(F.lit(0), F.col("a") - F.col("m") + 1)
+    hi = F.least("b", F.col("n_words") - F.col("k") + 1 - F.col("m"))
+    near = near.select(*key, lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    part = F.sequence(F.floor(F.col("lo") / RUN).cast("int"), F.floor(F.col("hi") / RUN).cast("int"))
+    spans = near.select("*", F.explode(part).alias("c"))
+    spans = spans.groupBy("uid", "n", "k", "m", "c").agg(
+        F.min(F.greatest("lo", F.col("c") * RUN)).alias("lo"), F.max(F.least("hi", F.col("c") * RUN + RUN - 1)).alias("hi")
     )
-    windows = cut(windows)
-    key = ["uid", "item_id", "start"]
-    prints = (
-        windows.select(*key, "m", F.explode("g").alias("h")).groupBy(*key, "m").agg(*lanes(F.col("h")))
-    ).select(*key, fingerprint(F.col("m")).alias("print"))
-    item_prints = (
-        items.select("item_id", F.size("shingles").alias("m"), F.explode("shingles").alias("h"))
-        .groupBy("item_id", "m")
-        .agg(*lanes(F.col("h")))
-    ).select("item_id", fingerprint(F.col("m")).alias("item_print"))
-    near = F.array(*[F.lit(x) for x in flips(radius // BLOCK)])
-    index = item_prints.select(
-        "item_id",
-        "item_print",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("no"), block(F.col("item_print"), k).alias("v")) for k in range(8)])).alias("b"),
-    ).select("item_id", "item_print", "b.no", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("b.v")))).alias("v"))
-    asked = prints.select(
-        *key,
-        "print",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("no"), block(F.col("print"), k).alias("v")) for k in range(8)])).alias("b"),
-    ).select(*key, "print", "b.no", "b.v")
-    close = (
-        asked.join(index, ["item_id", "no", "v"])
+    spans = cut(spans)
+    asked = spans.groupBy("uid").agg(F.collect_list(F.struct("n", "k", "m", "lo", "hi")).alias("spans"))
+    if spans.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+
+    def cell(s):
+        part = F.slice("w", s["lo"] + 1, s["hi"] - s["lo"] + s["m"] + s["k"] - 1)
+        g = let(part, lambda words: F.coalesce(*[F.when(s["k"] == k, runs(words, k)) for k in sizes]))
+        return F.struct(s["n"].alias("n"), s["k"].alias("k"), s["m"].alias("m"), s["lo"].alias("lo"), g.alias("g"))
+
+    there = docs.join(asked, "uid").dropDuplicates(["uid"])
+    there = there.select("uid", "spans", words_of(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
+    return there.select("uid", F.explode(F.transform("spans", cell)).alias("x")).select("uid", "x.*")
+
+
+def candidates(windows: DataFrame, items: DataFrame, radius: int, width: int) -> DataFrame:
+    """uid, n, lo, at, item: windows (start ``lo + at``) and items whose fingerprints are within ``radius``."""
+    bounds = block_bounds(BLOCKS)
+
+    def blocks(h: str):
+        return [(no, b, block(F.col(h), b)) for no, b in enumerate(bounds)]
+
+    marks = items.select(
+        "item", "n", F.get(fingerprints("shingles", "size(shingles)", width), F.lit(0)).alias("item_print")
+    )
+    def listed(no: int, b: tuple[int, int], v: Column) -> Column:
+        masks = F.expr(f"array({', '.join(map(str, flips(b[1], radius // BLOCKS)))})")
+        return F.struct(F.lit(no).alias("no"), F.transform(masks, lambda x: x.bitwiseXOR(v)).alias("vs"))
+
+    index = marks.select("*", F.explode(F.array(*[listed(*x) for x in blocks("item_print")])).alias("b"))
+    index = index.select("item", "n", "item_print", "b.no", F.explode("b.vs").alias("v"))
+    if items.count() * sum(len(flips(b[1], radius // BLOCKS)) for b in bounds) <= BROADCAST_ROWS:
+        index = F.broadcast(index)
+    asked = windows.select("uid", "n", "lo", F.posexplode(fingerprints("g", "m", width)).alias("at", "print"))
+    asked = asked.select(
+        "*", F.explode(F.array(*[F.struct(F.lit(no).alias("no"), v.alias("v")) for no, _, v in blocks("print")])).alias("b")
+    ).select("uid", "n", "lo", "at", "print", "b.no", "b.v")
+    return (
+        asked.join(index, ["n", "no", "v"])
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        .select(*key)
+        .select("uid", "n", "lo", "at", "item")
         .distinct()
     )
-    shared = (
-        windows.join(close, key)
-        .select(*key, "m", "mi", "k", F.explode("g").alias("h"))
-        .groupBy(*key, "m", "mi", "k", "h")
+
+
+def search(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 19):
+    """(prepared items, runs of windows, candidates) of ``docs`` with uid and text."""
+    if not 0 <= radius < 64:
+        raise ValueError("the radius must be under 64")
+    items = cut(prepare_items(items, shingle))
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` numbers
+    width = lane_width(items.agg(F.max(F.size("shingles"))).first()[0] or 0)
+    windows = cut(window_runs(docs, items, sizes or [shingle], percent))
+    return items, windows, cut(candidates(windows, items, radius, width))
+
+
+def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 19) -> DataFrame:
+    """uid, item_id, start, words, percent of the windows that are alike; ``docs`` has uid and text."""
+    items, windows, close = search(docs, items, shingle, percent, radius)
+    weights = items.select("item", F.size("shingles").alias("mi"), F.explode("shingles").alias("h"))
+    weights = weights.groupBy("item", "mi", "h").agg(F.count("*").alias("weight"))
+    key = ["uid", "item", "start", "k", "m"]
+    mine = (
+        close.join(windows, ["uid", "n", "lo"])
+        .select(
+            "uid", "item", (F.col("lo") + F.col("at")).alias("start"), "k", "m",
+            F.explode(F.slice("g", F.col("at") + 1, F.col("m"))).alias("h"),
+        )
+        .groupBy(*key, "h")
         .agg(F.count("*").alias("mine"))
-        .join(weights.select("item_id", "h", "weight"), ["item_id", "h"])
-        .groupBy(*key, "m", "mi", "k")
-        .agg(F.sum(F.least("mine", "weight")).alias("both"))
-    )
+    )
+    shared = mine.join(weights, ["item", "h"]).groupBy(*key, "mi").agg(F.sum(F.least("mine", "weight")).alias("both"))
     union = F.col("m") + F.col("mi") - F.col("both")
     alike = shared.where(100 * F.col("both") >= percent * union)
-    return alike.select(*key, (F.col("m") + F.col("k") - 1).alias("words"), (100.0 * F.col("both") / union).alias("percent"))
+    return alike.join(items.select("item", "item_id"), "item").select(
+        "uid", "item_id", "start", (F.col("m") + F.col("k") - 1).alias("words"), (100.0 * F.col("both") / union).alias("percent")
+    )
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 31
+    docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 19
 ) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted), best_percent: one row per document."""
     rows = documents(docs).withColumn("uid", F.xxhash64("doc_id", "text"))
@@ -204,7 +250,7 @@ def contamination(
     )
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 31) -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 19) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all columns."""
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     rows = documents(docs).select(F.xxhash64("doc_id", "text").alias("uid"), "text")
