@@ -2,8 +2,8 @@
 
 A fold over a conversation's turn tokens fills windows greedily: the system
 turn, the history and the new turns of a window have at most ``budget`` tokens
-together.  Each later window starts with the system turn and with the last new
-turns of the window before, as many as fit ``history`` tokens and leave room for
+together.  Each window that starts after the first system turn, wherever that
+stands, repeats it first, followed by the last new turns of the window before, as many as fit ``history`` tokens and leave room for
 the window's first new turn; where that turn fits the budget, but not beside
 the system turn, the window goes without it.  Only assistant turns that are new
 in a window are under its loss mask, so every target counts once.
@@ -64,16 +64,17 @@ def _turn(t: Column, i: Column) -> Column:
 def _spans(budget: int, history: int) -> Column:
     """Windows of ``turns`` as (start, stop, system, history): places of the new turns, whether the
     system turn goes first, how many turns before ``start`` are repeated."""
-    has_system = F.col("system").isNotNull()
     set_by = F.coalesce("system.tokens", F.lit(0))
 
     def span(s, stop):
         return F.struct(s["start"], stop.alias("stop"), s["system"], s["history"])
 
     def opened(s, t):
-        system = has_system & ((set_by + t["tokens"] <= budget) | ((t["tokens"] > budget) & (set_by <= budget)))
+        said = F.col("system").isNotNull() & (F.col("system.pos") < t["pos"])
+        system = said & ((set_by + t["tokens"] <= budget) | ((t["tokens"] > budget) & (set_by <= budget)))
         room = F.least(F.lit(history), budget - t["tokens"] - F.when(system, set_by).otherwise(0))
-        begin = F.when(has_system, F.greatest(s["start"], F.lit(2))).otherwise(s["start"])
+        # history reaches back to the system turn at most, so that this is not repeated twice
+        begin = F.when(said, F.greatest(s["start"], F.col("system.pos") + 1)).otherwise(s["start"])
         # the last turns first, until one does not fit
         recent = F.aggregate(
             F.reverse(F.slice("turns", begin, F.greatest(t["pos"] - begin, F.lit(0)))),
@@ -126,8 +127,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) ->
     # sorted arrays put null turns first, then go by role and text
     talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     talks = talks.select("conv_id", F.transform("turns", _turn).alias("turns"))
-    first = F.get("turns", F.lit(0))
-    talks = talks.withColumn("system", F.when(first["role"] == "system", F.struct(first["piece"], first["tokens"])))
+    talks = talks.withColumn("system", F.get(F.filter("turns", lambda t: t["role"] == "system"), F.lit(0)))
     talks = talks.withColumn("spans", _spans(budget, history))
     windows = F.transform(
         "spans",

@@ -56,17 +56,23 @@ def urls(rules: list[tuple[str, str, str]]) -> str:
 def chat(budget: int, history: int) -> str:
     esc = lambda x: f"replace(replace({x}, '\\', '\\\\'), '<|', '<\\|')"
     said = "<|im_end|><|im_start|>assistant ok"
-    return rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    return rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -1, 0, 'user', '{said}' UNION ALL SELECT -1, 1, 'assistant', '{said}'),
       p AS (SELECT *, length('<|im_start|>' || replace({esc('role')}, chr(10), '\n') || chr(10) || {esc('text')} || '<|im_end|>' || chr(10)) AS len, len(string_split_regex(trim(text, ' '), '\s+')) + 4 AS tokens FROM t),
-      o AS (SELECT *, row_number() OVER w AS pos, sum(tokens) OVER w - tokens AS before FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-      c AS (SELECT *, floor(before / {budget}) AS cell FROM o),
-      k AS (SELECT *, lag(cell) OVER (PARTITION BY conv_id ORDER BY cell) AS previous FROM (SELECT conv_id, cell, min(before) AS start, sum(len) AS own FROM c GROUP BY ALL)),
-      y AS (SELECT conv_id, max(len) FILTER (pos = 1 AND role = 'system') AS sys_len FROM c GROUP BY conv_id),
-      h AS (SELECT k.conv_id, k.cell, sum(c.len) AS chars FROM k JOIN y USING (conv_id) JOIN c ON c.conv_id = k.conv_id AND c.cell = k.previous
-        WHERE k.start - c.before <= {history} AND (c.pos > 1 OR sys_len IS NULL) GROUP BY ALL),
-      f AS (SELECT k.conv_id, own + CASE WHEN previous IS NULL THEN 0 ELSE coalesce(sys_len, 0) END + coalesce(h.chars, 0) AS chars
-        FROM k JOIN y USING (conv_id) LEFT JOIN h ON h.conv_id = k.conv_id AND h.cell = k.cell),
-      n AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id),
-      d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned FROM c GROUP BY conv_id)
+      o AS (SELECT *, row_number() OVER w AS pos, sum(tokens) OVER w - tokens AS before, sum(len) OVER w - len AS chars_before
+        FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+      y AS (SELECT conv_id, list(before ORDER BY pos) AS befores, list(chars_before ORDER BY pos) AS chars, min(pos) FILTER (role = 'system') AS sys_pos,
+        coalesce(min_by(tokens, pos) FILTER (role = 'system'), 0) AS sys_tokens, coalesce(min_by(len, pos) FILTER (role = 'system'), 0) AS sys_len FROM o GROUP BY conv_id),
+      -- turn by turn: where the open window starts, its tokens, and the characters of what it repeats
+      g(conv_id, pos, start, used, extra) AS (SELECT conv_id, 1::BIGINT, 1::BIGINT, tokens::HUGEINT, 0::HUGEINT FROM o WHERE pos = 1
+        UNION ALL SELECT conv_id, pos, CASE WHEN fits THEN start ELSE pos END,
+          CASE WHEN fits THEN used + tokens ELSE tokens + CASE WHEN sys THEN sys_tokens ELSE 0 END + before - befores[r] END,
+          CASE WHEN fits THEN 0 ELSE CASE WHEN sys THEN sys_len ELSE 0 END + chars_before - chars[r] END
+        FROM (SELECT *, least(pos, greatest(start, CASE WHEN sys_pos < pos THEN sys_pos + 1 ELSE 1 END,
+            len(list_filter(befores, lambda x: x < before - least({history}, {budget} - tokens - CASE WHEN sys THEN sys_tokens ELSE 0 END))) + 1)) AS r
+          FROM (SELECT g.conv_id, o.pos, g.start, g.used, o.tokens, o.before, o.chars_before, befores, chars, sys_pos, sys_tokens, sys_len, g.used + o.tokens <= {budget} AS fits,
+              coalesce(sys_pos < o.pos, false) AND (sys_tokens + o.tokens <= {budget} OR (o.tokens > {budget} AND sys_tokens <= {budget})) AS sys
+            FROM g JOIN o ON o.conv_id = g.conv_id AND o.pos = g.pos + 1 JOIN y ON y.conv_id = g.conv_id))),
+      n AS (SELECT conv_id, (sum(len) + any_value(extra))::BIGINT AS formatted_chars FROM o JOIN (SELECT conv_id, sum(extra) AS extra FROM g GROUP BY conv_id) USING (conv_id) GROUP BY conv_id),
+      d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned FROM o GROUP BY conv_id)
       SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM d JOIN n USING (conv_id)"""
