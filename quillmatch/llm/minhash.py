@@ -6,13 +6,13 @@ class.  A class is sketched by one permutation cut into ``bands * rows`` bins;
 empty bins borrow from a bin chosen by an independent hash sequence, repeated
 until a filled one is met.  Classes that share a band's bins share a bucket.
 A bucket emits the star from its smallest id instead of all pairs; the edges
-are confirmed on full sets; buckets that still span several components are
-visited again with the next centre until few enough pairs are left to test all
-of them, so no pair of a bucket is left untested.
+are confirmed on full sets.  Classes in buckets that still span several
+components meet once more by exact prefix filtering, so no link is lost.
 
 Defined cases: null, empty or blank text has ``n_shingles`` 0 and is linked
 with nothing; a null ``doc_id`` is linked with nothing and its
 ``component_id`` is null; repeated rows come back as often as they went in;
+rows that share an id are one document, linked by any of their texts;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,6 +31,7 @@ BANDS = 32
 ROWS = 4
 #: So many ids with several texts are sent to every task; more are shuffled.
 MIXED_ROWS = 200_000
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def shingle_sets(texts: list, size: int) -> list[np.ndarray]:
@@ -198,6 +199,22 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     )
 
 
+def on_hot_key(many: DataFrame, few: DataFrame, key: str, total: int) -> DataFrame:
+    """``many`` joined with ``few``, which has one row and the count ``k`` of its rows in ``many`` for each key.
+
+    Keys that hold more than a ten-thousandth of the ``total`` rows (and ``HOT_ROWS``) are at most ``HOT_KEYS``:
+    these are sent to every task, so that no hot key is collected in one.
+    """
+    few = cut(few)
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = few.where(F.col("k") > bound)
+    if hot.isEmpty():
+        return many.join(few, key)
+    hot = F.broadcast(hot)
+    rest = many.join(hot.select(key), key, "left_anti").join(few.where(F.col("k") <= bound), key)
+    return many.join(hot, key).unionByName(rest)
+
+
 def _sizes_fit(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -207,8 +224,9 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     live = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("root", "rep").alias("root")
     )
-    mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    return cut(live.join(mixed, "bucket").select("rep", "n", "root").distinct())
+    live = cut(live)
+    mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x < y")
+    return cut(on_hot_key(live, mixed, "bucket", live.count()).select("rep", "n", "root").distinct())
 
 
 def _prefix_pairs(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -252,8 +270,32 @@ def near_duplicates(
 
     ``percent``: documents are linked if 100 * intersection >= percent * union.
     Rows that share an id are one document: a link of any of their texts links it.
+    Where an id has several texts, these are judged apart and then linked by the id.
     """
     docs = documents(docs)
+    mixed = _mixed_ids(docs)
+    if mixed.isEmpty():
+        return _near(docs, shingle, percent, bands, rows)
+    told = _told_apart(docs, mixed).select("doc_id", "text", F.col("own id").alias("own"))
+    near = _near(told.select(F.col("own").alias("doc_id"), "text"), shingle, percent, bands, rows)
+    near = cut(near.select(F.col("doc_id").alias("own"), "n_shingles", F.col("component_id").alias("root"), "digest"))
+    names = cut(told.select("own", "doc_id").distinct())
+    ids = names.join(near.select("own", "root").distinct(), "own")
+    # a mixed id is no row's own number, so that it can stand for itself among the roots
+    edges = ids.where("own <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    joined = components(edges).select(F.col("id").alias("root"), F.col("root").alias("whole"))
+    ids = cut(ids.join(joined, "root", "left").withColumn("whole", F.coalesce("whole", "root")))
+    least = ids.groupBy("whole").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k"))
+    ids = on_hot_key(ids, least, "whole", ids.count()).select("own", "doc_id", "component_id")
+    out = near.join(ids, "own").select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "digest"
+    )
+    nameless = _near(docs.where("doc_id is null"), shingle, percent, bands, rows)
+    return out.unionByName(nameless)
+
+
+def _near(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The same for rows whose ids have one text each."""
     sketch = cut(
         docs.mapInArrow(
             in_pieces(_sketcher(shingle, bands, rows)), "doc_id long, n_shingles long, digest binary, bands array<long>"
@@ -265,20 +307,18 @@ def near_duplicates(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
         )
     )
-    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1")
-    members = cut(members.join(shared.select("bucket", "a"), "bucket"))
-    centre = members.where("rep = a").select("bucket", F.col("n").alias("na"))
+    members = cut(classes.select("rep", "n", F.explode("bands").alias("bucket")))
+    centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    members = cut(on_hot_key(members, centre, "bucket", members.count()))
     stars = (
-        members.where("rep <> a")
-        .join(centre, "bucket")
-        .where(_sizes_fit("na", "n", percent))
-        .select("a", F.col("rep").alias("b"))
+        members.where(F.col("rep") != F.col("c.rep"))
+        .where(_sizes_fit("c.n", "n", percent))
+        .select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
     links = cut(_confirm(cut(stars), docs, shingle, percent))
     roots = cut(components(links))
-    rest = _unsettled(members.where("rep <> a"), roots)
+    rest = _unsettled(members.where(F.col("rep") != F.col("c.rep")).drop("c", "k"), roots)
     if not rest.isEmpty():
         more = cut(_confirm(cut(_prefix_pairs(rest, docs, shingle, percent)), docs, shingle, percent))
         if not more.isEmpty():
@@ -301,20 +341,25 @@ def near_duplicates(
     )
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """The rows with an id, and ``own id``: the id, or a hash of id and text where an id has several texts."""
-    named = docs.where("doc_id is not null")
+def _mixed_ids(docs: DataFrame) -> DataFrame:
+    """The ids that have several texts, as ``mixed id``."""
     said = F.xxhash64(F.col("text").cast("string"))
-    mixed = cut(
-        named.groupBy(F.col("doc_id").cast("long").alias("mixed id"))
+    return cut(
+        docs.where("doc_id is not null")
+        .groupBy(F.col("doc_id").cast("long").alias("mixed id"))
         .agg(F.min(said).alias("x"), F.max(said).alias("y"))
         .where("x < y")
         .select("mixed id")
     )
+
+
+def _told_apart(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows with an id, and ``own id``: the id, or a hash of id and text where an id has several texts."""
+    named = docs.where("doc_id is not null")
     number = F.col("doc_id").cast("long")
     if mixed.isEmpty():
         return named.select("*", number.alias("own id"))
-    if mixed.limit(MIXED_ROWS + 1).count() <= MIXED_ROWS:
+    if mixed.count() <= MIXED_ROWS:
         mixed = F.broadcast(mixed)
     own = F.when(F.col("mixed id").isNull(), number).otherwise(F.xxhash64(number, F.col("text").cast("string")))
     return named.join(mixed, number == F.col("mixed id"), "left").select(*docs.columns, own.alias("own id"))
@@ -327,8 +372,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     of their own here, each with a 64-bit hash in place of the id.  Of rows that
     repeat id and text one stays; rows without an id stay all.
     """
-    rows = _told_apart(docs)
-    near = near_duplicates(rows.select(F.col("own id").alias("doc_id"), "text"), shingle, percent)
+    rows = _told_apart(docs, _mixed_ids(docs))
+    near = _near(rows.select(F.col("own id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle, percent)
     kept = near.where("kept").select(F.col("doc_id").alias("own id")).distinct()
     order = W.partitionBy("own id").orderBy(F.col("text").asc_nulls_last())
     named = (

@@ -1,7 +1,8 @@
 import random
 
 import brute
-from quillmatch.llm.minhash import components, near_duplicates
+from pyspark.sql import functions as F
+from quillmatch.llm.minhash import components, near_duplicates, on_hot_key
 
 
 def as_dict(df):
@@ -54,3 +55,20 @@ def test_families_below_and_above(spark):
     want = brute.near_duplicates(rows, 4, 80)
     assert as_dict(near_duplicates(df, 4)) == want
     assert 10 < len({c for _, c in want.values()}) < 70
+
+
+def test_ids_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (5, a), (5, b), (9, b + " z"), (11, "c d e f g h"), (11, None), (12, a + " y"), (None, a), (20, "q r s t u"), (20, "v w x y z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == sorted(
+        [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (11, 11, True), (11, 11, True), (12, 3, False), (20, 20, True), (20, 20, True)]
+    )
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_hot_keys_join_whole(spark):
+    many = spark.range(6000).selectExpr("id", "if(id < 2500, 0, id) as bucket")
+    few = many.groupBy("bucket").agg(F.count("*").alias("k"), F.min("id").alias("least"))
+    got = on_hot_key(many, few, "bucket", 6000)
+    assert got.count() == 6000 and got.where("least <> if(id < 2500, 0, id)").count() == 0
