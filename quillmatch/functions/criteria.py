@@ -82,8 +82,12 @@ def triage_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(X.TRIAGE_STOPWORDS)))
 
 
-def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column, terms: Column) -> Column:
-    """How much a criterion tells: base by type, raised by signals, lowered for administration, 0 at least."""
+def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column, terms: Column, typed: Column | None = None) -> Column:
+    """How much a criterion tells: base by type, raised by signals, lowered for administration, 0 at least.
+
+    ``typed``: whether the criterion has a predicate.
+    """
+    typed = F.lit(False) if typed is None else typed
     low = F.lower(F.coalesce(text, F.lit("")))
     base = F
     for k, v in X.TRIAGE_BASE.items():
@@ -95,6 +99,7 @@ def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column
         + add(exclusion, 0.4)
         + add(exclusion & kind.isin(list(X.TRIAGE_STRONG_EXCLUSIONS)), 0.8)
         + add(mandatory, 0.3)
+        + add(typed, 0.4)
         + F.least(F.lit(3.0), 0.7 * F.size(F.array_intersect(terms, triage_terms(low))))
     )
     for pattern, v in X.TRIAGE_WORDS:
@@ -103,6 +108,27 @@ def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column
     return F.greatest(score, F.lit(0.0))
 
 
+def triage_reasons(text: Column, kind: Column, polarity: Column, mandatory: Column, terms: Column, typed: Column) -> Column:
+    """What raised or lowered `triage_score`, in order."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    exclusion = polarity == "exclusion"
+    matched = F.array_sort(F.array_intersect(terms, triage_terms(low)))
+    names = ("disease_severity", "molecular_status", "functional_status")
+    return F.array_compact(
+        F.array(
+            F.concat(F.lit("type:"), kind),
+            F.when(exclusion, "exclusion"),
+            F.when(exclusion & kind.isin(list(X.TRIAGE_STRONG_EXCLUSIONS)), "high_signal_exclusion"),
+            F.when(mandatory, "mandatory"),
+            F.when(typed, "typed_predicate"),
+            F.when(F.size(matched) > 0, F.concat(F.lit("patient_match:"), F.array_join(F.slice(matched, 1, 4), ","))),
+            *[F.when(low.rlike(p), name) for name, (p, _) in zip(names, X.TRIAGE_WORDS)],
+            F.when(any_of(low, X.TRIAGE_ADMIN), "administrative_penalty"),
+            F.when(low.rlike(X.TRIAGE_BROAD), "broad_organ_function"),
+        )
+    )
+
+
 def lookup_keys(term: Column) -> Column:
     """Keys to try in a thesaurus, in order: whole, without a qualifier, its three longest words."""
     whole = F.trim(F.regexp_replace(F.lower(F.regexp_replace(term, r"[()]", " ")), r"\s+", " "))

@@ -60,7 +60,21 @@ def negated_terms(text: Column) -> Column:
         return once(stemmed(s), windows)
 
     found = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), X.SENTENCE_END), sentence))
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin(X.ENTITY_STOPWORDS)))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(X.ENTITY_STOPWORDS + X.GENERIC_TERMS)))
+
+
+def irrelevance_terms(text: Column, drop_generic: bool = True) -> Column:
+    drop = X.IRRELEVANCE_STOPWORDS + (X.IRRELEVANCE_GENERIC if drop_generic else [])
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({X.SELECTION_TOKEN})"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(drop)))
+
+
+def country(text: Column) -> Column:
+    """The canonical name of a country if ``text`` is one of its aliases, else null."""
+    t, out = F.lower(F.trim(text)), F
+    for name, aliases in X.COUNTRIES.items():
+        out = out.when(t.isin(*aliases, name), F.lit(name))
+    return out.otherwise(F.lit(None).cast("string"))
 
 
 def selection_terms(text: Column) -> Column:
@@ -148,6 +162,10 @@ def sex(text: Column) -> Column:
     return F.when(t.isin("MALE", "FEMALE"), t).otherwise("ALL")
 
 
+def first_integer(text: Column) -> Column:
+    return F.regexp_extract(text, r"(\d+)", 1).try_cast("long")
+
+
 def yes_no(text: Column) -> Column:
     t = F.lower(F.trim(text))
     return F.when(t.isin("yes", "true", "1"), True).when(t.isin("no", "false", "0"), False)

@@ -120,6 +120,7 @@ def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
         total(inc & sub & met, c("sure")).alias("sub_met_w"),
         total(inc & no, c("sure")).alias("inc_failed_w"),
         total(inc & nei & must, F.lit(0.75)).alias("required_w"),
+        total(inc & nei, F.when(must, 0.75).otherwise(0.45)).alias("missing_w"),
         total(~inc & no, c("sure")).alias("exc_clear_w"),
         total(~inc & met, c("sure")).alias("exc_hit_w"),
         total(~inc & nei, F.when(must, 0.25).otherwise(0.15)).alias("exc_unknown_w"),
@@ -130,6 +131,7 @@ def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
         over("inc_met_w", "inc_total").alias("inclusion_support"),
         over("sub_met_w", "sub_total").alias("substantive_support"),
         over("inc_failed_w", "inc_total").alias("inclusion_failure"),
+        over("missing_w", "inc_total").alias("inclusion_missing"),
         over("exc_clear_w", "exc_total", 1.0).alias("exclusion_clear"),
         over("exc_hit_w", "exc_total").alias("exclusion_penalty"),
         over("exc_unknown_w", "exc_total").alias("exclusion_unknown"),
@@ -143,7 +145,9 @@ def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
     )
     thin = F.when(c("label") == "eligible", few + F.when(c("fraction_nei") >= 0.65, 0.04).otherwise(0.0)).otherwise(0.0)
     known = trials.select("trial", "label", "n_inc", "inc_met", "fraction_nei")
-    parts = parts.join(known, "trial").withColumn("thin", thin)
+    # a trial without criteria, or with headings only, has nothing for or against it
+    parts = known.join(parts, "trial", "left").fillna(1.0, ["exclusion_clear"])
+    parts = parts.fillna(0.0, [x for x in parts.columns if x not in ("trial", "label", "exclusion_clear")]).withColumn("thin", thin)
     score = clamp(
         0.38 * c("inclusion_support")
         + 0.30 * c("substantive_support")

@@ -24,9 +24,8 @@ def topic_metrics(run: DataFrame, qrels: DataFrame, linear: bool = False) -> Dat
     judged = run.join(qrels, key, "left").withColumn("g", F.coalesce("grade", F.lit(0)))
     w = W.partitionBy("topic_id").orderBy("rank")
     judged = judged.withColumn("hits", F.sum(F.when(F.col("g") > 0, 1).otherwise(0)).over(w))
-    ideal = qrels if not shared else qrels
     by = [] if shared else ["topic_id"]
-    best = ideal.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("grade"), "doc_id")))
+    best = qrels.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("grade"), "doc_id")))
     if shared:  # grades are few: their counts give the ideal order without sorting the judgements
         counts = qrels.groupBy("grade").agg(F.count("*").alias("n"))
         start = F.sum("n").over(W.orderBy(F.desc("grade"))) - F.col("n")
@@ -114,19 +113,34 @@ def stage_hits(run: DataFrame, qrels: DataFrame, cutoffs: tuple = X.CUTOFFS) ->
     return judged.groupBy("topic_id").agg(F.array(*cells).alias("x")).select("topic_id", F.inline("x"))
 
 
-def sweep(scored: DataFrame, highs: list[float], lows: list[float]) -> DataFrame:
-    """Every pair of thresholds: label 2 from ``high`` up, 0 below ``low``, else 1; a veto is 1.
+def sweep(rows: DataFrame, fractions: list[float], nei: list[float]) -> DataFrame:
+    """Labels under every policy (least share of inclusions met, most share unknown) against gold; a veto stays 1.
 
-    One small grid meets the rows map-side; counts combine before the shuffle.
+    ``rows``: gold, n_inc, inc_met, exc_met, fraction_nei, veto.  Equal rows are counted first, so that
+    the grid meets the few distinct outcomes and not the rows.
     """
-    grid = F.array(*[F.struct(F.lit(h).alias("high"), F.lit(x).alias("low")) for h in highs for x in lows])
-    rows = scored.select("gold", "score", "veto", F.explode(grid).alias("g")).select(
-        "gold",
-        "g.high",
-        "g.low",
-        F.when(F.col("veto"), 1).when(F.col("score") >= F.col("g.high"), 2).when(F.col("score") < F.col("g.low"), 0).otherwise(1).alias("predicted"),
+    c = F.col
+    kinds = rows.groupBy("gold", "n_inc", "inc_met", (c("exc_met") > 0).alias("hit"), "fraction_nei", "veto").agg(F.count("*").alias("n"))
+    grid = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(x).alias("most_nei")) for f in fractions for x in nei])
+    cells = kinds.select("*", F.posexplode(grid).alias("place", "g")).select("*", "g.fraction", "g.most_nei")
+    enough = c("inc_met") >= F.greatest(F.lit(1), (c("fraction") * c("n_inc")).cast("int"))
+    met = (c("n_inc") > 0) & ~c("hit") & ((c("inc_met") == c("n_inc")) | (enough & (c("fraction_nei") < c("most_nei"))))
+    said = F.when(~c("veto") & met, 2).otherwise(1)
+    cells = cells.withColumn("predicted", said)
+    count = lambda cond: F.sum(F.when(cond, c("n")).otherwise(0))
+    by = cells.groupBy("place", "fraction", "most_nei").agg(
+        count((c("gold") == 2) & (c("predicted") == 2)).alias("tp"),
+        count((c("gold") == 2) | (c("predicted") == 2)).alias("either"),
+        count(c("gold") == c("predicted")).alias("right"),
+        F.sum("n").alias("n"),
     )
-    return averages(class_scores(rows, ["high", "low"]), ["high", "low"])
+    f1 = F.coalesce(F.try_divide(2 * c("tp"), c("tp") + c("either")), F.lit(0.0))
+    out = by.select("place", "fraction", "most_nei", F.round(f1, 6).alias("class_2_f1"), F.round(c("right") / c("n"), 6).alias("micro_f1"))
+    first = lambda *order: F.row_number().over(W.orderBy(*[F.desc(x) for x in order], "place")) == 1
+    return out.select(
+        "fraction", "most_nei", "class_2_f1", "micro_f1",
+        first("class_2_f1", "micro_f1").alias("best_class_2"), first("micro_f1", "class_2_f1").alias("best_micro"),
+    )
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -140,9 +154,11 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def missing(qrels: DataFrame, corpus: DataFrame, index: DataFrame, run: DataFrame) -> DataFrame:
-    """(topic_id, doc_id, reason) of relevant documents: retrieved, not_in_corpus, not_in_index, not_retrieved."""
-    topics = run.select("topic_id").distinct()
-    want = qrels.where("grade > 0").select("doc_id").crossJoin(F.broadcast(topics))
+    """(topic_id, doc_id, reason) of each topic's relevant documents: retrieved, not_in_corpus, not_in_index, not_retrieved.
+
+    ``qrels``: topic_id, doc_id, grade; topics without a run are left out.
+    """
+    want = qrels.where("grade > 0").select("topic_id", "doc_id").join(run.select("topic_id").distinct(), "topic_id", "left_semi")
     have = lambda df, name, key: df.select(*key).distinct().withColumn(name, F.lit(True))
     rows = (
         want.join(have(run, "r", ["topic_id", "doc_id"]), ["topic_id", "doc_id"], "left")

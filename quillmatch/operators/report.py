@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions import fixed as X
+from quillmatch.functions import text as T
 from quillmatch.operators.retrieval import top
 
 
@@ -67,31 +67,42 @@ def attention_flags() -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))
 
 
-def geography(locations: Column, home: Column, home_country: Column) -> Column:
-    """Score of the first location that hits: same country 1, part of its name .7, contains it .5."""
-    home = F.lower(F.trim(home))
+def geography(locations: Column, home: Column) -> Column:
+    """Score of the first location that hits: same country (by alias) 1, state or city that holds ``home`` .7 or stands in it .5."""
+    where, country = F.lower(F.trim(home)), T.country(home)
 
     def one(place: Column) -> Column:
-        out = F.when(home_country.isNotNull() & (F.lower(place["country"]) == F.lower(home_country)), 1.0)
+        out = F.when(country == T.country(place["country"]), 1.0)
         for part in ("state", "city"):
             name = F.lower(place[part])
-            out = out.when((name != "") & F.contains(name, home), 0.7).when((name != "") & F.contains(home, name), 0.5)
+            out = out.when((name != "") & F.contains(name, where), 0.7).when((name != "") & F.contains(where, name), 0.5)
         return out.otherwise(0.0)
 
     hits = F.filter(F.transform(locations, one), lambda s: s > 0)
-    return F.when(F.coalesce(home, F.lit("")) == "", 0.0).otherwise(F.coalesce(F.get(hits, F.lit(0)), F.lit(0.0)))
+    return F.when(F.coalesce(where, F.lit("")) == "", 0.0).otherwise(F.coalesce(F.get(hits, F.lit(0)), F.lit(0.0)))
 
 
-def fill(ranked: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
-    """``ranked`` (topic_id, doc_id, score) filled up to ``k`` per topic with ``excluded``, below all that is there."""
-    have = ranked.groupBy("topic_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+def fill(ranked: DataFrame, candidates: DataFrame, k: int, tail: bool = False) -> DataFrame:
+    """``ranked`` (topic_id, doc_id, score) filled up to ``k`` per topic, below all that is there.
+
+    ``candidates``: topic_id, doc_id, score, hard_excluded, evaluated, in_corpus.  Only those that are neither
+    ranked nor evaluated and stand in the corpus fill: with ``tail`` first the viable ones, then the excluded.
+    """
+    free = candidates.where("not evaluated and in_corpus").join(ranked.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
     order = [F.desc_nulls_last("score"), F.asc("doc_id")]
-    extra = top(excluded.select("topic_id", "doc_id", "score"), ["topic_id"], order, k, "i").join(have, "topic_id", "left")
-    slots = k - F.coalesce("n", F.lit(0))
-    base = F.least(F.lit(-2.0), F.coalesce("low", F.lit(-1.0)) - 1)
-    prior = F.greatest(F.lit(0.0), 1 - (F.col("i") - 1) / F.greatest(slots, F.lit(1)))
-    extra = extra.where(F.col("i") <= slots).select("topic_id", "doc_id", (base + 0.001 * prior).alias("score"), F.lit(True).alias("filled"))
-    return ranked.select("topic_id", "doc_id", "score", F.lit(False).alias("filled")).unionAll(extra)
+    parts = ranked.select("topic_id", "doc_id", "score", F.lit("ranked").alias("source"))
+    for source, wanted, floor, gap in (("tail", "not hard_excluded", -1.5, 0.5), ("excluded", "hard_excluded", -2.0, 1.0)):
+        if source == "tail" and not tail:
+            continue
+        have = parts.groupBy("topic_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+        extra = top(free.where(wanted).select("topic_id", "doc_id", "score"), ["topic_id"], order, k, "i").join(have, "topic_id", "left")
+        slots = k - F.coalesce("n", F.lit(0))
+        base = F.least(F.lit(floor), F.coalesce("low", F.lit(-1.0)) - gap)
+        prior = F.greatest(F.lit(0.0), 1 - (F.col("i") - 1) / F.greatest(slots, F.lit(1)))
+        parts = parts.unionAll(
+            extra.where(F.col("i") <= slots).select("topic_id", "doc_id", (base + 0.001 * prior).alias("score"), F.lit(source).alias("source"))
+        )
+    return parts
 
 
 def irrelevance(policy_min_nei: float = 0.8, max_met: int = 0, max_prior: float = 0.5, least: int = 3) -> Column:

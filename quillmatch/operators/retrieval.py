@@ -11,13 +11,15 @@ from quillmatch.functions.text import index_tokens
 
 #: Query sides up to so many rows are sent to every task; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: Queries that a dense search holds at once.
 BLOCK_QUERIES = 10_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if its counted rows and bytes (as JSON text) are few."""
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES else df
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

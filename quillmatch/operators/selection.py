@@ -7,29 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
-from quillmatch.functions.text import entity_terms, jaccard, overlap_cosine, selection_terms, support
+from quillmatch.functions.text import entity_terms, jaccard, once, overlap_cosine, selection_terms, support
 from quillmatch.operators.retrieval import small, top
 
 
-def hard_filter(trials: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every candidate with its first reason to be excluded, or null; nothing is dropped.
+def hard_filter(
+    candidates: DataFrame, trials: DataFrame, people: DataFrame, statuses: tuple | None = None, filter_status: bool = True
+) -> DataFrame:
+    """``candidates`` (topic_id, trial) with hard_excluded and the first reason to exclude, or null; nothing is dropped.
 
-    Candidates are trials paired with profiles by id; a missing profile side passes.
-    Reasons in order: not in the corpus, age, status.
+    ``trials``: trial, status, sex (ALL, MALE, FEMALE), min_days, max_days, raw_min, raw_max.  ``people``: topic_id,
+    age_years, sex (male, female, unknown).  Reasons in order: not in the corpus, age, sex, status; what is unknown passes.
     """
-    people = profiles.select(F.col("p_partkey").alias("trial"), F.col("p_size").alias("age"))
-    rows = people.join(trials, "trial", "left")
-    age_bad = F.coalesce((F.col("age") * 365 < 18 * 365) & F.col("updated").isNotNull(), F.lit(False))
-    reason = (
-        F.when(F.col("status").isNull(), "trial not found in corpus")
-        .when(age_bad, "age out of range")
-        .when(~F.col("status").isin(list(X.ACTIVE_STATUSES)), F.concat(F.lit("status "), F.col("status")))
+    allowed = sorted(X.ACTIVE_STATUSES if statuses is None else statuses)
+    rows = candidates.join(people.withColumnRenamed("sex", "own_sex"), "topic_id", "left").join(
+        trials.withColumn("known", F.lit(True)), "trial", "left"
     )
-    return rows.select("trial", "age", reason.alias("excluded_reason"))
+    days, text = F.col("age_years").cast("double") * 365, lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    young, old = F.coalesce(days < F.col("min_days"), F.lit(False)), F.coalesce(days > F.col("max_days"), F.lit(False))
+    own = F.coalesce("own_sex", F.lit("unknown"))
+    other_sex = (F.col("sex") != "ALL") & (own != "unknown") & (F.upper(own) != F.col("sex"))
+    age = F.coalesce(F.col("age_years").cast("double").cast("string"), F.lit("None"))
+    listed = "[" + ", ".join(f"'{s}'" for s in allowed) + "]"
+    reason = F.when(F.col("known").isNull(), "trial not found in corpus").when(
+        young | old, F.concat(F.lit("age "), age, F.lit(" outside ["), text("raw_min"), F.lit(", "), text("raw_max"), F.lit("]"))
+    )
+    reason = reason.when(other_sex, F.concat(F.lit("sex "), own, F.lit(" vs trial "), F.col("sex")))
+    if filter_status:
+        reason = reason.when(~F.col("status").isin(allowed), F.concat(F.lit("status "), F.col("status"), F.lit(f" not in {listed}")))
+    rows = rows.select(*[rows[c] for c in candidates.columns], reason.alias("excluded_reason"))
+    return rows.withColumn("hard_excluded", F.col("excluded_reason").isNotNull())
 
 
 def features(run: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
     """Overlap cosine, Jaccard and support of each candidate's terms with its topic's."""
+    run = run.persist()  # counted before it is joined
     cands = docs.join(small(run.select("doc_id").distinct()), "doc_id").select("doc_id", entity_terms(F.col("text")).alias("d"))
     asked = topics.select("topic_id", entity_terms(F.col("text")).alias("q"))
     rows = run.join(cands, "doc_id").join(small(asked), "topic_id")
@@ -59,6 +71,7 @@ def diverse(run: DataFrame, docs: DataFrame, topics: DataFrame, keep: int, total
 
     A pool is a bounded array of one row, so the greedy steps are a fold inside it.
     """
+    run = run.persist()  # counted before it is joined
     cands = docs.join(small(run.select("doc_id").distinct()), "doc_id").select("doc_id", selection_terms(F.col("text")).alias("d"))
     asked = topics.select("topic_id", selection_terms(F.col("text")).alias("q"))
     rows = run.join(cands, "doc_id").join(small(asked), "topic_id")
@@ -68,23 +81,23 @@ def diverse(run: DataFrame, docs: DataFrame, topics: DataFrame, keep: int, total
     rows = rows.withColumn("base", 0.70 * norm + 0.20 * support(F.col("d"), F.col("q")))
     pool = rows.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "base", "d"))).alias("pool"))
 
-    def step(chosen, _):
-        left = F.filter("pool", lambda c: ~F.exists(chosen, lambda s: s["doc_id"] == c["doc_id"]))
-
-        def value(c):
-            near = F.array_max(F.transform(chosen, lambda s: jaccard(c["d"], s["d"])))
-            return F.struct(
-                F.round(c["base"] + 0.10 * (1 - F.coalesce(near, F.lit(0.0))), 9).alias("v"),
-                c["score"].alias("score"),
-                (-c["rank"]).alias("back"),
-                c["doc_id"].alias("doc_id"),
-            )
-
-        best = F.array_max(F.transform(left, value))
-        return F.when(F.size(left) == 0, chosen).otherwise(
-            F.concat(chosen, F.filter(left, lambda c: c["doc_id"] == best["doc_id"]))
+    def value(c, chosen):
+        near = F.array_max(F.transform(chosen, lambda s: jaccard(c["d"], s["d"])))
+        return F.struct(
+            F.round(c["base"] + 0.10 * (1 - F.coalesce(near, F.lit(0.0))), 9).alias("v"),
+            c["score"].alias("score"),
+            (-c["rank"]).alias("back"),
+            c["doc_id"].alias("doc_id"),
         )
 
+    def step(chosen, _):
+        def pick(left):
+            best = F.array_max(F.transform(left, lambda c: value(c, chosen)))
+            more = once(best, lambda b: F.concat(chosen, F.filter(left, lambda c: c["doc_id"] == b["doc_id"])))
+            return F.when(F.size(left) == 0, chosen).otherwise(more)
+
+        return once(F.filter("pool", lambda c: ~F.exists(chosen, lambda s: s["doc_id"] == c["doc_id"])), pick)
+
     picked = F.aggregate(F.sequence(F.lit(1), F.lit(total - keep)), F.slice("pool", 1, keep), step)
     out = pool.select("topic_id", F.posexplode(picked).alias("i", "c"))
     return out.select("topic_id", F.col("c.doc_id").alias("doc_id"), (F.col("i") + 1).alias("place"))

@@ -56,7 +56,7 @@ COSINE = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_dot_product
 def dense(where: str, k: int) -> str:
     return f"""SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (
         SELECT q.vec_id AS query_id, v.vec_id, round({COSINE.format('q.embedding', 'v.embedding')}, 6) AS score
-        FROM embeddings v, embeddings q WHERE q.vec_id < 10 AND {where})) WHERE rank <= {k}"""
+        FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND {where})) WHERE rank <= {k}"""
 
 
 TYPES = "CASE l_linenumber % 7 WHEN 0 THEN 'other' WHEN 1 THEN 'age' WHEN 2 THEN 'sex' WHEN 3 THEN 'biomarker' WHEN 4 THEN 'lab' WHEN 5 THEN 'diagnosis' ELSE 'comorbidity' END"
@@ -108,13 +108,13 @@ def evidence() -> str:
     over = lambda a, b, empty=0: f"CASE WHEN {b} > 0 THEN least(1, {a} / {b}) ELSE {empty} END::DOUBLE"
     return f"""WITH {EVALS}, {COUNTS}, sums AS (SELECT trial, {total(inc)} AS it, {total(exc)} AS et, {total(f"{inc} AND {sub}")} AS st,
         {total(f"{inc} AND label = 'met'", sure)} AS im, {total(f"{inc} AND {sub} AND label = 'met'", sure)} AS sm, {total(f"{inc} AND label = 'not_met'", sure)} AS inf,
-        {total(f"{inc} AND label = 'NEI' AND mandatory", '0.75::DOUBLE')} AS rq, {total(f"{exc} AND label = 'not_met'", sure)} AS ec, {total(f"{exc} AND label = 'met'", sure)} AS eh,
+        {total(f"{inc} AND label = 'NEI' AND mandatory", '0.75::DOUBLE')} AS rq, {total(f"{inc} AND label = 'NEI'", 'CASE WHEN mandatory THEN 0.75::DOUBLE ELSE 0.45::DOUBLE END')} AS ms, {total(f"{exc} AND label = 'not_met'", sure)} AS ec, {total(f"{exc} AND label = 'met'", sure)} AS eh,
         {total(f"{exc} AND label = 'NEI'", 'CASE WHEN mandatory THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END')} AS eu FROM evals GROUP BY trial),
-      parts AS (SELECT trial, {over('im', 'it')} AS a, {over('sm', 'st')} AS b, {over('inf', 'it')} AS c, {over('ec', 'et', 1)} AS d, {over('eh', 'et')} AS e, {over('eu', 'et')} AS f,
+      parts AS (SELECT trial, {over('im', 'it')} AS a, {over('sm', 'st')} AS b, {over('inf', 'it')} AS c, {over('ms', 'it')} AS miss, {over('ec', 'et', 1)} AS d, {over('eh', 'et')} AS e, {over('eu', 'et')} AS f,
         least(1, rq / greatest(it + 0.45::DOUBLE * et, 1e-9))::DOUBLE AS g FROM sums),
       thin AS (SELECT p.*, fraction_nei, CASE WHEN {label('benchmark')} = 'eligible' THEN CASE WHEN n_inc = 0 OR inc_met = 0 THEN 0.12::DOUBLE WHEN inc_met <= 1 AND b < 0.35::DOUBLE THEN 0.10::DOUBLE
         WHEN inc_met <= 1 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN fraction_nei >= 0.65::DOUBLE THEN 0.04::DOUBLE ELSE 0 END ELSE 0 END::DOUBLE AS t FROM parts p JOIN counts USING (trial))
-      SELECT trial, round(a + 1e-9, 6) AS inclusion_support, round(b + 1e-9, 6) AS substantive_support, round(c + 1e-9, 6) AS inclusion_failure, round(d + 1e-9, 6) AS exclusion_clear, round(e + 1e-9, 6) AS exclusion_penalty,
+      SELECT trial, round(a + 1e-9, 6) AS inclusion_support, round(b + 1e-9, 6) AS substantive_support, round(c + 1e-9, 6) AS inclusion_failure, round(miss + 1e-9, 6) AS inclusion_missing, round(d + 1e-9, 6) AS exclusion_clear, round(e + 1e-9, 6) AS exclusion_penalty,
         round(f + 1e-9, 6) AS exclusion_unknown, round(g + 1e-9, 6) AS missing_required, round(t + 1e-9, 6) AS thin,
         round(least(1, greatest(0, 0.38 * a + 0.30 * b + 0.12 * d + 0.10 * (1 - fraction_nei) - 0.45 * c - 0.72 * e - 0.06 * f - 0.42 * g - t)) + 1e-9, 6)::DOUBLE AS evidence FROM thin"""
 
@@ -194,12 +194,12 @@ def negated() -> str:
       w AS (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS k FROM s),
       c AS (SELECT conv_id, turn, CASE WHEN t[k] || ' ' || coalesce(t[k + 1], '') IN {_in(X.NEGATION_BIGRAMS)} THEN t[k + 2:k + 8] WHEN t[k] IN {_in(X.NEGATION_CUES)} THEN t[k + 1:k + 7] END AS x FROM w),
       f AS (SELECT DISTINCT conv_id, turn, unnest(x) AS term FROM c),
-      g AS (SELECT conv_id, turn, string_agg(term, ' ' ORDER BY term) AS terms FROM f WHERE term NOT IN {_in(X.ENTITY_STOPWORDS)} GROUP BY ALL)
+      g AS (SELECT conv_id, turn, string_agg(term, ' ' ORDER BY term) AS terms FROM f WHERE term NOT IN {_in(X.ENTITY_STOPWORDS + X.GENERIC_TERMS)} GROUP BY ALL)
       SELECT conv_id, turn, coalesce(terms, '') AS terms FROM conversations LEFT JOIN g USING (conv_id, turn)"""
 
 
-SPLIT_TEXT = r"""(CASE doc_id % 4 WHEN 0 THEN 'Inclusion Criteria: ' || split(coalesce(text, ''), chr(10))[1] || ' EXCLUSION criteria ' || array_to_string(split(coalesce(text, ''), chr(10))[2:6], chr(10))
-        WHEN 1 THEN 'Inclusion Criteria: ' || text WHEN 2 THEN split(coalesce(text, ''), chr(10))[1] || ' exclusion criteria: x y' ELSE text END)"""
+SPLIT_TEXT = r"""(CASE doc_id % 4 WHEN 0 THEN 'Inclusion Criteria: ' || split(coalesce(text, ''), chr(10))[1] || ' EXCLUSION criteria ' || array_to_string(split(coalesce(text, ''), chr(10))[2:], chr(10))
+        WHEN 1 THEN 'Inclusion Criteria: ' || text WHEN 2 THEN text || ' exclusion criteria: x y' ELSE text END)"""
 SPLIT = rf"""WITH a AS (SELECT doc_id, t, regexp_extract(t, '(?is)inclusion\s*criteria\s*:?') AS im, regexp_extract(t, '(?is)exclusion\s*criteria\s*:?') AS em FROM (SELECT doc_id, coalesce({SPLIT_TEXT}, '') AS t FROM documents)),
       b AS (SELECT *, CASE WHEN im <> '' THEN strpos(t, im) END AS i, CASE WHEN em <> '' THEN strpos(t, em) END AS e FROM a)
       SELECT doc_id, md5(regexp_replace(CASE WHEN i < e THEN substr(t, i + length(im), e - i - length(im)) WHEN i IS NOT NULL AND e IS NULL THEN substr(t, i + length(im)) WHEN i IS NULL AND e IS NOT NULL THEN substr(t, 1, e - 1) ELSE t END, '^\s+|\s+$', '', 'g')) AS inclusion,
@@ -218,8 +218,13 @@ def phases() -> str:
         WHEN contains(x, 'PHASE2') AND contains(x, 'PHASE3') THEN 'PHASE2_PHASE3' {has} ELSE 'NA' END AS xml_phase FROM (SELECT p_partkey, {j} AS j, {x} AS x FROM (SELECT p_partkey, {PHASE_TEXT} AS t FROM part))"""
 
 
-HARD = f"""WITH {TRIALS} SELECT p_partkey AS trial, p_size AS age, CASE WHEN status IS NULL THEN 'trial not found in corpus' WHEN p_size * 365 < 18 * 365 AND updated IS NOT NULL THEN 'age out of range'
-        WHEN status NOT IN {_in(X.ACTIVE_STATUSES)} THEN 'status ' || status END AS excluded_reason FROM part LEFT JOIN trials ON trial = p_partkey"""
+PEOPLE = """people AS (SELECT p_partkey AS topic_id, CASE WHEN p_partkey % 9 > 0 THEN p_size::DOUBLE END AS age, ['male', 'female', 'unknown'][p_partkey % 3 + 1] AS own FROM part)"""
+STUDIES = f"""{TRIALS}, studies AS (SELECT trial, status, CASE trial % 4 WHEN 0 THEN 'MALE' WHEN 1 THEN 'FEMALE' ELSE 'ALL' END AS sex, CASE WHEN trial % 7 > 0 THEN trial % 40 END AS low, CASE WHEN trial % 5 > 0 THEN trial % 40 + 15 END AS high FROM trials)"""
+HARD = f"""WITH {STUDIES}, {PEOPLE}, r AS (SELECT topic_id, topic_id AS trial, CASE WHEN status IS NULL THEN 'trial not found in corpus'
+        WHEN age * 365 < low * 365 OR age * 365 > high * 365 THEN 'age ' || age || ' outside [' || coalesce(low || ' Years', 'None') || ', ' || coalesce(high || ' Years', 'None') || ']'
+        WHEN sex <> 'ALL' AND own <> 'unknown' AND upper(own) <> sex THEN 'sex ' || own || ' vs trial ' || sex
+        WHEN status NOT IN {_in(X.ACTIVE_STATUSES)} THEN 'status ' || status || ' not in [''ENROLLING_BY_INVITATION'', ''NOT_YET_RECRUITING'', ''RECRUITING'']' END AS excluded_reason FROM people LEFT JOIN studies ON trial = topic_id)
+      SELECT *, excluded_reason IS NOT NULL AS hard_excluded FROM r"""
 
 
 def features() -> str:
@@ -309,9 +314,11 @@ FLAGS = f"""WITH {EVALS}, {COUNTS}, {TRIALS} SELECT trial, array_to_string(list_
         CASE WHEN exc_met > 0 THEN 'critical:eligibility_exclusion' END, CASE WHEN trial % 4 = 0 THEN 'warning:geographic' END, CASE WHEN status NOT IN ('RECRUITING', 'NOT_YET_RECRUITING') THEN 'warning:trial_status' END], lambda c: c IS NOT NULL), ',') AS flags
       FROM counts JOIN trials USING (trial)"""
 
-GEOGRAPHY = """WITH n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
-      h AS (SELECT c_custkey, lower(CASE c_custkey % 3 WHEN 0 THEN r_name WHEN 1 THEN r_name || ' city' ELSE n_name END) AS home, CASE WHEN c_custkey % 3 = 2 THEN n_name END AS country FROM customer JOIN n ON c_nationkey = n_nationkey),
-      s AS (SELECT c_custkey, s.n_nationkey, CASE WHEN s.n_name = country THEN 1 WHEN contains(lower(s.r_name), home) THEN 0.7 WHEN contains(home, lower(s.r_name)) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM h JOIN n s ON c_custkey % 5 = s.n_regionkey)
+ALIASES = "(VALUES " + ", ".join("('" + a.replace("'", "''") + f"', '{name}')" for name, aliases in X.COUNTRIES.items() for a in aliases) + ") AS known(alias, country)"
+GEOGRAPHY = f"""WITH n AS (SELECT *, country FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN {ALIASES} ON alias = lower(n_name)),
+      p AS (SELECT c_custkey, lower(CASE c_custkey % 3 WHEN 0 THEN r_name WHEN 1 THEN r_name || ' city' ELSE n_name END) AS home FROM customer JOIN n ON c_nationkey = n_nationkey),
+      h AS (SELECT p.*, known.country FROM p LEFT JOIN {ALIASES} ON alias = home),
+      s AS (SELECT c_custkey, s.n_nationkey, CASE WHEN s.country = h.country THEN 1 WHEN contains(lower(s.r_name), home) THEN 0.7 WHEN contains(home, lower(s.r_name)) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM h JOIN n s ON c_custkey % 5 = s.n_regionkey)
       SELECT c_custkey, coalesce(min_by(score, n_nationkey) FILTER (score > 0), 0)::DOUBLE AS score FROM s GROUP BY c_custkey"""
 
 
@@ -354,8 +361,8 @@ AVERAGE = "count(*) AS n_topics, round(avg(ndcg10), 6) AS ndcg10, round(avg(p10)
 
 ORACLES = {
     "tok_bm25": f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
-    "tok_entity_stem": f"SELECT doc_id, len(t) AS n, array_to_string(list_sort(t)[1:20], ' ') AS first_terms FROM (SELECT doc_id, {terms('text', True)} AS t FROM documents)",
-    "tok_selection": f"SELECT doc_id, len(t) AS n, array_to_string(list_sort(t)[1:20], ' ') AS first_terms FROM (SELECT doc_id, {chosen('text')} AS t FROM documents)",
+    "tok_entity_stem": f"SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS terms FROM (SELECT doc_id, {terms('text', True)} AS t FROM documents)",
+    "tok_selection": f"SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS terms FROM (SELECT doc_id, {chosen('text')} AS t FROM documents)",
     "negation_cue": rf"""SELECT conv_id, turn, regexp_matches(note, '(?i){X.NEGATION_CUE}') AS negated,
         length(array_to_string(list_transform(split(regexp_replace(note, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: CASE WHEN regexp_matches(s, '(?i){X.NEGATION_CUE}') THEN '[CONTAINS_NEGATION] ' || s ELSE s END), ' ')) AS n_annotated
         FROM (SELECT conv_id, turn, {NOTE} AS note FROM conversations)""",
@@ -375,11 +382,11 @@ ORACLES = {
     "corpus_filter": f"WITH {TRIALS} SELECT trial, status FROM trials WHERE status <> 'COMPLETED' AND (updated IS NULL OR updated >= DATE '1997-01-01')",
     "bm25_topk": f"WITH {bm25(['all'], 20)} SELECT topic_id, doc_id, score, rank FROM run",
     "bm25_fielded_runs": f"WITH {bm25(X.FIELD_WEIGHTS, 10)} SELECT field, topic_id, doc_id, score, rank FROM run",
-    "bm25_fielded_rrf": f"WITH {bm25(X.FIELD_WEIGHTS, 200)} {fused(X.FIELD_WEIGHTS, 20)}",
+    "bm25_fielded_rrf": f"WITH {bm25(X.FIELD_WEIGHTS, 1000)} {fused(X.FIELD_WEIGHTS, 20)}",
     "dense_cosine_topk": dense("true", 20),
     "dense_filtered_topk": dense("v.label IN (1, 2)", 10),
-    "hyde_mean_vector": "SELECT query_id, i, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT vec_id % 10 AS query_id, unnest(embedding) AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings WHERE vec_id < 40) GROUP BY ALL",
-    "rrf_hybrid": f"""WITH {bm25(['all'], 50)}, both_ AS (SELECT 'bm25' AS source, topic_id, doc_id, rank FROM run WHERE topic_id < 10 UNION ALL SELECT 'dense', query_id, vec_id, rank FROM ({dense('true', 50)}))
+    "hyde_mean_vector": "SELECT query_id, i, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT vec_id // 4 AS query_id, unnest(embedding) AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings) GROUP BY ALL",
+    "rrf_hybrid": f"""WITH {bm25(['all'], 50)}, both_ AS (SELECT 'bm25' AS source, topic_id, doc_id, rank FROM run UNION ALL SELECT 'dense', query_id, vec_id, rank FROM ({dense('true', 50)}))
         {fused({'bm25': 1.0, 'dense': 1.0}, 30, 'both_', 'source')}""",
     "rerank_blend": f"WITH {BLEND} SELECT * FROM blend",
     "run_overlap": f"""WITH {bm25(['all', 'summary_description'], 100)}, d AS (SELECT topic_id, doc_id, count(*) AS k FROM run GROUP BY ALL)
@@ -407,12 +414,15 @@ ORACLES = {
     "f1_trial": f"WITH {PAIRS} {rates(classes('pairs'))}",
     "f1_average": f"WITH {PAIRS} SELECT {MEANS} FROM ({rates(classes('pairs'))})",
     "confusion": f"WITH {PAIRS} SELECT gold, predicted, count(*) AS n FROM pairs GROUP BY ALL",
-    "threshold_sweep": f"""WITH {PAIRS}, grid AS (SELECT round(0.3 + 0.05 * i, 2)::DOUBLE AS high, round(0.02 * j, 2)::DOUBLE AS low FROM range(14) a(i), range(10) b(j)),
-      z AS (SELECT high, low, gold, CASE WHEN veto THEN 1 WHEN score >= high THEN 2 WHEN score < low THEN 0 ELSE 1 END AS predicted FROM pairs, grid)
-      SELECT high, low, {MEANS} FROM ({rates(classes('z', 'high, low,'), 'high, low,')}) GROUP BY high, low""",
+    "threshold_sweep": f"""WITH {EVALS}, {COUNTS}, grid AS (SELECT i * 10 + j AS place, round(0.05 * i, 2)::DOUBLE AS fraction, round(0.1 * j, 2)::DOUBLE AS most_nei FROM range(1, 15) a(i), range(1, 11) b(j)),
+      z AS (SELECT place, fraction, most_nei, trial % 3 AS gold, CASE WHEN exc_met > 1 OR mandatory_failed THEN 1 WHEN n_inc > 0 AND inc_met = n_inc AND exc_met = 0 THEN 2
+        WHEN n_inc > 0 AND inc_met >= greatest(1, trunc(fraction * n_inc)) AND exc_met = 0 AND fraction_nei < most_nei THEN 2 ELSE 1 END AS predicted FROM counts, grid),
+      f AS (SELECT place, fraction, most_nei, round(coalesce(2 * count(*) FILTER (gold = 2 AND predicted = 2) / (count(*) FILTER (gold = 2) + count(*) FILTER (predicted = 2)), 0), 6)::DOUBLE AS class_2_f1,
+        round(count(*) FILTER (gold = predicted) / count(*), 6) AS micro_f1 FROM z GROUP BY ALL)
+      SELECT fraction, most_nei, class_2_f1, micro_f1, row_number() OVER (ORDER BY class_2_f1 DESC, micro_f1 DESC, place) = 1 AS best_class_2, row_number() OVER (ORDER BY micro_f1 DESC, class_2_f1 DESC, place) = 1 AS best_micro FROM f""",
     "stage_metrics": f"""WITH {QRELS}, {bm25(['all'], 200)} SELECT topic_id, cutoff, count(*) FILTER (rank <= cutoff AND grade IS NOT NULL) AS judged, count(*) FILTER (rank <= cutoff AND grade > 0) AS relevant,
         count(*) FILTER (rank <= cutoff AND grade = 2) AS eligible, count(*) FILTER (rank <= cutoff AND grade IS NULL) AS unjudged FROM run LEFT JOIN qrels USING (doc_id), (SELECT unnest([10, 20, 50, 100, 200]) AS cutoff) GROUP BY ALL""",
-    "missing_reasons": f"""WITH {QRELS}, {bm25(['all'], 20)}, w AS (SELECT topic_id, doc_id FROM qrels, (SELECT DISTINCT topic_id FROM run) WHERE grade > 0)
+    "missing_reasons": f"""WITH {QRELS}, {bm25(['all'], 20)}, w AS (SELECT doc_id % 40 AS topic_id, doc_id FROM qrels WHERE grade > 0 AND doc_id % 40 IN (SELECT topic_id FROM run))
         SELECT topic_id, CASE WHEN run.doc_id IS NOT NULL THEN 'retrieved' WHEN w.doc_id % 10 = 7 THEN 'not_in_corpus' WHEN w.doc_id % 10 = 3 THEN 'not_in_index' ELSE 'not_retrieved' END AS reason, count(*) AS n
         FROM w LEFT JOIN run USING (topic_id, doc_id) GROUP BY ALL""",
     "infer_type": typed(),
@@ -429,8 +439,12 @@ ORACLES = {
     "attention_flags": FLAGS,
     "geography": GEOGRAPHY,
     "fill_excluded": f"""WITH {bm25(['all'], 30)}, a AS (SELECT * FROM run WHERE rank <= 5), n AS (SELECT topic_id, count(*) AS n, min(score) AS low FROM a GROUP BY topic_id),
-      x AS (SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS i FROM run WHERE rank > 5 AND doc_id % 2 = 0)
-      SELECT topic_id, doc_id, score, false AS filled FROM a UNION ALL SELECT topic_id, doc_id, round(least(-2, low - 1) + 0.001::DOUBLE * greatest(0, 1 - (i - 1) / (10 - n)), 6), true FROM x JOIN n USING (topic_id) WHERE i <= 10 - n""",
+      free AS (SELECT topic_id, doc_id, score, doc_id % 2 = 0 AS ex FROM run WHERE rank > 5 AND rank <> 7 AND rank % 4 > 0 AND doc_id % 11 > 0),
+      i AS (SELECT *, row_number() OVER (PARTITION BY topic_id, ex ORDER BY score DESC, doc_id) AS i FROM free),
+      t AS (SELECT topic_id, doc_id, least(-1.5::DOUBLE, low - 0.5::DOUBLE) + 0.001::DOUBLE * greatest(0, 1 - (i - 1) / (15 - n)::DOUBLE) AS score FROM i JOIN n USING (topic_id) WHERE NOT ex AND i <= 15 - n),
+      m AS (SELECT topic_id, count(*) AS n, min(score) AS low FROM (SELECT topic_id, score FROM a UNION ALL SELECT topic_id, score FROM t) GROUP BY topic_id),
+      e AS (SELECT topic_id, doc_id, least(-2::DOUBLE, low - 1) + 0.001::DOUBLE * greatest(0, 1 - (i - 1) / greatest(15 - n, 1)::DOUBLE) AS score FROM i JOIN m USING (topic_id) WHERE ex AND i <= 15 - n)
+      SELECT topic_id, doc_id, round(score, 6) AS score, 'ranked' AS source FROM a UNION ALL SELECT topic_id, doc_id, round(score, 6), 'tail' FROM t UNION ALL SELECT topic_id, doc_id, round(score, 6), 'excluded' FROM e""",
     "irrelevance_policy": f"""WITH {EVALS}, {COUNTS}, s AS (SELECT *, {label('benchmark')} AS label, (trial % 10)::DOUBLE / 10 <= 0.5::DOUBLE AS low FROM counts)
       SELECT trial, CASE WHEN label = 'eligible' THEN 'eligible_label' WHEN exc_met > 0 THEN 'explicit_exclusion_met' WHEN mandatory_failed THEN 'mandatory_inclusion_failed'
         WHEN NOT (fraction_nei >= 0.8::DOUBLE AND inc_met <= 0 AND low) THEN 'missing_core_irrelevance_signals' WHEN 3 + (trial % 2 = 0)::INT + (trial % 3 = 0)::INT < 4 THEN 'insufficient_signals' ELSE 'irrelevant' END AS outcome FROM s""",
@@ -449,5 +463,7 @@ ORACLES = {
     "stage_aggregate": STAGES,
     "run_compare": f"SELECT 'bm25' AS run, {AVERAGE} FROM ({metrics(False)}) UNION ALL SELECT 'blend', {AVERAGE} FROM ({metrics(False, 'blend', BLEND)})",
     "reretrieval_flag": f"WITH {bm25(['all'], 20)} SELECT topic_id, count(*) FILTER (doc_id % 2 = 0) AS viable, count(*) FILTER (doc_id % 2 = 0) < 10 AS again FROM run GROUP BY topic_id",
-    "fewshot_knn": f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC)::INTEGER AS rank FROM ({dense('v.vec_id >= 10', 50)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) <= 3",
+    "fewshot_knn": f"""SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC)::INTEGER AS rank FROM (
+        SELECT q.vec_id AS query_id, v.vec_id, round({COSINE.format('q.embedding', 'v.embedding')}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.vec_id % 20 <> 0)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) <= 3""",
 }

@@ -83,12 +83,12 @@ def tok_bm25(spark, sf_dir):
 
 def tok_entity_stem(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", T.entity_terms(F.col("text"), drop_generic=True).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 20), " ").alias("first_terms"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("terms"))
 
 
 def tok_selection(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", T.selection_terms(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 20), " ").alias("first_terms"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("terms"))
 
 
 #: English notes with cues, derived from conversations so that rules fire.
@@ -155,9 +155,9 @@ def split_eligibility(spark, sf_dir):
     head = F.lit("Inclusion Criteria: ")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     t = (
-        F.when(F.col("doc_id") % 4 == 0, F.concat(head, F.get(lines, F.lit(0)), F.lit(" EXCLUSION criteria "), F.array_join(F.slice(lines, 2, 5), "\n")))
+        F.when(F.col("doc_id") % 4 == 0, F.concat(head, F.get(lines, F.lit(0)), F.lit(" EXCLUSION criteria "), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")))
         .when(F.col("doc_id") % 4 == 1, F.concat(head, F.col("text")))
-        .when(F.col("doc_id") % 4 == 2, F.concat(F.get(lines, F.lit(0)), F.lit(" exclusion criteria: x y")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.col("text"), F.lit(" exclusion criteria: x y")))
         .otherwise(F.col("text"))
     )
     rows = documents(spark, sf_dir).select("doc_id", T.split_eligibility(t).alias("x"))
@@ -202,7 +202,7 @@ def bm25_fielded_rrf(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return v, v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def dense_cosine_topk(spark, sf_dir):
@@ -217,13 +217,14 @@ def dense_filtered_topk(spark, sf_dir):
 
 def hyde_mean_vector(spark, sf_dir):
     v, _ = _vectors(spark, sf_dir)
-    parts = v.where("vec_id < 40").select((F.col("vec_id") % 10).alias("query_id"), F.posexplode("embedding").alias("i", "x"))
+    # each vector with the three that follow it stands for a query and its three hypothetical answers
+    parts = v.select(F.floor(F.col("vec_id") / 4).alias("query_id"), F.posexplode("embedding").alias("i", "x"))
     return parts.groupBy("query_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 def rrf_hybrid(spark, sf_dir):
-    """Lexical and dense runs of the first ten topics, fused."""
-    lexical = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir).where("topic_id < 10"), 50)
+    """Lexical and dense runs of all topics, fused."""
+    lexical = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir), 50)
     v, q = _vectors(spark, sf_dir)
     near = R.dense(v, q, 50)
     runs = lexical.select(F.lit("bm25").alias("source"), "topic_id", "doc_id", "rank").unionAll(
@@ -247,8 +248,29 @@ def run_overlap(spark, sf_dir):
 # --- filters, selection -------------------------------------------------------
 
 
+def studies(spark, sf_dir):
+    """Trials with age limits and sex."""
+    low, high = F.col("trial") % 40, F.col("trial") % 40 + 15
+    return trials(spark, sf_dir).select(
+        "trial",
+        "status",
+        F.when(F.col("trial") % 4 == 0, "MALE").when(F.col("trial") % 4 == 1, "FEMALE").otherwise("ALL").alias("sex"),
+        F.when(F.col("trial") % 7 > 0, low * 365).alias("min_days"),
+        F.when(F.col("trial") % 5 > 0, high * 365).alias("max_days"),
+        F.when(F.col("trial") % 7 > 0, F.concat(low.cast("string"), F.lit(" Years"))).alias("raw_min"),
+        F.when(F.col("trial") % 5 > 0, F.concat(high.cast("string"), F.lit(" Years"))).alias("raw_max"),
+    )
+
+
+def people(spark, sf_dir):
+    sex = F.get(F.array(F.lit("male"), F.lit("female"), F.lit("unknown")), (F.col("p_partkey") % 3).cast("int"))
+    age = F.when(F.col("p_partkey") % 9 > 0, F.col("p_size").cast("double"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic_id"), age.alias("age_years"), sex.alias("sex"))
+
+
 def hard_filter_reasons(spark, sf_dir):
-    return S.hard_filter(trials(spark, sf_dir), table(spark, sf_dir, "part"))
+    cands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic_id"), F.col("p_partkey").alias("trial"))
+    return S.hard_filter(cands, studies(spark, sf_dir), people(spark, sf_dir))
 
 
 def viable_counts(spark, sf_dir):
@@ -381,9 +403,11 @@ def confusion(spark, sf_dir):
 
 
 def threshold_sweep(spark, sf_dir):
-    highs = [round(0.3 + 0.05 * i, 2) for i in range(14)]
-    lows = [round(0.02 * i, 2) for i in range(10)]
-    return V.sweep(_pairs(spark, sf_dir), highs, lows)
+    """Label policies on the criterion counts against grades that only depend on the trial."""
+    rows = labelled(spark, sf_dir).select(
+        (F.col("trial") % 3).alias("gold"), "n_inc", "inc_met", "exc_met", "fraction_nei", ((F.col("exc_met") > 1) | F.col("mandatory_failed")).alias("veto")
+    )
+    return V.sweep(rows, [round(0.05 * i, 2) for i in range(1, 15)], [round(0.1 * i, 2) for i in range(1, 11)])
 
 
 def stage_metrics(spark, sf_dir):
@@ -394,7 +418,8 @@ def stage_metrics(spark, sf_dir):
 def missing_reasons(spark, sf_dir):
     docs, run = documents(spark, sf_dir), bm25_topk(spark, sf_dir)
     index = docs.where("doc_id % 10 <> 3")
-    rows = V.missing(qrels(spark, sf_dir), docs.where("doc_id % 10 <> 7"), index, run)
+    judged = qrels(spark, sf_dir).withColumn("topic_id", F.pmod("doc_id", F.lit(40)).cast("long"))
+    rows = V.missing(judged, docs.where("doc_id % 10 <> 7"), index, run)
     return rows.groupBy("topic_id", "reason").agg(F.count("*").alias("n"))
 
 
@@ -500,14 +525,14 @@ def geography(spark, sf_dir):
     home = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     home = home.join(F.broadcast(sites), F.col("c_custkey") % 5 == F.col("site_region")).select("c_custkey", "r_name", "n_name", "sites")
     place = F.when(F.col("c_custkey") % 3 == 0, F.col("r_name")).when(F.col("c_custkey") % 3 == 1, F.concat("r_name", F.lit(" city"))).otherwise(F.col("n_name"))
-    country = F.when(F.col("c_custkey") % 3 == 2, F.col("n_name"))
-    return home.select("c_custkey", P.geography(F.col("sites"), place, country).alias("score"))
+    return home.select("c_custkey", P.geography(F.col("sites"), place).alias("score"))
 
 
 def fill_excluded(spark, sf_dir):
     run = R.bm25(documents(spark, sf_dir), topics(spark, sf_dir), 30)
-    rows = P.fill(run.where("rank <= 5"), run.where("rank > 5 and doc_id % 2 = 0"), 10)
-    return rows.select("topic_id", "doc_id", F.round("score", 6).alias("score"), "filled")
+    marks = run.select("*", (F.col("doc_id") % 2 == 0).alias("hard_excluded"), (F.col("rank") == 7).alias("evaluated"), (F.col("doc_id") % 11 > 0).alias("in_corpus"))
+    rows = P.fill(run.where("rank <= 5"), marks.where("rank % 4 > 0"), 15, tail=True)
+    return rows.select("topic_id", "doc_id", F.round("score", 6).alias("score"), "source")
 
 
 def irrelevance_policy(spark, sf_dir):
@@ -619,7 +644,7 @@ def reretrieval_flag(spark, sf_dir):
 def fewshot_knn(spark, sf_dir):
     """The three nearest examples of each query vector; ties go to the later example."""
     v, q = _vectors(spark, sf_dir)
-    return R.top(R.scored_pairs(v.where("vec_id >= 10"), q), ["query_id"], [F.desc("score"), F.desc("vec_id")], 3)
+    return R.top(R.scored_pairs(v.where("vec_id % 20 <> 0"), q), ["query_id"], [F.desc("score"), F.desc("vec_id")], 3)
 
 
 QUERIES = {
