@@ -235,3 +235,9 @@ def support(terms: Column, wanted: Column) -> Column:
 
 def clamp(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+
+
+def l2_normalised(vector: Column) -> Column:
+    """``vector`` over its length, which is never zero."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + 1e-9
+    return once(length, lambda n: F.transform(vector, lambda x: x.cast("double") / n))

@@ -216,3 +216,33 @@ def adjust(score: Column, evidence_score: Column, veto: Column, weight: float) -
     """Score moved by evidence around one half; a quarter of it for trials sunk by a veto."""
     used = F.when(veto & (score <= -0.95), 0.25 * weight).otherwise(F.lit(weight))
     return score + used * (evidence_score - 0.5)
+
+
+def deterministic(kind: Column, op: Column, feature: Column, value: Column) -> Column:
+    """met, not_met or NEI where a typed predicate decides without a model, else null.
+
+    Reads age_years, sex, ecog, karnofsky and labs (array of name, value) of the person.  A bound that is no number,
+    a type without rule and a missing predicate (null ``op``) decide nothing; the label is not turned by polarity.
+    """
+    c, bound = F.col, value.try_cast("double")
+    name, said = F.lower(feature), F.lower(F.coalesce(value, F.lit("")))
+
+    def numeric(x: Column) -> Column:
+        return F.when(bound.isNotNull(), compare(x.cast("double"), op, bound))
+
+    age = F.when(c("age_years").isNull(), "NEI").otherwise(numeric(c("age_years")))
+    sex = F.when(c("sex") == "unknown", "NEI").when(c("sex") == said, "met").otherwise("not_met")
+    status = (
+        F.when(name.isin("ecog", "performance_status") & c("ecog").isNotNull(), numeric(c("ecog")))
+        .when((name == "karnofsky") & c("karnofsky").isNotNull(), numeric(c("karnofsky")))
+        .otherwise("NEI")
+    )
+    lab = F.get(F.filter("labs", lambda x: F.lower(F.trim(x["name"])) == F.trim(name)), F.lit(0))["value"]
+    lab = F.when(lab.isNull(), "NEI").otherwise(numeric(lab))
+    rules = F.when(kind == "age", age).when(kind == "sex", sex).when(kind == "performance_status", status).when(kind == "lab", lab)
+    return F.when(op.isNotNull(), rules)
+
+
+def attach_criteria(evals: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Evaluations with their criteria (trial, criterion and whatever else they have); unmatched ones are left out."""
+    return evals.join(criteria, ["trial", "criterion"])

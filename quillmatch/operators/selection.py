@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
-from quillmatch.functions.text import entity_terms, jaccard, once, overlap_cosine, selection_terms, support
+from quillmatch.functions.text import entity_terms, irrelevance_terms, jaccard, once, overlap_cosine, selection_terms, support
 from quillmatch.operators.retrieval import small, top
 
 
@@ -39,6 +39,26 @@ def hard_filter(
     return rows.withColumn("hard_excluded", F.col("excluded_reason").isNotNull())
 
 
+def corpus_filter(
+    trials: DataFrame, interventional: bool = True, criteria: bool = True, updated_since: str | None = "2018-01-01"
+) -> DataFrame:
+    """Trials that enter the corpus: interventional, with criteria, updated since a day or at an unknown time."""
+    if interventional:
+        trials = trials.where("interventional")
+    if criteria:
+        trials = trials.where(F.trim(F.regexp_replace(F.coalesce("raw_text", F.lit("")), r"\s+", " ")) != "")
+    if updated_since is not None:
+        trials = trials.where(F.col("updated").isNull() | (F.col("updated") >= F.lit(updated_since).cast("date")))
+    return trials
+
+
+def payload_filter(rows: DataFrame, filters: dict) -> DataFrame:
+    """Rows that equal every value of ``filters``, or one of its values where these are a list."""
+    for name, wanted in filters.items():
+        rows = rows.where(F.col(name).isin(list(wanted)) if isinstance(wanted, (list, tuple, set)) else F.col(name) == wanted)
+    return rows
+
+
 def features(run: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
     """Overlap cosine, Jaccard and support of each candidate's terms with its topic's."""
     run = run.persist()  # counted before it is joined
@@ -101,3 +121,17 @@ def diverse(run: DataFrame, docs: DataFrame, topics: DataFrame, keep: int, total
     picked = F.aggregate(F.sequence(F.lit(1), F.lit(total - keep)), F.slice("pool", 1, keep), step)
     out = pool.select("topic_id", F.posexplode(picked).alias("i", "c"))
     return out.select("topic_id", F.col("c.doc_id").alias("doc_id"), (F.col("i") + 1).alias("place"))
+
+
+def irrelevance_signals(run: DataFrame, people: DataFrame, trials: DataFrame) -> DataFrame:
+    """topic_id, doc_id, no_condition, no_intervention: whether a person's terms miss a trial's.
+
+    ``people``: topic_id, conditions, treatments (texts); ``trials``: doc_id, titles, treatments (texts).
+    """
+    asked = people.select("topic_id", irrelevance_terms(F.col("conditions")).alias("pc"), irrelevance_terms(F.col("treatments")).alias("pt"))
+    told = trials.join(run.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", irrelevance_terms(F.col("titles")).alias("tc"), irrelevance_terms(F.col("treatments")).alias("tt")
+    )
+    apart = lambda a, b: F.size(F.array_intersect(a, b)) == 0
+    rows = run.select("topic_id", "doc_id").join(told, "doc_id").join(asked, "topic_id")
+    return rows.select("topic_id", "doc_id", apart("pc", "tc").alias("no_condition"), apart("pt", "tt").alias("no_intervention"))

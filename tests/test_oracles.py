@@ -1,13 +1,14 @@
 """Every registered core query against its SQL on DuckDB."""
 
 import math
+import os
 
 import duckdb
 import pytest
 from quillmatch.plans.oracle import ORACLES
 from quillmatch.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
