@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial window hash
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder is set only where
-    none is configured (tests, single machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a private folder is set only on a
+    single machine (``local`` masters) that configures none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quill-ckpt-"))
     return sc.getCheckpointDir()
 
 

@@ -1,19 +1,23 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics vote good, bad or abstain on a document.  Expectation
-maximisation over a bounded sample estimates each heuristic's accuracy on good
-and on bad documents and the share of good ones (no labels are read).  The
-posterior of good then is the soft target of a logistic scorer over hashed
-features, which scores every document.
+Overlapping heuristics vote good, bad or abstain on a document.  The patterns of
+votes of all different texts are counted, and expectation maximisation over
+these counts estimates each heuristic's accuracy on good and on bad documents
+and the share of good ones (no labels are read).  The posterior of good then is
+the soft target of a logistic scorer over hashed features, fitted on a bounded
+sample of different texts, which scores every document.
 
 Defined cases: null or blank text has no words and is rejected; an empty table
-gives no rows; repeated rows are scored each; other columns are ignored.
+gives no rows; repeated rows are scored each and count once in the fit; very
+long texts take part whole (their features are bounded by the slots); ties of
+equal sample hashes go by the features' text hash; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,32 +80,49 @@ def votes(texts: list) -> np.ndarray:
     return np.where(m >= bad, 0, np.where(m <= good, 1, -1))
 
 
-def estimate(v: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
-    """(prior of good, P(votes good | good), P(votes bad | bad)) by EM with Beta priors.
+def mixture(v: np.ndarray, n: np.ndarray | None = None, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, P(votes bad | class)) by EM over vote patterns ``v`` seen ``n`` times: good first, then one kind of bad
+    per labeller.
 
-    Starts from any bad vote being bad.  Kinds of junk exclude each other, so
-    a bad document gets good votes from most labellers; what settles the classes
-    is that no labeller calls more than 2 in 1000 of the good documents bad.
+    Kinds of junk exclude each other: a bad document gets good votes from most
+    labellers, so one bad class would break the independence that EM rests on.
+    Starts from a bad vote meaning its labeller's kind; Beta priors weigh a
+    hundred votes for good documents and ten for each kind of bad.
     """
-    said_good, said_bad = v == 1, v == 0
-    q = np.where(said_bad.any(axis=1), 0.02, 0.95)
+    n = np.ones(len(v)) if n is None else np.asarray(n, float)
+    m, total = v.shape[1], n.sum()
+    said_good, said_bad, voted = v == 1, v == 0, v >= 0
+    any_bad = said_bad.any(axis=1, keepdims=True)
+    kinds = np.where(any_bad, 0.98 * said_bad / np.maximum(said_bad.sum(axis=1, keepdims=True), 1), 0.02 / m)
+    r = np.hstack([np.where(any_bad, 0.02, 0.98), kinds])
+    expected = np.vstack([np.full(m, 0.001), np.where(np.eye(m) > 0, 0.9, 0.02)])
+    weight = np.r_[100.0, np.full(m, 10.0)][:, None]
     for _ in range(rounds):
-        prior = (q.sum() + 1) / (len(q) + 2)
-        hit = (q @ said_good + 9.0) / (q @ (v >= 0) + 10.0)
-        catch = ((1 - q) @ said_bad + 3.0) / ((1 - q) @ (v >= 0) + 10.0)
-        hit, catch = np.clip(hit, 0.998, 0.9999), np.clip(catch, 0.01, 0.999)
-        new = posterior(v, prior, hit, catch)
-        if np.abs(new - q).max(initial=0.0) < 1e-6:
+        w = r * n[:, None]
+        shares = (w.sum(axis=0) + 1) / (total + m + 1)
+        bad = (w.T @ said_bad + weight * expected) / (w.T @ voted + weight)
+        new = _responsibilities(said_good, said_bad, shares, bad)
+        if np.abs(new - r).max(initial=0.0) < 1e-6:
             break
-        q = new
-    return prior, hit, catch
+        r = new
+    return shares, bad
 
 
-def posterior(v: np.ndarray, prior: float, hit: np.ndarray, catch: np.ndarray) -> np.ndarray:
-    good = np.where(v == 1, np.log(hit), np.where(v == 0, np.log(1 - hit), 0.0)).sum(axis=1)
-    bad = np.where(v == 0, np.log(catch), np.where(v == 1, np.log(1 - catch), 0.0)).sum(axis=1)
-    z = np.log(prior / (1 - prior)) + good - bad
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+def _responsibilities(said_good, said_bad, shares, bad):
+    z = np.log(shares) + said_bad @ np.log(bad).T + said_good @ np.log1p(-bad).T
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def estimate(v: np.ndarray, n: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(prior of good, P(votes good | good), P(votes bad | bad)) from `mixture`."""
+    shares, bad = mixture(v, n)
+    return shares[0], 1 - bad[0], shares[1:] @ bad[1:] / shares[1:].sum()
+
+
+def posterior(v: np.ndarray, shares: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """P(good) of each row of votes."""
+    return _responsibilities(v == 1, v == 0, shares, bad)[:, 0]
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,18 +161,50 @@ def _sums(weights, slot, value, at):
     return run[at[1:]] - run[at[:-1]]
 
 
+def _voter(batches):
+    """The hash of each text and its vote pattern in base three."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        code = (votes(texts) + 1) @ (3 ** np.arange(len(LABELLERS)))
+        said = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(said, np.uint64).view(np.int64)), pa.array(code, pa.int32())], names=["h", "pattern"])
+
+
+def _featurer(batches):
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        slot, value, at = features(texts)
+        code = (votes(texts) + 1) @ (3 ** np.arange(len(LABELLERS)))
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (slot.astype(np.int32), value)]
+        yield pa.RecordBatch.from_arrays([*lists, pa.array(code, pa.int32())], names=["slot", "value", "pattern"])
+
+
+def decode(patterns: np.ndarray) -> np.ndarray:
+    return np.asarray(patterns)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
+
+
 def train(docs: DataFrame, fit_rows: int = 5_000):
-    """(weights, bias, (prior, hit, catch)) from at most ``fit_rows`` documents, or None."""
-    share = fit_rows / max(1, docs.count())
-    sample = documents(docs)
-    if share < 1:
-        sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = sample.limit(2 * fit_rows).select("text").toPandas()["text"].tolist()
-    if not texts:
+    """(weights, bias, `mixture`), or None without documents.
+
+    The accuracies come from the vote patterns (at most 3**8) of all different
+    texts; the scorer from ``fit_rows`` of them at most, by the smallest hashes.
+    """
+    texts = documents(docs).select("text")
+    seen = texts.mapInArrow(in_pieces(_voter), "h long, pattern int").groupBy("h").agg(F.min("pattern").alias("pattern"))
+    counts = seen.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3**8 rows
+    if not counts:
         return None
-    v = votes(texts)
-    em = estimate(v)
-    return *fit(*features(texts), posterior(v, *em)), em
+    v, n = decode([r["pattern"] for r in counts]), np.array([r["n"] for r in counts], float)
+    em = mixture(v, n)
+    share = min(1.0, 1.2 * fit_rows / n.sum())
+    place = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11)), F.lit(1 << 30))
+    few = texts.withColumn("place", place).where(F.col("place") < int(share * (1 << 30)))
+    few = few.groupBy("place").agg(F.min("text").alias("text")).orderBy("place").limit(fit_rows)
+    rows = few.select("text").mapInArrow(in_pieces(_featurer), "slot array<int>, value array<double>, pattern int").collect()
+    at = np.cumsum([0, *[len(r["slot"]) for r in rows]])
+    slot = np.concatenate([np.zeros(0, np.int64), *[np.array(r["slot"], np.int64) for r in rows]])
+    value = np.concatenate([np.zeros(0), *[np.array(r["value"], float) for r in rows]])
+    return *fit(slot, value, at, posterior(decode([r["pattern"] for r in rows]), *em)), em
 
 
 def _scorer(model, cutoff: float):

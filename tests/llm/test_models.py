@@ -23,6 +23,37 @@ def test_em_finds_accuracies():
     assert abs(prior - 0.8) < 0.07 and (np.abs(caught - catch) < 0.1).all() and (hit > 0.99).all()
 
 
+def test_em_by_brute_force():
+    """Counted patterns give what all rows give; the answer is a fixed point of plainly written EM; accuracies move."""
+    rng = np.random.default_rng(7)
+    kind = rng.choice(4, p=[0.7, 0.1, 0.1, 0.1], size=4000)
+    chance = np.array([[0.03, 0.0, 0.01], [0.9, 0.05, 0.05], [0.05, 0.8, 0.05], [0.05, 0.05, 0.7]])
+    v = (rng.random((4000, 3)) >= chance[kind]).astype(int)
+    v[rng.random((4000, 3)) < 0.1] = -1
+    shares, bad = weaklabels.mixture(v)
+    patterns, n = np.unique(v, axis=0, return_counts=True)
+    assert np.allclose(weaklabels.mixture(patterns, n)[1], bad, atol=1e-4)
+    prior, hit, catch = weaklabels.estimate(patterns, n)
+    assert (hit > 0.95).all() and 0.6 < prior < 0.8 and len(set(catch.round(3))) == 3 and (catch > 0.2).all()
+    weight = {}
+    for row, k in zip(patterns.tolist(), n):
+        like = []
+        for c in range(4):
+            p = shares[c]
+            for j, x in enumerate(row):
+                p *= bad[c][j] if x == 0 else 1 - bad[c][j] if x == 1 else 1.0
+            like.append(p)
+        weight[tuple(row)] = [x / sum(like) * k for x in like]
+        assert abs(weaklabels.posterior(np.array([row]), shares, bad)[0] - like[0] / sum(like)) < 1e-9
+    expected = [[0.001] * 3] + [[0.9 if i == j else 0.02 for j in range(3)] for i in range(3)]
+    for c in range(4):
+        for j in range(3):
+            said = sum(w[c] for row, w in weight.items() if row[j] == 0)
+            voted = sum(w[c] for row, w in weight.items() if row[j] >= 0)
+            assert abs((said + (10 if c else 100) * expected[c][j]) / (voted + (10 if c else 100)) - bad[c][j]) < 1e-3
+    assert (weaklabels.decode([0, 3**8 - 1, 5]) == np.array([[-1] * 8, [1] * 8, [1, 0] + [-1] * 6])).all()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.severity(docs, labels.where("doc_id % 3 <> 0")).withColumnRenamed("toxic", "flag")
