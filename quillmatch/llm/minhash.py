@@ -224,9 +224,8 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     live = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("root", "rep").alias("root")
     )
-    live = cut(live)
     mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x < y")
-    return cut(on_hot_key(live, mixed, "bucket", live.count()).select("rep", "n", "root").distinct())
+    return cut(on_hot_key(live, mixed, "bucket", members.count()).select("rep", "n", "root").distinct())
 
 
 def _prefix_pairs(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -307,9 +306,9 @@ def _near(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows:
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
         )
     )
-    members = cut(classes.select("rep", "n", F.explode("bands").alias("bucket")))
+    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    members = cut(on_hot_key(members, centre, "bucket", members.count()))
+    members = cut(on_hot_key(members, centre, "bucket", classes.count() * bands))
     stars = (
         members.where(F.col("rep") != F.col("c.rep"))
         .where(_sizes_fit("c.n", "n", percent))
