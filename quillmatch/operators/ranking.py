@@ -124,6 +124,15 @@ def entity_rerank(evidence: DataFrame, weight: float, protect: int, audit: bool
     return rows.withColumn("position", F.row_number().over(W.partitionBy("topic_id").orderBy(*order)))
 
 
+def demote_outside(scored: DataFrame) -> DataFrame:
+    """``scored`` (topic_id, score, outside): what only diversity selected stays .001 below the rest of its topic.
+
+    A topic without other candidates keeps its scores.
+    """
+    lowest = F.min(F.when(~F.col("outside"), F.col("score"))).over(W.partitionBy("topic_id"))
+    return scored.withColumn("score", F.when(F.col("outside"), F.least(F.col("score"), lowest - 0.001)).otherwise(F.col("score")))
+
+
 def fuse_node(runs: DataFrame, weights: dict[str, float], fused_k: int, rerank_k: int, fielded: bool) -> DataFrame:
     """Runs fused by reciprocal ranks; a topic with one fielded run keeps that run's scores and ranks.
 

@@ -1,8 +1,9 @@
 """The matching pipeline as one declarative plan over all topics.
 
-retrieve (BM25, fielded) -> fuse -> rerank features -> select -> label -> score
--> adjust by evidence -> rank -> fill.  Every step is a DataFrame operator;
-labels come from criterion evaluations where there are any.
+retrieve (BM25, fielded) -> fuse -> rerank by entities -> hard filter -> select
+-> label (with irrelevance) -> score -> adjust by evidence -> demote what only
+diversity selected -> rank -> fill.  Every step is a DataFrame operator; labels
+come from criterion evaluations where there are any.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 from quillmatch.functions import fixed as X
 from quillmatch.functions.text import entity_terms, negated_terms, overlap_cosine
 from quillmatch.operators import eligibility as E
+from quillmatch.operators import ranking as G
+from quillmatch.operators import report as P
 from quillmatch.operators import retrieval as R
+from quillmatch.operators import selection as S
+from quillmatch.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -28,9 +33,15 @@ class Config:
     fused_k: int = 1000
     entity_weight: float = 0.09
     protect_top: int = 3
+    filter_status: bool = False
     evaluated: int = 10
+    diverse: bool = False
+    diverse_keep: int = 9
+    irrelevance: bool = True
     evidence_weight: float = 0.50
     soft_veto: bool = False
+    fill_excluded: bool = True
+    fill_tail: bool = False
     output_k: int = 20
     as_of: str = "2001-08-01"
 
@@ -40,7 +51,8 @@ def benchmark(**changes) -> Config:
 
 
 def clinical(**changes) -> Config:
-    return replace(Config(mode="clinical", fielded=False, entity_weight=0.0, evidence_weight=0.0, output_k=10), **changes)
+    own = {"entity_weight": 0.0, "evidence_weight": 0.0, "irrelevance": False, "fill_excluded": False, "filter_status": True}
+    return replace(Config(mode="clinical", fielded=False, output_k=10, **own), **changes)
 
 
 def retrieve(docs: DataFrame, topics: DataFrame, config: Config) -> DataFrame:
@@ -72,38 +84,111 @@ def entity_rerank(run: DataFrame, docs: DataFrame, topics: DataFrame, config: Co
     return R.top(rows, ["topic_id"], order, config.fused_k).select("topic_id", "doc_id", "score", "rank")
 
 
-def match(docs: DataFrame, topics: DataFrame, evals: DataFrame, trials: DataFrame, config: Config) -> DataFrame:
-    """topic_id, doc_id, label, score, rank: the first ``output_k`` of each topic.
-
-    ``evals``: trial, criterion, polarity, label, confidence, mandatory, type;
-    ``trials``: trial, status, phase, updated.  ``trial`` is a document's id.
-    Documents without evaluations rank after the evaluated by their retrieval score.
+def screen(run: DataFrame, people: DataFrame | None, studies: DataFrame | None, config: Config) -> DataFrame:
+    """``run`` with hard_excluded and in_corpus; without profiles nothing is excluded."""
+    if people is None or studies is None:
+        return run.withColumn("hard_excluded", F.lit(False)).withColumn("in_corpus", F.lit(True))
+    named = run.withColumnRenamed("doc_id", "trial")
+    limits = studies.withColumnRenamed("doc_id", "trial").select("trial", "status", "sex", "min_days", "max_days", "raw_min", "raw_max")
+    rows = S.hard_filter(named, limits, people.select("topic_id", "age_years", "sex"), filter_status=config.filter_status)
+    known = F.coalesce(F.col("excluded_reason") != "trial not found in corpus", F.lit(True))
+    return rows.withColumn("in_corpus", known).drop("excluded_reason").withColumnRenamed("trial", "doc_id")
+
+
+def select(viable: DataFrame, docs: DataFrame, topics: DataFrame, config: Config) -> DataFrame:
+    """The ``evaluated`` candidates of each topic; ``outside`` tells those that their score alone wouldn't select."""
+    best = S.top_score(viable.withColumnRenamed("rank", "place"), config.evaluated)
+    if not config.diverse:
+        return best.select("topic_id", "doc_id", F.lit(False).alias("outside"))
+    pool = S.top_score(viable, max(20, config.evaluated))
+    chosen = S.diverse(pool, docs, topics, min(config.diverse_keep, config.evaluated - 1), config.evaluated).select("topic_id", "doc_id")
+    inside = best.select("topic_id", "doc_id", F.lit(True).alias("inside"))
+    return chosen.join(inside, ["topic_id", "doc_id"], "left").select("topic_id", "doc_id", F.col("inside").isNull().alias("outside"))
+
+
+def match(
+    docs: DataFrame,
+    topics: DataFrame,
+    evals: DataFrame,
+    trials: DataFrame,
+    config: Config,
+    people: DataFrame | None = None,
+    studies: DataFrame | None = None,
+) -> DataFrame:
+    """topic_id, doc_id, label, score, source, rank: the first ``output_k`` of each topic.
+
+    ``evals``: trial, criterion, polarity, label, confidence, mandatory, type; ``trials``: trial, status, phase,
+    updated.  ``trial`` is a document's id.  ``people``: topic_id, age_years, sex, home, note and the arrays
+    diagnoses, biomarkers, treatments, comorbidities; ``studies``: doc_id, status, sex, min_days, max_days, raw_min,
+    raw_max, locations (array of country, state, city) and the texts of `ranking.trial_terms`.  Without these two
+    the steps that need them (hard filter, entity components, geography, signals of terms) don't act.
+
+    Documents with no criteria evaluated count as evaluated with none.  ``source``: ranked, tail, excluded.
     """
-    run = entity_rerank(retrieve(docs, topics, config), docs, topics, config)
-    last = F.max("rank").over(R.W.partitionBy("topic_id"))
-    run = run.withColumn("prior", F.when(last <= 1, 1.0).otherwise(1 - (F.col("rank") - 1) / (last - 1)))
-    counts = E.trial_counts(evals).withColumn("label", E.trial_label(config.mode))
-    facts = counts.join(E.evidence(evals, counts).select("trial", "evidence"), "trial").join(trials, "trial")
-    picked = run.where(F.col("rank") <= config.evaluated)
-    rows = picked.join(facts, picked.doc_id == facts.trial, "left").select(
-        "*",
-        E.eligibility_score().alias("elig"),
-        E.table_value(F.col("status"), X.STATUS_BONUS[config.mode], 0.0).alias("status_bonus"),
-        E.table_value(F.col("phase"), X.PHASE_PRIORITY, 0.5).alias("phase_score"),
-        E.recency(F.col("updated"), F.lit(config.as_of).cast("date")).alias("recency"),
-        F.lit(0.0).alias("geography"),
+    profiled = people is not None and studies is not None
+    run = retrieve(docs, topics, config)
+    if profiled and config.entity_weight:
+        seen = G.entity_evidence(run, people, studies)
+        run = G.entity_rerank(seen, config.entity_weight, config.protect_top)
+        run = run.select("topic_id", "doc_id", "score", F.col("position").alias("rank"))
+    elif config.entity_weight:
+        run = entity_rerank(run, docs, topics, config)
+    # several steps read the screened run; it holds at most fused_k rows a topic
+    run = cut(screen(run, people, studies, config))
+    viable = run.where("not hard_excluded").select("topic_id", "doc_id", "score", "rank")
+    chosen = cut(select(viable, docs, topics, config))
+    rows = S.prior(viable).join(chosen, ["topic_id", "doc_id"]).select("topic_id", "doc_id", "prior", "outside")
+
+    ids = rows.select(F.col("doc_id").alias("trial")).distinct()
+    mine = evals.join(ids, "trial", "left_semi")
+    counts = ids.join(E.trial_counts(mine), "trial", "left")
+    none = [c for c in counts.columns if c not in ("trial", "mandatory_failed", "avg_confidence")]
+    counts = counts.fillna(0, none).fillna(False, ["mandatory_failed"]).withColumn("label", E.trial_label(config.mode))
+    counts = cut(counts)
+    facts = counts.join(E.evidence(mine, counts).select("trial", "evidence"), "trial").join(trials, "trial", "left")
+    rows = rows.join(facts.withColumnRenamed("trial", "doc_id"), "doc_id")
+    if profiled:
+        asked = people.select(
+            "topic_id", F.array_join("diagnoses", " ").alias("conditions"), F.array_join(F.concat("biomarkers", "treatments"), " ").alias("treatments")
+        )
+        told = studies.select(
+            "doc_id",
+            F.concat_ws(" ", "title", "official_title", F.array_join("conditions", " "), F.array_join("keywords", " ")).alias("titles"),
+            F.concat_ws(" ", "title", "brief_summary", "detailed_description", F.array_join("interventions", " "), "raw_text").alias("treatments"),
+        )
+        rows = rows.join(S.irrelevance_signals(rows, asked, told), ["topic_id", "doc_id"], "left")
+        rows = rows.join(people.select("topic_id", "home"), "topic_id", "left").join(studies.select("doc_id", "locations"), "doc_id", "left")
+        rows = rows.withColumn("geography", P.geography(F.col("locations"), F.col("home")))
+    else:
+        rows = rows.withColumns({"no_condition": F.lit(False), "no_intervention": F.lit(False), "geography": F.lit(0.0)})
+    if config.irrelevance and config.mode == "benchmark":
+        rows = rows.withColumn("label", F.when(P.irrelevance() == "irrelevant", "irrelevant").otherwise(F.col("label")))
+    rows = rows.withColumns(
+        {
+            "elig": E.eligibility_score(),
+            "status_bonus": E.table_value(F.col("status"), X.STATUS_BONUS[config.mode], 0.0),
+            "phase_score": E.table_value(F.col("phase"), X.PHASE_PRIORITY, 0.5),
+            "recency": E.recency(F.col("updated"), F.lit(config.as_of).cast("date")),
+        }
     )
     base = E.trial_score(config.mode, config.soft_veto)
     veto = (F.col("exc_met") > 0) | F.col("mandatory_failed")
     weight = F.when(veto & (base <= -0.95), 0.25 * config.evidence_weight).otherwise(config.evidence_weight)
-    adjusted = base + weight * (F.col("evidence") - 0.5)
-    known = rows.where("trial is not null").select("topic_id", "doc_id", "label", adjusted.alias("score"))
-    low = known.groupBy("topic_id").agg(F.min("score").alias("low"))
-    rest = run.join(known.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti").join(low, "topic_id", "left")
-    tail = F.least(F.lit(-1.5), F.coalesce("low", F.lit(-1.0)) - 0.5) + 0.001 * F.col("prior")
-    rest = rest.select("topic_id", "doc_id", F.lit("excludes").alias("label"), tail.alias("score"))
-    scored = known.unionAll(rest).withColumn("score", F.round("score", 4))
-    return R.top(scored, ["topic_id"], [F.desc("score"), F.asc("doc_id")], config.output_k)
+    scored = rows.select("topic_id", "doc_id", "label", "outside", (base + weight * (F.col("evidence") - 0.5)).alias("score"))
+    scored = cut(G.demote_outside(scored))  # a few rows a topic, read by every step of the fill
+
+    known = run.join(chosen.withColumn("evaluated", F.lit(True)).drop("outside"), ["topic_id", "doc_id"], "left")
+    known = known.withColumn("evaluated", F.col("evaluated").isNotNull())
+    ranked = scored.select("topic_id", "doc_id", "score")
+    if config.fill_excluded or config.fill_tail:
+        full = P.fill(ranked, known if config.fill_excluded else known.where("not hard_excluded"), config.output_k, config.fill_tail)
+    else:
+        full = ranked.withColumn("source", F.lit("ranked"))
+    full = full.join(scored.select("topic_id", "doc_id", "label"), ["topic_id", "doc_id"], "left").withColumn(
+        "label", F.coalesce("label", F.lit("excludes"))
+    )
+    full = full.select("topic_id", "doc_id", "label", F.round("score", 4).alias("score"), "source", F.col("score").alias("exact"))
+    return R.top(full, ["topic_id"], [F.desc("exact"), F.asc("doc_id")], config.output_k).drop("exact")
 
 
 def match_text(spark: SparkSession, docs: DataFrame, text: str, top_k: int = 10) -> DataFrame:

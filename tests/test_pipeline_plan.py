@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+from quillmatch.operators import ranking as G
 from quillmatch.plans import pipeline as P
 from quillmatch.plans import queries as Q
 
@@ -32,3 +34,77 @@ def test_protected_ranks(spark):
     run = P.retrieve(docs, topics, P.benchmark())
     again = P.entity_rerank(run, docs, topics, P.benchmark(entity_weight=0.09))
     assert again.count() == run.count()
+
+
+def profiled(spark):
+    """Two people against five documents, with one study of the wrong age and one that is not in the registry."""
+    docs = spark.createDataFrame(
+        [(k, f"melanoma trial{k}\npembrolizumab arm{k}\nmelanoma stage IV adults") for k in range(1, 6)], "doc_id long, text string"
+    )
+    topics = spark.createDataFrame([(0, "melanoma pembrolizumab"), (1, "melanoma adults")], "topic_id long, text string")
+    who = "topic_id long, age_years double, sex string, home string, diagnoses array<string>, biomarkers array<string>, treatments array<string>, comorbidities array<string>, note string"
+    people = spark.createDataFrame(
+        [(0, 40.0, "male", "USA", ["melanoma"], ["BRAF"], ["pembrolizumab"], [], "melanoma"), (1, None, None, None, [], [], [], [], None)], who
+    )
+    studies = docs.where("doc_id < 5").selectExpr(
+        "doc_id", "'RECRUITING' as status", "'ALL' as sex", "if(doc_id = 2, 60 * 365, 0) as min_days", "cast(null as int) as max_days",
+        "if(doc_id = 2, '60 Years', null) as raw_min", "cast(null as string) as raw_max",
+        "array(struct('United States' as country, '' as state, '' as city)) as locations", "split(text, '\n')[0] as title",
+        "cast(null as string) as official_title", "'' as brief_summary", "cast(null as string) as detailed_description", "array('melanoma') as conditions",
+        "array('x') as keywords", "array('pembrolizumab') as interventions", "text as inclusion_text", "'' as exclusion_text", "text as raw_text",
+    )
+    evals = spark.createDataFrame(
+        [(1, 1, "inclusion", "met", 0.9, True, "diagnosis"), (3, 1, "exclusion", "met", 0.9, False, "lab"), (4, 1, "inclusion", "NEI", 0.5, False, "age")],
+        "trial long, criterion int, polarity string, label string, confidence double, mandatory boolean, type string",
+    )
+    trials = studies.selectExpr("doc_id as trial", "status", "'PHASE2' as phase", "date'2001-01-01' as updated")
+    return docs, topics, evals, trials, people, studies
+
+
+def by_topic(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.topic_id, r["rank"])):
+        out.setdefault(r.topic_id, []).append(r)
+    return out
+
+
+def test_profiles_filter_label_and_fill(spark):
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    got = by_topic(P.match(docs, topics, evals, trials, P.benchmark(), people, studies))
+    first = {r.doc_id: r for r in got[0]}
+    assert set(first) == {1, 2, 3, 4}  # 5 has no study and may not fill
+    assert got[0][0].doc_id == 1 and first[1].label == "eligible" and first[1].source == "ranked"
+    assert first[3].label == "excludes" and first[3].score < -0.9
+    # too young for study 2, so it only fills, below all that is ranked
+    assert first[2].source == "excluded" and got[0][-1].doc_id == 2 and first[2].score <= -2 + 0.001
+    assert {r.doc_id: r.source for r in got[1]}[2] == "ranked"  # an unknown age passes
+    bare = by_topic(P.match(docs, topics, evals, trials, P.benchmark(fill_excluded=False), people, studies))
+    assert {r.doc_id for r in bare[0]} == {1, 3, 4}
+
+
+def test_geography_counts(spark):
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    near = by_topic(P.match(docs, topics, evals, trials, P.benchmark(), people, studies))[0]
+    far = by_topic(P.match(docs, topics, evals, trials, P.benchmark(), people.withColumn("home", F.lit("France")), studies))[0]
+    assert near[0].doc_id == far[0].doc_id == 1 and near[0].score > far[0].score
+
+
+def test_irrelevance_needs_its_signals(spark):
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    other = people.withColumns({"diagnoses": F.array(F.lit("asthma")), "treatments": F.array(F.lit("salbutamol")), "biomarkers": F.array().cast("array<string>")})
+    got = by_topic(P.match(docs, topics, evals, trials, P.benchmark(), other, studies))[0]
+    labels = {r.doc_id: r.label for r in got}
+    assert labels[1] == "eligible" and labels[3] == "excludes"
+    low = {r.doc_id for r in got if r.label == "irrelevant"}
+    assert low <= {4}  # nothing known of its criteria; irrelevant only if its prior is low, too
+    off = by_topic(P.match(docs, topics, evals, trials, P.benchmark(irrelevance=False), other, studies))[0]
+    assert "irrelevant" not in {r.label for r in off}
+
+
+def test_outside_selection_is_demoted(spark):
+    rows = spark.createDataFrame([(0, 1, False, 0.5), (0, 2, False, 0.3), (0, 3, True, 0.9), (0, 4, True, 0.1), (1, 5, True, 0.7)], "topic_id long, doc_id long, outside boolean, score double")
+    got = {r.doc_id: round(r.score, 6) for r in G.demote_outside(rows).collect()}
+    assert got == {1: 0.5, 2: 0.3, 3: 0.299, 4: 0.1, 5: 0.7}
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    got = by_topic(P.match(docs, topics, evals, trials, P.benchmark(diverse=True, evaluated=2, diverse_keep=1), people, studies))
+    assert all(len([r for r in rs if r.source == "ranked"]) == 2 for rs in got.values())
