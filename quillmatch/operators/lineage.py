@@ -1,22 +1,28 @@
-"""Cutting the lineage of long plans in the folder that all executors share."""
+"""The folder that all executors share, and cutting the lineage of long plans in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a private folder is set only for a ``local`` master that names none."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quill-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; a private folder is set only for a ``local`` master that names none.
+    """``df`` written to the shared folder and read from there.
 
     Not `persist`: the text of a cached plan holds all cached plans below it, and adaptive execution
     writes that text again after each stage.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quill-ckpt-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

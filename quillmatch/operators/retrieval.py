@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,8 +56,7 @@ def bm25(docs: DataFrame, topics: DataFrame, k: int, fields: list[str] | None =
     """
     index = postings(docs, fields)
     size = index.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    terms = topics.select("topic_id", F.explode(index_tokens(F.col("text"))).alias("term"))
-    terms = terms.groupBy("topic_id", "term").agg(F.count("*").alias("qtf"))
+    terms = query_terms(topics)
     asked = small(terms.select("term").distinct())
     tf = (
         index.select("field", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
@@ -65,6 +64,38 @@ def bm25(docs: DataFrame, topics: DataFrame, k: int, fields: list[str] | None =
         .groupBy("field", "term", "doc_id", "dl")
         .agg(F.count("*").alias("tf"))
     )
+    return _ranked(tf, size, terms, k, k1, b)
+
+
+def term_shard(term: Column, shards: Column) -> Column:
+    """Where a saved index keeps the postings of ``term``."""
+    return F.pmod(F.xxhash64(term), shards).cast("int")
+
+
+def query_terms(topics: DataFrame) -> DataFrame:
+    """topic_id, term, qtf."""
+    terms = topics.select("topic_id", F.explode(index_tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("topic_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_saved(
+    spark: SparkSession, path: str, topics: DataFrame, k: int, fields: list[str] | None = None, k1: float = X.K1, b: float = X.B
+) -> DataFrame:
+    """`bm25` from the index that `sinks.write_index` saved: no text is read, only the shards that hold the terms.
+
+    The shard numbers asked for come to the driver; there are at most as many as the index has shards.
+    """
+    size = spark.read.parquet(f"{path}/size").where(F.col("field").isin(fields or ["all"]))
+    terms = query_terms(topics)
+    first = size.select("shards").first()
+    shards = F.lit(first["shards"] if first else 1)
+    wanted = sorted(r["shard"] for r in terms.select(term_shard(F.col("term"), shards).alias("shard")).distinct().collect())
+    kept = spark.read.parquet(f"{path}/postings").where(F.col("field").isin(fields or ["all"]) & F.col("shard").isin(wanted))
+    tf = kept.drop("shard").join(small(terms.select("term").distinct()), "term").select("field", "term", "doc_id", "dl", "tf")
+    return _ranked(tf, size.drop("shards"), terms, k, k1, b)
+
+
+def _ranked(tf: DataFrame, size: DataFrame, terms: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmatch.functions import criteria as C
@@ -18,8 +20,10 @@ from quillmatch.operators import ranking as G
 from quillmatch.operators import retrieval as R
 from quillmatch.operators import selection as S
 from quillmatch.operators.evaluation import averages, class_scores
+from quillmatch.operators.lineage import shared_folder
 from quillmatch.plans import oracle as O
 from quillmatch.plans import queries as Q
+from quillmatch.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +54,17 @@ def _kept(parts: list[str], by: str) -> str:
     return f"array_to_string(list_filter([{', '.join(f'coalesce({p}, {chr(39) * 2})' for p in parts)}], lambda x: x <> ''), {by})"
 
 
+# --- saved index -----------------------------------------------------------------
+
+
+@query(O.ORACLES["bm25_topk"])
+def bm25_saved_topk(spark, sf_dir):
+    """The index is written to the shared folder and searched there."""
+    path = f"{shared_folder(spark)}/index/{uuid.uuid4().hex}"
+    sinks.write_index(Q.documents(spark, sf_dir), path, ["all"])
+    return R.bm25_saved(spark, path, Q.topics(spark, sf_dir), 20).select("topic_id", "doc_id", "score", "rank")
+
+
 # --- text views ------------------------------------------------------------------
 
 TEXTS = """texts AS (SELECT doc_id, l[1] AS title, CASE WHEN doc_id % 3 > 0 THEN l[2] END AS official, coalesce(l[3], '') AS summary, CASE WHEN doc_id % 2 = 0 THEN l[4] END AS detail,

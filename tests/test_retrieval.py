@@ -5,6 +5,7 @@ import math
 from quillmatch.functions import fixed as X
 from quillmatch.operators import retrieval as R
 from quillmatch.plans import queries as Q
+from quillmatch.sources import sinks
 
 
 def test_dense_takes_any_number_of_queries(spark):
@@ -40,3 +41,16 @@ def test_fielded_fuses_ranks_beyond_200(spark, tmp_path):
     assert min(r.score for r in got) > max(v for d, v in fused.items() if d not in {r.doc_id for r in got}) - 2e-6
     late = {d for d, x in ranks.items() if any(k > 200 for _, k in x)}
     assert late & {r.doc_id for r in got}
+
+
+def test_saved_index(spark, tmp_path):
+    """The saved index ranks like the scan, reads no text and only the shards of the terms."""
+    docs, topics = Q.documents(spark, "/root/testdata/sf0.001"), Q.topics(spark, "/root/testdata/sf0.001").where("topic_id < 4")
+    fields = ["condition_title", "eligibility"]
+    sinks.write_index(docs, str(tmp_path), fields, shards=8)
+    found = R.bm25_saved(spark, str(tmp_path), topics, 10, fields)
+    assert sorted(found.collect()) == sorted(R.bm25(docs, topics, 10, fields).collect())
+    one = spark.createDataFrame([(0, "melanoma"), (1, None)], "topic_id long, text string")
+    plan = R.bm25_saved(spark, str(tmp_path), one, 10, fields)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "shard" in plan.split("PartitionFilters")[1].split("]")[0] and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert R.bm25_saved(spark, str(tmp_path), one.where("text is null"), 10, fields).count() == 0
