@@ -76,3 +76,42 @@ def chat(budget: int, history: int) -> str:
       n AS (SELECT conv_id, (sum(len) + any_value(extra))::BIGINT AS formatted_chars FROM o JOIN (SELECT conv_id, sum(extra) AS extra FROM g GROUP BY conv_id) USING (conv_id) GROUP BY conv_id),
       d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned FROM o GROUP BY conv_id)
       SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM d JOIN n USING (conv_id)"""
+
+
+INTERACTION = rf"""WITH RECURSIVE l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+      w AS (SELECT doc_id, coalesce(lang, '') AS part, {TEXT} AS text, {WORDS.format(TEXT)} AS w, min(doc_id) OVER (PARTITION BY {TEXT}) AS low FROM documents),
+      d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS failed
+        FROM w LEFT JOIN l USING (doc_id)),
+      c AS (SELECT part, failed, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+      x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+      o(filter_order) AS (SELECT x FROM x UNION ALL SELECT filter_order || x FROM o, x WHERE NOT contains(filter_order, x)),
+      s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[:step - 1] AS earlier FROM o, unnest(range(1, 6)) AS u(step) WHERE length(filter_order) = 5),
+      m AS (SELECT part, filter_order, step, f, n, good, toxic, contains(failed, f) AS fails, failed = f AS sole,
+        len(list_filter(string_split(failed, ''), lambda y: y <> '' AND contains(earlier, y))) > 0 AS gone FROM s, c)
+      SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (sole), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost,
+        sum(coalesce(sum(n) FILTER (fails AND NOT gone), 0)) OVER (PARTITION BY part, f)::BIGINT AS shapley
+      FROM m GROUP BY part, filter_order, step, f"""
+
+
+def resample(buckets: int, percent: int, least: int, seed: int) -> str:
+    # DuckDB has no crc32: a table of 256 entries by its rule, then a fold over the bytes of each different word
+    cut = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""WITH book AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) AS u(i)),
+      w AS (SELECT doc_id, {cut.format(LOWER)} AS w FROM documents), b AS (SELECT {cut.format(LOWER)} AS w FROM benchmark),
+      f AS (SELECT doc_id, unnest(w) AS word FROM w), g AS (SELECT unnest(w) AS word FROM b),
+      spelt AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM f UNION SELECT word FROM g)),
+      k AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+        lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % {buckets} AS bucket FROM spelt, book),
+      s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (word) GROUP BY bucket),
+      n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS ss, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS tt),
+      gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + {buckets}) / ((s + 1)::DOUBLE * (tt + {buckets}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+      v AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN k USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+      z AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('{seed}:' || doc_id)[:8])::BIGINT AS h FROM w LEFT JOIN v USING (doc_id)),
+      c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM z),
+      r AS (SELECT *, CASE WHEN n_features >= {least} THEN row_number() OVER (PARTITION BY n_features >= {least} ORDER BY score DESC, doc_id) END AS place FROM c)
+      SELECT doc_id, n_features, weight, score, CASE WHEN place <= {percent} * (SELECT count(place) FROM r) // 100 THEN place END AS rank FROM r"""

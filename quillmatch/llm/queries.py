@@ -9,11 +9,14 @@ from quillmatch.llm import oracle
 from quillmatch.llm.chat import digests, format_windows
 from quillmatch.llm.common import table
 from quillmatch.llm.decontaminate import contamination
+from quillmatch.llm.interaction import interaction_audit
 from quillmatch.llm.minhash import near_duplicates
 from quillmatch.llm.packing import pack
 from quillmatch.llm.quality import judge
+from quillmatch.llm.resample import importance_resample
 from quillmatch.llm.sharding import shard_documents
 from quillmatch.llm.substring import remove_repeats
+from quillmatch.llm.tokenfile import token_digests
 from quillmatch.llm.toxicity import severity
 from quillmatch.llm.urls import filter_urls
 from quillmatch.llm.weaklabels import quality_scores
@@ -92,6 +95,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(turns.unionByName(probe)))
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders."""
+    return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_balanced_sharding": op1_balanced_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -103,9 +121,12 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_filter_interaction": op11_filter_interaction,
+    "op12_token_files": op12_token_files,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-#: Sharding (iterative), packing (tokenizer), decontamination (windows by items) and
+#: Sharding (iterative), packing and token files (tokenizer), decontamination (windows by items) and
 #: the two trained scorers have no SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": oracle.near_duplicates(4, 80),
@@ -113,4 +134,6 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": oracle.substring(35),
     "op7_url_filters": oracle.urls(URL_RULES),
     "op10_chat_formatting": oracle.chat(1024, 256),
+    "op11_filter_interaction": oracle.INTERACTION,
+    "op13_importance_resampling": oracle.resample(10_000, 10, 20, 2024),
 }
