@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
+from quillmatch.operators.eligibility import KEY
 from quillmatch.operators.evaluation import class_scores, gain, summary, topic_metrics
 from quillmatch.operators.retrieval import top
 
@@ -104,10 +105,10 @@ def ablations(runs: dict[str, DataFrame], qrels: DataFrame) -> DataFrame:
 
 
 def criterion_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Class scores of criterion labels over the rows both sides hold (trial, criterion, label)."""
+    """Class scores of criterion labels over the rows both sides hold (topic_id, trial, criterion, label)."""
     code = lambda c: F.when(c == "met", 0).when(c == "not_met", 1).otherwise(2)
-    both = predicted.select("trial", "criterion", code(F.col("label")).alias("predicted")).join(
-        gold.select("trial", "criterion", code(F.col("label")).alias("gold")), ["trial", "criterion"]
+    both = predicted.select(*KEY, "criterion", code(F.col("label")).alias("predicted")).join(
+        gold.select(*KEY, "criterion", code(F.col("label")).alias("gold")), [*KEY, "criterion"]
     )
     return class_scores(both)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import criteria as C
 from quillmatch.functions import views as V
+from quillmatch.operators.eligibility import KEY
 
 PRIORITIES = ("critical", "high", "medium", "low")
 
@@ -37,19 +38,19 @@ def label_counts() -> list[Column]:
 def fallback_questions(evals: DataFrame) -> DataFrame:
     """A question for every criterion whose evaluation lacks information.
 
-    ``evals``: trial, criterion, id, text, label, mandatory, reasoning.
+    ``evals``: topic_id, trial, criterion, id, text, label, mandatory, reasoning.
     """
     reason = F.when(F.coalesce("reasoning", F.lit("")) != "", F.col("reasoning")).otherwise(V.missing_reason(F.col("reasoning"), F.col("label")))
     made = V.fallback_question(F.col("trial"), F.col("id"), F.col("text"), F.col("mandatory"), reason, C.question_type)
-    return evals.where("label = 'NEI'").select("trial", "criterion", F.col("id").alias("criterion_id"), made.alias("q")).select(
-        "trial", "criterion", "criterion_id", "q.*"
+    return evals.where("label = 'NEI'").select(*KEY, "criterion", F.col("id").alias("criterion_id"), made.alias("q")).select(
+        *KEY, "criterion", "criterion_id", "q.*"
     )
 
 
 def with_payload(questions: DataFrame, payload: DataFrame) -> DataFrame:
-    """Questions replaced by a model's where it gave one (trial, criterion_id, question_text, priority)."""
-    said = payload.select("trial", "criterion_id", F.col("question_text").alias("asked"), F.col("priority").alias("urgency"))
-    rows = questions.join(said, ["trial", "criterion_id"], "left")
+    """Questions replaced by a model's where it gave one (topic_id, trial, criterion_id, question_text, priority)."""
+    said = payload.select(*KEY, "criterion_id", F.col("question_text").alias("asked"), F.col("priority").alias("urgency"))
+    rows = questions.join(said, [*KEY, "criterion_id"], "left")
     return rows.select(
         *[
             F.coalesce("asked", c).alias(c) if c == "question_text" else F.coalesce("urgency", c).alias(c) if c == "priority" else F.col(c)
@@ -61,22 +62,22 @@ def with_payload(questions: DataFrame, payload: DataFrame) -> DataFrame:
 def dossiers(judged: DataFrame, evals: DataFrame, trials: DataFrame, questions: DataFrame) -> DataFrame:
     """One row per judged trial: counts, criterion table, evidence, summary, questions by priority, sites, contact, url.
 
-    ``judged``: topic_id, trial, rank, score, rationale.  ``evals``: trial, criterion, id, polarity, type, text, label,
+    ``judged``: topic_id, trial, rank, score, rationale.  ``evals``: topic_id, trial, criterion, id, polarity, type, text, label,
     evidence, confidence.  ``trials``: trial, title, brief_summary, phase, status, locations, contacts.
     """
     row = F.struct("criterion", "id", "type", "polarity", "text", "label", "evidence", "confidence")
     shown = F.when((F.col("label") == "met") & (F.coalesce("evidence", F.lit("")) != ""), F.col("criterion"))
-    tables = evals.groupBy("trial").agg(
+    tables = evals.groupBy(*KEY).agg(
         *label_counts(), F.sort_array(F.collect_list(row)).alias("criteria"), F.min_by(F.substring("evidence", 1, 200), shown).alias("top_evidence")
     )
     urgency = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
-    asked = questions.groupBy("trial").agg(
+    asked = questions.groupBy(*KEY).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(urgency.alias("u"), "criterion", "criterion_id", "priority", "question_text"))),
             lambda q: F.struct(q["criterion_id"].alias("criterion_id"), q["priority"].alias("priority"), q["question_text"].alias("question_text")),
         ).alias("missing_information")
     )
-    rows = judged.join(tables, "trial", "left").join(trials, "trial", "left").join(asked, "trial", "left")
+    rows = judged.join(tables, KEY, "left").join(trials, "trial", "left").join(asked, KEY, "left")
     said = F.coalesce("rationale", F.lit(""))
     return rows.select(
         "topic_id", "trial", "rank", "score", "title", "phase", "status",

@@ -16,19 +16,24 @@ def table_value(key: Column, values: dict, default) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def last_wins(evals: DataFrame, order: list[str]) -> DataFrame:
-    """One evaluation per trial and criterion, the last in ``order``; combines map-side."""
-    values = [c for c in evals.columns if c not in ("trial", "criterion", *order)]
-    picked = evals.groupBy("trial", "criterion").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v"))
-    return picked.select("trial", "criterion", *[F.col("v")[c].alias(c) for c in values])
+#: An evaluation belongs to a patient and a trial: one patient's exclusion says nothing of another's.
+KEY = ["topic_id", "trial"]
+
+
+def last_wins(evals: DataFrame, order: list[str], key: list[str] | None = None) -> DataFrame:
+    """One evaluation per topic, trial and criterion (or ``key``), the last in ``order``; combines map-side."""
+    key = key or [*KEY, "criterion"]
+    values = [c for c in evals.columns if c not in (*key, *order)]
+    picked = evals.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v"))
+    return picked.select(*key, *[F.col("v")[c].alias(c) for c in values])
 
 
 def trial_counts(evals: DataFrame) -> DataFrame:
-    """Counts by polarity and label, vetoes, unknown share and mean confidence of each trial."""
+    """Counts by polarity and label, vetoes, unknown share and mean confidence of each topic and trial."""
     inc, met, no = F.col("polarity") == "inclusion", F.col("label") == "met", F.col("label") == "not_met"
     nei = ~met & ~no
     return (
-        evals.groupBy("trial")
+        evals.groupBy(*KEY)
         .agg(
             F.count_if(inc).alias("n_inc"),
             F.count_if(~inc).alias("n_exc"),
@@ -102,7 +107,7 @@ def trial_score(mode: str, soft_veto: bool) -> Column:
 
 
 def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
-    """Weighted criterion evidence of each trial; ``trials`` has `trial_counts` and label."""
+    """Weighted criterion evidence of each topic and trial; ``trials`` has `trial_counts` and label."""
     c = F.col
     rows = evals.where("type <> 'section_header'").select(
         "*",
@@ -112,7 +117,7 @@ def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
     inc, met, no = c("polarity") == "inclusion", c("label") == "met", c("label") == "not_met"
     nei, sub, must = ~met & ~no, ~c("type").isin(list(X.NOT_SUBSTANTIVE)), c("mandatory")
     total = lambda cond, share=F.lit(1.0): F.sum(F.when(cond, c("w") * share).otherwise(0.0))
-    sums = rows.groupBy("trial").agg(
+    sums = rows.groupBy(*KEY).agg(
         total(inc).alias("inc_total"),
         total(~inc).alias("exc_total"),
         total(inc & sub).alias("sub_total"),
@@ -127,7 +132,7 @@ def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
     )
     over = lambda a, b, empty=0.0: F.when(c(b) > 0, clamp(c(a) / c(b))).otherwise(empty)
     parts = sums.select(
-        "trial",
+        *KEY,
         over("inc_met_w", "inc_total").alias("inclusion_support"),
         over("sub_met_w", "sub_total").alias("substantive_support"),
         over("inc_failed_w", "inc_total").alias("inclusion_failure"),
@@ -144,10 +149,10 @@ def evidence(evals: DataFrame, trials: DataFrame) -> DataFrame:
         .otherwise(0.0)
     )
     thin = F.when(c("label") == "eligible", few + F.when(c("fraction_nei") >= 0.65, 0.04).otherwise(0.0)).otherwise(0.0)
-    known = trials.select("trial", "label", "n_inc", "inc_met", "fraction_nei")
+    known = trials.select(*KEY, "label", "n_inc", "inc_met", "fraction_nei")
     # a trial without criteria, or with headings only, has nothing for or against it
-    parts = known.join(parts, "trial", "left").fillna(1.0, ["exclusion_clear"])
-    parts = parts.fillna(0.0, [x for x in parts.columns if x not in ("trial", "label", "exclusion_clear")]).withColumn("thin", thin)
+    parts = known.join(parts, KEY, "left").fillna(1.0, ["exclusion_clear"])
+    parts = parts.fillna(0.0, [x for x in parts.columns if x not in (*KEY, "label", "exclusion_clear")]).withColumn("thin", thin)
     score = clamp(
         0.38 * c("inclusion_support")
         + 0.30 * c("substantive_support")
@@ -178,13 +183,13 @@ def compare(value: Column, op: Column, bound: Column) -> Column:
 
 def vote(votes: DataFrame) -> DataFrame:
     """Majority label of each criterion if more than half agree, else NEI at 0.4."""
-    counted = votes.groupBy("trial", "criterion", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("conf"))
-    best = counted.groupBy("trial", "criterion").agg(
+    counted = votes.groupBy(*KEY, "criterion", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("conf"))
+    best = counted.groupBy(*KEY, "criterion").agg(
         F.sum("n").alias("k"), F.max(F.struct("n", "label", "conf")).alias("top")
     )
     won = F.col("top.n") > F.floor(F.col("k") / 2)
     return best.select(
-        "trial",
+        *KEY,
         "criterion",
         F.when(won, F.col("top.label")).otherwise("NEI").alias("label"),
         F.round(F.when(won, F.col("top.conf")).otherwise(0.4), 6).alias("confidence"),
@@ -244,5 +249,8 @@ def deterministic(kind: Column, op: Column, feature: Column, value: Column) -> C
 
 
 def attach_criteria(evals: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Evaluations with their criteria (trial, criterion and whatever else they have); unmatched ones are left out."""
-    return evals.join(criteria, ["trial", "criterion"])
+    """Evaluations with their criteria (trial, criterion and whatever else they have); unmatched ones are left out.
+
+    Criteria that have a topic_id are those extracted for this topic only.
+    """
+    return evals.join(criteria, [c for c in (*KEY, "criterion") if c in criteria.columns])

@@ -518,13 +518,14 @@ def legacy_chunks(spark, sf_dir):
 
 
 CRITERION = f"(['" + "', '".join(Q.CRITERIA) + f"'])[((trial * 7 + criterion * 3) % {len(Q.CRITERIA)} + 1)::INT]"
-CRITERIA = f"{O.EVALS}, crit AS (SELECT *, {CRITERION} AS t FROM evals)"
+CRITERIA = f"{O.PLAIN}, crit AS (SELECT *, {CRITERION} AS t FROM evals)"
+EVALUATED = f"{O.EVALS}, crit AS (SELECT *, {CRITERION} AS t FROM evals)"
 
 
-def criteria(spark, sf_dir):
-    """Evaluations with criterion texts."""
+def criteria(spark, sf_dir, evaluated=False):
+    """The criteria of each trial with their texts; ``evaluated``: as each topic's evaluations."""
     at = (F.col("trial") * 7 + F.col("criterion") * 3) % len(Q.CRITERIA)
-    return Q.evaluations(spark, sf_dir).withColumn("text", _pick(Q.CRITERIA, at))
+    return (Q.evaluations if evaluated else Q.trial_criteria)(spark, sf_dir).withColumn("text", _pick(Q.CRITERIA, at))
 
 
 _TERMS = ("melanoma", "her2", "chemotherapy", "hiv", "infection")
@@ -642,22 +643,22 @@ def deterministic_eval(spark, sf_dir):
     return profiles(spark, sf_dir).select("topic_id", made.alias("label"))
 
 
-@query(f"WITH {O.EVALS} SELECT trial, criterion, label, 'k' || criterion AS name FROM evals WHERE (trial + criterion) % 3 > 0")
+@query(f"WITH {O.EVALS} SELECT topic_id, trial, criterion, label, 'k' || criterion AS name FROM evals WHERE (trial + criterion) % 3 > 0")
 def evaluation_criteria(spark, sf_dir):
     evals = Q.evaluations(spark, sf_dir)
-    known = evals.where((F.col("trial") + F.col("criterion")) % 3 > 0).select("trial", "criterion", F.concat(F.lit("k"), F.col("criterion").cast("string")).alias("name"))
-    return E.attach_criteria(evals.select("trial", "criterion", "label"), known)
+    known = Q.trial_criteria(spark, sf_dir).where((F.col("trial") + F.col("criterion")) % 3 > 0).select("trial", "criterion", F.concat(F.lit("k"), F.col("criterion").cast("string")).alias("name"))
+    return E.attach_criteria(evals.select(*E.KEY, "criterion", "label"), known)
 
 
 # --- questions and dossiers -----------------------------------------------------------
 
 _UNSAID = "The available patient note does not contain enough information to determine this criterion confidently."
-_QUESTIONS = f"""{CRITERIA}, ask AS (SELECT trial, criterion, 'c_' || criterion AS criterion_id, 'For trial ' || trial || ', what patient information confirms this criterion: ' || t AS question_text, t AS data_point, {O.asked('t')} AS expected_data_type,
+_QUESTIONS = f"""{EVALUATED}, ask AS (SELECT topic_id, trial, criterion, 'c_' || criterion AS criterion_id, 'For trial ' || trial || ', what patient information confirms this criterion: ' || t AS question_text, t AS data_point, {O.asked('t')} AS expected_data_type,
         CASE WHEN mandatory THEN 'high' ELSE 'medium' END AS priority, CASE WHEN criterion % 4 = 0 THEN 'why ' || criterion ELSE '{_UNSAID}' END AS rationale FROM crit WHERE label = 'NEI')"""
 
 
 def _told(spark, sf_dir):
-    return criteria(spark, sf_dir).select(
+    return criteria(spark, sf_dir, True).select(
         "*",
         F.concat(F.lit("c_"), F.col("criterion").cast("string")).alias("id"),
         F.when(F.col("criterion") % 4 == 0, F.concat(F.lit("why "), F.col("criterion").cast("string"))).alias("reasoning"),
@@ -665,22 +666,22 @@ def _told(spark, sf_dir):
     )
 
 
-@query(f"WITH {_QUESTIONS} SELECT trial, criterion_id, CASE WHEN criterion = 3 THEN 'asked by a model' ELSE question_text END AS question_text, data_point, expected_data_type, CASE WHEN criterion = 3 THEN 'critical' ELSE priority END AS priority, rationale FROM ask")
+@query(f"WITH {_QUESTIONS} SELECT topic_id, trial, criterion_id, CASE WHEN criterion = 3 THEN 'asked by a model' ELSE question_text END AS question_text, data_point, expected_data_type, CASE WHEN criterion = 3 THEN 'critical' ELSE priority END AS priority, rationale FROM ask")
 def fallback_questions(spark, sf_dir):
     rows = D.fallback_questions(_told(spark, sf_dir))
-    payload = rows.where("criterion = 3").select("trial", "criterion_id", F.lit("asked by a model").alias("question_text"), F.lit("critical").alias("priority"))
-    return D.with_payload(rows, payload).select("trial", "criterion_id", "question_text", "data_point", "expected_data_type", "priority", "rationale")
+    payload = rows.where("criterion = 3").select(*E.KEY, "criterion_id", F.lit("asked by a model").alias("question_text"), F.lit("critical").alias("priority"))
+    return D.with_payload(rows, payload).select(*E.KEY, "criterion_id", "question_text", "data_point", "expected_data_type", "priority", "rationale")
 
 
 _COUNT = ", ".join(f"count(*) FILTER (polarity = '{p}'{c}) AS {p}_{n}" for p in ("inclusion", "exclusion") for n, c in (("total", ""), ("met", " AND label = 'met'"), ("not_met", " AND label = 'not_met'"), ("nei", " AND label = 'NEI'")))
 
 
 @query(
-    f"""WITH {_QUESTIONS}, {O.TRIALS}, n AS (SELECT trial, {_COUNT}, coalesce(min_by('seen ' || criterion, criterion) FILTER (label = 'met' AND criterion % 2 = 0), '') AS top_evidence FROM crit GROUP BY trial),
-      a AS (SELECT trial, string_agg(criterion_id || ':' || priority, ' ' ORDER BY priority = 'medium', criterion) AS questions FROM ask GROUP BY trial)
-      SELECT trial, n.* EXCLUDE (trial), CASE WHEN trial % 3 = 0 THEN 'because' ELSE 'About ' || status END AS executive_summary, coalesce(questions, '') AS questions,
+    f"""WITH {_QUESTIONS}, {O.TRIALS}, n AS (SELECT topic_id, trial, {_COUNT}, coalesce(min_by('seen ' || criterion, criterion) FILTER (label = 'met' AND criterion % 2 = 0), '') AS top_evidence FROM crit GROUP BY topic_id, trial),
+      a AS (SELECT topic_id, trial, string_agg(criterion_id || ':' || priority, ' ' ORDER BY priority = 'medium', criterion) AS questions FROM ask GROUP BY topic_id, trial)
+      SELECT topic_id, trial, n.* EXCLUDE (topic_id, trial), CASE WHEN trial % 3 = 0 THEN 'because' ELSE 'About ' || status END AS executive_summary, coalesce(questions, '') AS questions,
         CASE trial % 3 WHEN 0 THEN 'Rome, Italy; Spain' WHEN 1 THEN 'Lyon' ELSE '(no locations listed)' END AS locations_summary, CASE WHEN trial % 2 = 0 THEN 'A. B. | a@b.c' END AS contact_summary, 'https://clinicaltrials.gov/study/' || trial AS url
-        FROM n JOIN trials USING (trial) LEFT JOIN a USING (trial)"""
+        FROM n JOIN trials USING (trial) LEFT JOIN a USING (topic_id, trial)"""
 )
 def dossier_rows(spark, sf_dir):
     evals = _told(spark, sf_dir)
@@ -692,24 +693,24 @@ def dossier_rows(spark, sf_dir):
         "trial", F.concat(F.lit("Trial "), k.cast("string")).alias("title"), F.concat(F.lit("About "), "status").alias("brief_summary"), "phase", "status",
         sites.alias("locations"), F.when(k % 2 == 0, F.array(contact)).alias("contacts"),
     )
-    judged = evals.select("trial").distinct().join(trials.select("trial"), "trial").select(
-        (k % 10).alias("topic_id"), "trial", F.lit(1).alias("rank"), F.lit(0.5).alias("score"), F.when(k % 3 == 0, "because").alias("rationale")
+    judged = evals.select(*E.KEY).distinct().join(trials.select("trial"), "trial").select(
+        *E.KEY, F.lit(1).alias("rank"), F.lit(0.5).alias("score"), F.when(k % 3 == 0, "because").alias("rationale")
     )
     rows = D.dossiers(judged, evals, trials, D.fallback_questions(evals))
     asked = F.array_join(F.transform("missing_information", lambda q: F.concat(q["criterion_id"], F.lit(":"), q["priority"])), " ")
     counts = [f"{p}_{x}" for p in ("inclusion", "exclusion") for x in ("total", "met", "not_met", "nei")]
-    return rows.select("trial", *counts, "top_evidence", "executive_summary", asked.alias("questions"), "locations_summary", "contact_summary", "url")
+    return rows.select(*E.KEY, *counts, "top_evidence", "executive_summary", asked.alias("questions"), "locations_summary", "contact_summary", "url")
 
 
 @query(
-    f"""WITH {O.EVALS}, {O.COUNTS}, {O.TRIALS}, l AS (SELECT trial % 50 AS topic_id, trial, trial || '. ' || trial || ' — ' || 'Trial ' || trial || ' | phase=' || phase || ' | status=' || status || ' | incl met/total=' || inc_met || '/' || n_inc || ', excl clear/total=' || exc_not || '/' || n_exc
+    f"""WITH {O.EVALS}, {O.COUNTS}, {O.TRIALS}, l AS (SELECT topic_id * 50 + trial % 50 AS topic_id, trial, trial || '. ' || trial || ' — ' || 'Trial ' || trial || ' | phase=' || phase || ' | status=' || status || ' | incl met/total=' || inc_met || '/' || n_inc || ', excl clear/total=' || exc_not || '/' || n_exc
         || ', NEI=' || round_even(fraction_nei * 100, 0)::BIGINT || '%' AS line FROM counts JOIN trials USING (trial)) SELECT topic_id, md5(string_agg(line, chr(10) ORDER BY trial)) AS digest FROM l GROUP BY topic_id"""
 )
 def judge_block(spark, sf_dir):
     k = F.col("trial")
     rows = E.trial_counts(Q.evaluations(spark, sf_dir)).join(Q.trials(spark, sf_dir), "trial")
     line = V.candidate_line(k, k, F.concat(F.lit("Trial "), k.cast("string")))
-    blocks = G.render_candidates(rows.select((k % 50).alias("topic_id"), k.alias("place"), line.alias("line")))
+    blocks = G.render_candidates(rows.select((F.col("topic_id") * 50 + k % 50).alias("topic_id"), k.alias("place"), line.alias("line")))
     return blocks.select("topic_id", _md5(F.col("block")).alias("digest"))
 
 
@@ -807,25 +808,25 @@ _LABELS = ("met", "not_met", "NEI")
 )
 def f1_criterion(spark, sf_dir):
     evals = Q.evaluations(spark, sf_dir)
-    gold = evals.where("trial % 2 = 0").select("trial", "criterion", _pick(_LABELS, (F.col("trial") + F.col("criterion")) % 3).alias("label"))
+    gold = evals.where("trial % 2 = 0").select(*E.KEY, "criterion", _pick(_LABELS, (F.col("trial") + F.col("criterion")) % 3).alias("label"))
     return A.criterion_scores(evals, gold)
 
 
 @query(
-    f"WITH {O.EVALS}, {O.COUNTS}, z AS (SELECT {O.grade(O.label('clinical', True))} AS predicted, (o_custkey % 3)::INT AS gold FROM counts JOIN orders ON o_orderkey = trial WHERE o_custkey % 4 > 0) SELECT {O.MEANS} FROM ({O.rates(O.classes('z'))})"
+    f"WITH {O.EVALS}, {O.COUNTS}, z AS (SELECT {O.grade(O.label('clinical', True))} AS predicted, (o_custkey % 3)::INT AS gold FROM counts JOIN orders ON o_orderkey = trial AND o_custkey % 2 = topic_id WHERE o_custkey % 4 > 0) SELECT {O.MEANS} FROM ({O.rates(O.classes('z'))})"
 )
 def f1_trial_overlap(spark, sf_dir):
     """Predictions meet judgements of another table; only what both hold is scored."""
-    rows = E.trial_counts(Q.evaluations(spark, sf_dir)).select("trial", E.grade(E.trial_label("clinical", True)).alias("predicted"))
-    gold = Q.table(spark, sf_dir, "orders").where("o_custkey % 4 > 0").select(F.col("o_orderkey").alias("trial"), (F.col("o_custkey") % 3).cast("int").alias("gold"))
-    return averages(class_scores(rows.join(gold, "trial")))
+    rows = E.trial_counts(Q.evaluations(spark, sf_dir)).select(*E.KEY, E.grade(E.trial_label("clinical", True)).alias("predicted"))
+    gold = Q.table(spark, sf_dir, "orders").where("o_custkey % 4 > 0").select((F.col("o_custkey") % 2).alias("topic_id"), F.col("o_orderkey").alias("trial"), (F.col("o_custkey") % 3).cast("int").alias("gold"))
+    return averages(class_scores(rows.join(gold, E.KEY)))
 
 
 _GRID = ((1.0, 0.5, 0.2), (1.0, 0.0, 0.0), (0.3, 1.0, 0.2), (0.0, 0.0, 1.0), (0.5, 0.5, 0.5))
 
 
 @query(
-    f"""WITH {O.EVALS}, {O.COUNTS}, r AS (SELECT trial % 40 AS topic_id, trial, trial % 3 AS grade, CASE WHEN n_inc > 0 THEN inc_met / n_inc ELSE 0 END::DOUBLE AS a, CASE WHEN n_exc > 0 THEN exc_not / n_exc ELSE 1 END::DOUBLE AS b, -fraction_nei AS c FROM counts),
+    f"""WITH {O.EVALS}, {O.COUNTS}, r AS (SELECT topic_id * 40 + trial % 40 AS topic_id, trial, trial % 3 AS grade, CASE WHEN n_inc > 0 THEN inc_met / n_inc ELSE 0 END::DOUBLE AS a, CASE WHEN n_exc > 0 THEN exc_not / n_exc ELSE 1 END::DOUBLE AS b, -fraction_nei AS c FROM counts),
       g AS (SELECT * FROM (VALUES {', '.join(f'({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)' for i, (x, y, z) in enumerate(_GRID))}) v(place, x, y, z)),
       s AS (SELECT place, topic_id, grade, row_number() OVER (PARTITION BY place, topic_id ORDER BY round(x * a + y * b + z * c, 9) DESC, trial) AS rank FROM r, g),
       d AS (SELECT place, topic_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM s WHERE rank <= 10 GROUP BY ALL),
@@ -835,7 +836,7 @@ _GRID = ((1.0, 0.5, 0.2), (1.0, 0.0, 0.0), (0.3, 1.0, 0.2), (0.0, 0.0, 1.0), (0.
 def weight_grid(spark, sf_dir):
     share = lambda a, b, empty: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(empty)
     rows = E.trial_counts(Q.evaluations(spark, sf_dir)).select(
-        (F.col("trial") % 40).alias("topic_id"), F.col("trial").alias("doc_id"), (F.col("trial") % 3).alias("grade"),
+        (F.col("topic_id") * 40 + F.col("trial") % 40).alias("topic_id"), F.col("trial").alias("doc_id"), (F.col("trial") % 3).alias("grade"),
         share("inc_met", "n_inc", 0.0).alias("met"), share("exc_not", "n_exc", 1.0).alias("clear"), (-F.col("fraction_nei")).alias("known"),
     )
     return A.grid_search(rows, ["met", "clear", "known"], list(_GRID))

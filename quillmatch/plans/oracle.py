@@ -60,17 +60,24 @@ def dense(where: str, k: int) -> str:
 
 
 TYPES = "CASE l_linenumber % 7 WHEN 0 THEN 'other' WHEN 1 THEN 'age' WHEN 2 THEN 'sex' WHEN 3 THEN 'biomarker' WHEN 4 THEN 'lab' WHEN 5 THEN 'diagnosis' ELSE 'comorbidity' END"
-EVALS = f"""evals AS (SELECT * EXCLUDE (rn) FROM (SELECT l_orderkey AS trial, l_linenumber AS criterion,
+
+
+def _evals(topic: str, by: str) -> str:
+    return f"""evals AS (SELECT * EXCLUDE (rn) FROM (SELECT {topic} l_orderkey AS trial, l_linenumber AS criterion,
         CASE l_linestatus WHEN 'O' THEN 'inclusion' ELSE 'exclusion' END AS polarity,
         CASE l_returnflag WHEN 'A' THEN 'met' WHEN 'N' THEN 'NEI' ELSE 'not_met' END AS label,
         l_discount * 10 AS confidence, l_quantity >= 10 AS mandatory, {TYPES} AS type,
-        row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1)"""
-COUNTS = """counts AS (SELECT *, (inc_nei + exc_nei)::DOUBLE / (n_inc + n_exc) AS fraction_nei FROM (SELECT trial,
+        row_number() OVER (PARTITION BY {by} l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1)"""
+
+
+#: Evaluations of each topic, and criteria whatever the topic.
+EVALS, PLAIN = _evals("l_suppkey % 2 AS topic_id,", "l_suppkey % 2,"), _evals("", "")
+COUNTS = """counts AS (SELECT *, (inc_nei + exc_nei)::DOUBLE / (n_inc + n_exc) AS fraction_nei FROM (SELECT topic_id, trial,
         count(*) FILTER (polarity = 'inclusion') AS n_inc, count(*) FILTER (polarity = 'exclusion') AS n_exc,
         count(*) FILTER (polarity = 'inclusion' AND label = 'met') AS inc_met, count(*) FILTER (polarity = 'inclusion' AND label = 'not_met') AS inc_not,
         count(*) FILTER (polarity = 'inclusion' AND label = 'NEI') AS inc_nei, count(*) FILTER (polarity = 'exclusion' AND label = 'met') AS exc_met,
         count(*) FILTER (polarity = 'exclusion' AND label = 'not_met') AS exc_not, count(*) FILTER (polarity = 'exclusion' AND label = 'NEI') AS exc_nei,
-        bool_or(polarity = 'inclusion' AND label = 'not_met' AND mandatory) AS mandatory_failed, avg(confidence) AS avg_confidence FROM evals GROUP BY trial))"""
+        bool_or(polarity = 'inclusion' AND label = 'not_met' AND mandatory) AS mandatory_failed, avg(confidence) AS avg_confidence FROM evals GROUP BY topic_id, trial))"""
 
 
 def label(mode: str, irrelevance: bool = False) -> str:
@@ -97,7 +104,7 @@ def score(mode: str, soft: bool) -> str:
         + {w['recency']} * CASE WHEN {days} <= 0 THEN 1 ELSE 1 / (1 + ln(1 + {days} / 365.0::DOUBLE)) END
         + {w['retrieval']} * (trial % 100)::DOUBLE / 100 - {w['nei']} * fraction_nei) * (0.5::DOUBLE * avg_confidence + 0.5::DOUBLE)"""
     sunk = f"{base} - {w['soft_veto']}" if soft else f"-1 + {w['veto_tie']}::DOUBLE * (trial % 100)::DOUBLE / 100"
-    return f"""WITH {EVALS}, {COUNTS}, {TRIALS} SELECT trial, round(CASE WHEN exc_met > 0 OR mandatory_failed THEN {sunk} ELSE {base} END, 6)::DOUBLE AS score
+    return f"""WITH {EVALS}, {COUNTS}, {TRIALS} SELECT topic_id, trial, round(CASE WHEN exc_met > 0 OR mandatory_failed THEN {sunk} ELSE {base} END, 6)::DOUBLE AS score
         FROM counts JOIN trials USING (trial)"""
 
 
@@ -106,15 +113,15 @@ def evidence() -> str:
     total = lambda cond, share="1": f"coalesce(sum({w} * {share}) FILTER ({cond}), 0)"
     inc, exc, sub, sure = "polarity = 'inclusion'", "polarity = 'exclusion'", f"type NOT IN {_in(X.NOT_SUBSTANTIVE)}", "least(1, greatest(0, confidence))"
     over = lambda a, b, empty=0: f"CASE WHEN {b} > 0 THEN least(1, {a} / {b}) ELSE {empty} END::DOUBLE"
-    return f"""WITH {EVALS}, {COUNTS}, sums AS (SELECT trial, {total(inc)} AS it, {total(exc)} AS et, {total(f"{inc} AND {sub}")} AS st,
+    return f"""WITH {EVALS}, {COUNTS}, sums AS (SELECT topic_id, trial, {total(inc)} AS it, {total(exc)} AS et, {total(f"{inc} AND {sub}")} AS st,
         {total(f"{inc} AND label = 'met'", sure)} AS im, {total(f"{inc} AND {sub} AND label = 'met'", sure)} AS sm, {total(f"{inc} AND label = 'not_met'", sure)} AS inf,
         {total(f"{inc} AND label = 'NEI' AND mandatory", '0.75::DOUBLE')} AS rq, {total(f"{inc} AND label = 'NEI'", 'CASE WHEN mandatory THEN 0.75::DOUBLE ELSE 0.45::DOUBLE END')} AS ms, {total(f"{exc} AND label = 'not_met'", sure)} AS ec, {total(f"{exc} AND label = 'met'", sure)} AS eh,
-        {total(f"{exc} AND label = 'NEI'", 'CASE WHEN mandatory THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END')} AS eu FROM evals GROUP BY trial),
-      parts AS (SELECT trial, {over('im', 'it')} AS a, {over('sm', 'st')} AS b, {over('inf', 'it')} AS c, {over('ms', 'it')} AS miss, {over('ec', 'et', 1)} AS d, {over('eh', 'et')} AS e, {over('eu', 'et')} AS f,
+        {total(f"{exc} AND label = 'NEI'", 'CASE WHEN mandatory THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END')} AS eu FROM evals GROUP BY topic_id, trial),
+      parts AS (SELECT topic_id, trial, {over('im', 'it')} AS a, {over('sm', 'st')} AS b, {over('inf', 'it')} AS c, {over('ms', 'it')} AS miss, {over('ec', 'et', 1)} AS d, {over('eh', 'et')} AS e, {over('eu', 'et')} AS f,
         least(1, rq / greatest(it + 0.45::DOUBLE * et, 1e-9))::DOUBLE AS g FROM sums),
       thin AS (SELECT p.*, fraction_nei, CASE WHEN {label('benchmark')} = 'eligible' THEN CASE WHEN n_inc = 0 OR inc_met = 0 THEN 0.12::DOUBLE WHEN inc_met <= 1 AND b < 0.35::DOUBLE THEN 0.10::DOUBLE
-        WHEN inc_met <= 1 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN fraction_nei >= 0.65::DOUBLE THEN 0.04::DOUBLE ELSE 0 END ELSE 0 END::DOUBLE AS t FROM parts p JOIN counts USING (trial))
-      SELECT trial, round(a + 1e-9, 6) AS inclusion_support, round(b + 1e-9, 6) AS substantive_support, round(c + 1e-9, 6) AS inclusion_failure, round(miss + 1e-9, 6) AS inclusion_missing, round(d + 1e-9, 6) AS exclusion_clear, round(e + 1e-9, 6) AS exclusion_penalty,
+        WHEN inc_met <= 1 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN fraction_nei >= 0.65::DOUBLE THEN 0.04::DOUBLE ELSE 0 END ELSE 0 END::DOUBLE AS t FROM parts p JOIN counts USING (topic_id, trial))
+      SELECT topic_id, trial, round(a + 1e-9, 6) AS inclusion_support, round(b + 1e-9, 6) AS substantive_support, round(c + 1e-9, 6) AS inclusion_failure, round(miss + 1e-9, 6) AS inclusion_missing, round(d + 1e-9, 6) AS exclusion_clear, round(e + 1e-9, 6) AS exclusion_penalty,
         round(f + 1e-9, 6) AS exclusion_unknown, round(g + 1e-9, 6) AS missing_required, round(t + 1e-9, 6) AS thin,
         round(least(1, greatest(0, 0.38 * a + 0.30 * b + 0.12 * d + 0.10 * (1 - fraction_nei) - 0.45 * c - 0.72 * e - 0.06 * f - 0.42 * g - t)) + 1e-9, 6)::DOUBLE AS evidence FROM thin"""
 
@@ -130,7 +137,7 @@ def metrics(linear: bool, run: str = "run", before: str = "") -> str:
         round(coalesce(max(CASE WHEN g > 0 THEN 1 / rank END), 0), 6)::DOUBLE AS rr, round(coalesce(sum(CASE WHEN g > 0 THEN hits / rank END) / (SELECT relevant FROM total), 0), 6)::DOUBLE AS ap FROM j GROUP BY topic_id"""
 
 
-PAIRS = f"""{EVALS}, {COUNTS}, pairs AS (SELECT trial, {grade(label('benchmark', True))} AS gold, {grade(label('clinical', True))} AS predicted,
+PAIRS = f"""{EVALS}, {COUNTS}, pairs AS (SELECT topic_id, trial, {grade(label('benchmark', True))} AS gold, {grade(label('clinical', True))} AS predicted,
         {ELIG} AS score, exc_met > 0 OR mandatory_failed AS veto FROM counts)"""
 
 
@@ -310,7 +317,7 @@ ERRORS = f"""WITH {EVALS}, {COUNTS}, e AS (SELECT *, trial % 3 AS gold, {grade(l
         CASE WHEN gold = 2 AND predicted < 2 AND fraction_nei >= 0.6::DOUBLE THEN 'high_nei_gold_eligible' END, CASE WHEN prior < 0.25::DOUBLE THEN 'low_retrieval_prior' END], lambda c: c IS NOT NULL) AS c FROM e WHERE gold <> predicted)
       SELECT category, count(*) AS n FROM (SELECT unnest(CASE WHEN len(c) = 0 THEN ['generic_disagreement'] ELSE c END) AS category FROM x) GROUP BY ALL"""
 
-FLAGS = f"""WITH {EVALS}, {COUNTS}, {TRIALS} SELECT trial, array_to_string(list_filter([CASE WHEN fraction_nei >= 0.4::DOUBLE THEN 'warning:data_quality' END, CASE WHEN mandatory_failed THEN 'critical:eligibility_mandatory' END,
+FLAGS = f"""WITH {EVALS}, {COUNTS}, {TRIALS} SELECT topic_id, trial, array_to_string(list_filter([CASE WHEN fraction_nei >= 0.4::DOUBLE THEN 'warning:data_quality' END, CASE WHEN mandatory_failed THEN 'critical:eligibility_mandatory' END,
         CASE WHEN exc_met > 0 THEN 'critical:eligibility_exclusion' END, CASE WHEN trial % 4 = 0 THEN 'warning:geographic' END, CASE WHEN status NOT IN ('RECRUITING', 'NOT_YET_RECRUITING') THEN 'warning:trial_status' END], lambda c: c IS NOT NULL), ',') AS flags
       FROM counts JOIN trials USING (trial)"""
 
@@ -341,10 +348,10 @@ def triage() -> str:
 
 def adjusted() -> str:
     hard = score("benchmark", False).replace("round(", "(", 1).replace(", 6)::DOUBLE AS score", ")::DOUBLE AS score", 1)
-    veto = f"(SELECT trial, exc_met > 0 OR mandatory_failed AS veto FROM (WITH {EVALS}, {COUNTS} SELECT * FROM counts))"
+    veto = f"(SELECT topic_id, trial, exc_met > 0 OR mandatory_failed AS veto FROM (WITH {EVALS}, {COUNTS} SELECT * FROM counts))"
     ev = evidence().replace("+ 1e-9, 6)::DOUBLE AS evidence", ", 15)::DOUBLE AS evidence")
-    return f"""SELECT trial, round(score + CASE WHEN veto AND score <= -0.95 THEN 0.125::DOUBLE ELSE 0.5::DOUBLE END * (evidence - 0.5::DOUBLE) + 1e-9, 6) AS score
-      FROM ({hard}) JOIN ({ev}) USING (trial) JOIN {veto} USING (trial)"""
+    return f"""SELECT topic_id, trial, round(score + CASE WHEN veto AND score <= -0.95 THEN 0.125::DOUBLE ELSE 0.5::DOUBLE END * (evidence - 0.5::DOUBLE) + 1e-9, 6) AS score
+      FROM ({hard}) JOIN ({ev}) USING (topic_id, trial) JOIN {veto} USING (topic_id, trial)"""
 
 
 DEMOTE = f"""WITH RECURSIVE {bm25(['all'], 10)}, l AS (SELECT topic_id, list(doc_id ORDER BY rank) AS ids, list_sort(list(doc_id) FILTER (doc_id % 3 = 0)) AS bad FROM run GROUP BY topic_id),
@@ -397,13 +404,13 @@ ORACLES = {
     "top_score_select": f"WITH {bm25(['all'], 5)} SELECT topic_id, doc_id, score, rank FROM run",
     "retrieval_prior": f"WITH {bm25(['all'], 50)} SELECT topic_id, doc_id, round(CASE WHEN m <= 1 THEN 1 ELSE 1 - (rank - 1) / (m - 1) END, 6)::DOUBLE AS prior FROM (SELECT *, max(rank) OVER (PARTITION BY topic_id) AS m FROM run)",
     "mmr_select": mmr(3, 10),
-    "trial_label_benchmark": f"WITH {EVALS}, {COUNTS} SELECT trial, label, {grade('label')} AS qrel, n_inc, n_exc, round(fraction_nei, 6) AS fraction_nei FROM (SELECT *, {label('benchmark')} AS label FROM counts)",
-    "trial_label_clinical": f"WITH {EVALS}, {COUNTS} SELECT trial, {label('clinical', True)} AS label FROM counts",
+    "trial_label_benchmark": f"WITH {EVALS}, {COUNTS} SELECT topic_id, trial, label, {grade('label')} AS qrel, n_inc, n_exc, round(fraction_nei, 6) AS fraction_nei FROM (SELECT *, {label('benchmark')} AS label FROM counts)",
+    "trial_label_clinical": f"WITH {EVALS}, {COUNTS} SELECT topic_id, trial, {label('clinical', True)} AS label FROM counts",
     "predicate_eval": """SELECT p_partkey, CASE WHEN p_size <= 3 THEN 'NEI' WHEN CASE p_partkey % 7 WHEN 0 THEN p_size >= 25 WHEN 1 THEN p_size <= 25 WHEN 2 THEN p_size > 25 WHEN 3 THEN p_size < 25 WHEN 4 THEN p_size = 25 WHEN 5 THEN p_size <> 25 ELSE false END THEN 'met' ELSE 'not_met' END AS label FROM part""",
-    "sc_vote": """WITH c AS (SELECT l_orderkey % 500 AS trial, l_linenumber AS criterion, l_returnflag AS label, count(*) AS n, avg(l_discount) AS conf FROM lineitem GROUP BY ALL),
-      b AS (SELECT *, sum(n) OVER (PARTITION BY trial, criterion) AS k, row_number() OVER (PARTITION BY trial, criterion ORDER BY n DESC, label DESC) AS r FROM c)
-      SELECT trial, criterion, CASE WHEN n > floor(k / 2) THEN label ELSE 'NEI' END AS label, round(CASE WHEN n > floor(k / 2) THEN conf ELSE 0.4 END, 6)::DOUBLE AS confidence FROM b WHERE r = 1""",
-    "eligibility_score": f"WITH {EVALS}, {COUNTS} SELECT trial, round({ELIG}, 6) AS score FROM counts",
+    "sc_vote": """WITH c AS (SELECT l_suppkey % 2 AS topic_id, l_orderkey % 500 AS trial, l_linenumber AS criterion, l_returnflag AS label, count(*) AS n, avg(l_discount) AS conf FROM lineitem GROUP BY ALL),
+      b AS (SELECT *, sum(n) OVER (PARTITION BY topic_id, trial, criterion) AS k, row_number() OVER (PARTITION BY topic_id, trial, criterion ORDER BY n DESC, label DESC) AS r FROM c)
+      SELECT topic_id, trial, criterion, CASE WHEN n > floor(k / 2) THEN label ELSE 'NEI' END AS label, round(CASE WHEN n > floor(k / 2) THEN conf ELSE 0.4 END, 6)::DOUBLE AS confidence FROM b WHERE r = 1""",
+    "eligibility_score": f"WITH {EVALS}, {COUNTS} SELECT topic_id, trial, round({ELIG}, 6) AS score FROM counts",
     "trial_score_hard": score("clinical", False),
     "trial_score_soft": score("benchmark", True),
     "criterion_evidence": evidence(),
@@ -429,7 +436,7 @@ ORACLES = {
     "section_header": f"WITH {CRITERION} SELECT p_partkey, {header('t')} AS header, CASE WHEN {header('t')} THEN CASE WHEN {_hit(_low('t'), X.HEADER_DROP)} THEN 'drop' ELSE 'merge' END END AS action FROM crit",
     "question_type": f"WITH {CRITERION} SELECT p_partkey, {asked('t')} AS type FROM crit",
     "segment_lines": SEGMENTS,
-    "cap_legacy": f"""WITH {EVALS}, r AS (SELECT trial, criterion AS pos, polarity, row_number() OVER (PARTITION BY trial, polarity ORDER BY criterion) AS nth, count(*) FILTER (polarity = 'exclusion') OVER (PARTITION BY trial) AS ne FROM evals),
+    "cap_legacy": f"""WITH {PLAIN}, r AS (SELECT trial, criterion AS pos, polarity, row_number() OVER (PARTITION BY trial, polarity ORDER BY criterion) AS nth, count(*) FILTER (polarity = 'exclusion') OVER (PARTITION BY trial) AS ne FROM evals),
       t AS (SELECT *, CASE WHEN polarity = 'inclusion' THEN nth <= CASE WHEN ne > 0 THEN 2 ELSE 4 END ELSE nth <= 2 END AS first FROM r)
       SELECT trial, pos, polarity FROM t QUALIFY row_number() OVER (PARTITION BY trial ORDER BY first DESC, pos) <= 4""",
     "question_rubric": RUBRIC,
@@ -446,7 +453,7 @@ ORACLES = {
       e AS (SELECT topic_id, doc_id, least(-2::DOUBLE, low - 1) + 0.001::DOUBLE * greatest(0, 1 - (i - 1) / greatest(15 - n, 1)::DOUBLE) AS score FROM i JOIN m USING (topic_id) WHERE ex AND i <= 15 - n)
       SELECT topic_id, doc_id, round(score, 6) AS score, 'ranked' AS source FROM a UNION ALL SELECT topic_id, doc_id, round(score, 6), 'tail' FROM t UNION ALL SELECT topic_id, doc_id, round(score, 6), 'excluded' FROM e""",
     "irrelevance_policy": f"""WITH {EVALS}, {COUNTS}, s AS (SELECT *, {label('benchmark')} AS label, (trial % 10)::DOUBLE / 10 <= 0.5::DOUBLE AS low FROM counts)
-      SELECT trial, CASE WHEN label = 'eligible' THEN 'eligible_label' WHEN exc_met > 0 THEN 'explicit_exclusion_met' WHEN mandatory_failed THEN 'mandatory_inclusion_failed'
+      SELECT topic_id, trial, CASE WHEN label = 'eligible' THEN 'eligible_label' WHEN exc_met > 0 THEN 'explicit_exclusion_met' WHEN mandatory_failed THEN 'mandatory_inclusion_failed'
         WHEN NOT (fraction_nei >= 0.8::DOUBLE AND inc_met <= 0 AND low) THEN 'missing_core_irrelevance_signals' WHEN 3 + (trial % 2 = 0)::INT + (trial % 3 = 0)::INT < 4 THEN 'insufficient_signals' ELSE 'irrelevant' END AS outcome FROM s""",
     "index_coverage": f"WITH {QRELS} SELECT grade, count(*) AS judged, count(d.doc_id) AS in_corpus, count(*) FILTER (d.doc_id % 10 <> 3) AS in_index FROM qrels LEFT JOIN documents d USING (doc_id) GROUP BY grade",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
@@ -454,7 +461,7 @@ ORACLES = {
     "alias_norm": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'numeric' WHEN 1 THEN 'boolean' WHEN 2 THEN 'text' WHEN 3 THEN 'numeric' WHEN 4 THEN 'date' WHEN 5 THEN 'categorical' ELSE 'other_kind' END AS type FROM part",
     "thesaurus_lookup": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'D1' WHEN 1 THEN 'D2' WHEN 2 THEN 'D3' WHEN 3 THEN 'D4' ELSE 'D1' END AS concept FROM part WHERE p_partkey % 6 < 5",
     "verifier_rule": f"""WITH {EVALS}, f AS (SELECT *, confidence < 0.85 AND trial % 4 >= 2 AND label <> CASE trial % 3 WHEN 0 THEN 'met' WHEN 1 THEN 'not_met' ELSE 'NEI' END AS flipped FROM evals)
-      SELECT trial, criterion, CASE WHEN flipped THEN 'NEI' ELSE label END AS label, round(CASE WHEN flipped THEN least(confidence, 0.5::DOUBLE) ELSE confidence END, 6) AS confidence, flipped FROM f""",
+      SELECT topic_id, trial, criterion, CASE WHEN flipped THEN 'NEI' ELSE label END AS label, round(CASE WHEN flipped THEN least(confidence, 0.5::DOUBLE) ELSE confidence END, 6) AS confidence, flipped FROM f""",
     "cascade_route": f"""WITH {EVALS} SELECT CASE WHEN trial % 2 = 0 AND (label <> 'NEI' OR type IN ('age', 'sex')) THEN 'deterministic' WHEN type IN {_in((*X.LLM_TYPES, 'performance_status'))} THEN 'model' ELSE 'votes' END AS route, count(*) AS n FROM evals GROUP BY ALL""",
     "evidence_adjust": adjusted(),
     "critique_demote": DEMOTE,

@@ -117,8 +117,8 @@ def match(
 ) -> DataFrame:
     """topic_id, doc_id, label, score, source, rank: the first ``output_k`` of each topic.
 
-    ``evals``: trial, criterion, polarity, label, confidence, mandatory, type; ``trials``: trial, status, phase,
-    updated.  ``trial`` is a document's id.  ``people``: topic_id, age_years, sex, home, note and the arrays
+    ``evals``: topic_id, trial, criterion, polarity, label, confidence, mandatory, type, each patient's own; ``trials``:
+    trial, status, phase, updated.  ``trial`` is a document's id.  ``people``: topic_id, age_years, sex, home, note and the arrays
     diagnoses, biomarkers, treatments, comorbidities; ``studies``: doc_id, status, sex, min_days, max_days, raw_min,
     raw_max, locations (array of country, state, city) and the texts of `ranking.trial_terms`.  Without these two
     the steps that need them (hard filter, entity components, geography, signals of terms) don't act.
@@ -139,14 +139,14 @@ def match(
     chosen = cut(select(viable, docs, topics, config))
     rows = S.prior(viable).join(chosen, ["topic_id", "doc_id"]).select("topic_id", "doc_id", "prior", "outside")
 
-    ids = rows.select(F.col("doc_id").alias("trial")).distinct()
-    mine = evals.join(ids, "trial", "left_semi")
-    counts = ids.join(E.trial_counts(mine), "trial", "left")
-    none = [c for c in counts.columns if c not in ("trial", "mandatory_failed", "avg_confidence")]
+    pairs = rows.select("topic_id", F.col("doc_id").alias("trial"))
+    mine = evals.join(pairs, E.KEY, "left_semi")
+    counts = pairs.join(E.trial_counts(mine), E.KEY, "left")
+    none = [c for c in counts.columns if c not in (*E.KEY, "mandatory_failed", "avg_confidence")]
     counts = counts.fillna(0, none).fillna(False, ["mandatory_failed"]).withColumn("label", E.trial_label(config.mode))
     counts = cut(counts)
-    facts = counts.join(E.evidence(mine, counts).select("trial", "evidence"), "trial").join(trials, "trial", "left")
-    rows = rows.join(facts.withColumnRenamed("trial", "doc_id"), "doc_id")
+    facts = counts.join(E.evidence(mine, counts).select(*E.KEY, "evidence"), E.KEY).join(trials, "trial", "left")
+    rows = rows.join(facts.withColumnRenamed("trial", "doc_id"), ["topic_id", "doc_id"])
     if profiled:
         asked = people.select(
             "topic_id", F.array_join("diagnoses", " ").alias("conditions"), F.array_join(F.concat("biomarkers", "treatments"), " ").alias("treatments")

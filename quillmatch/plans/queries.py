@@ -36,10 +36,10 @@ def qrels(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
 
 
-def evaluations(spark, sf_dir):
-    """Criterion evaluations, the last of each trial and criterion."""
+def _evaluated(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select(
+    return li.select(
+        (F.col("l_suppkey") % 2).alias("topic_id"),
         F.col("l_orderkey").alias("trial"),
         F.col("l_linenumber").alias("criterion"),
         F.when(F.col("l_linestatus") == "O", "inclusion").otherwise("exclusion").alias("polarity"),
@@ -52,7 +52,19 @@ def evaluations(spark, sf_dir):
         "l_suppkey",
         "l_extendedprice",
     )
-    return E.last_wins(rows, ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+LAST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def evaluations(spark, sf_dir):
+    """Criterion evaluations, the last of each topic, trial and criterion."""
+    return E.last_wins(_evaluated(spark, sf_dir), LAST)
+
+
+def trial_criteria(spark, sf_dir):
+    """The criteria of each trial, whoever they were evaluated for."""
+    return E.last_wins(_evaluated(spark, sf_dir).drop("topic_id"), LAST, ["trial", "criterion"])
 
 
 def trials(spark, sf_dir):
@@ -302,11 +314,11 @@ def mmr_select(spark, sf_dir):
 
 def trial_label_benchmark(spark, sf_dir):
     rows = labelled(spark, sf_dir, "benchmark")
-    return rows.select("trial", "label", E.grade(F.col("label")).alias("qrel"), "n_inc", "n_exc", F.round("fraction_nei", 6).alias("fraction_nei"))
+    return rows.select(*E.KEY, "label", E.grade(F.col("label")).alias("qrel"), "n_inc", "n_exc", F.round("fraction_nei", 6).alias("fraction_nei"))
 
 
 def trial_label_clinical(spark, sf_dir):
-    return labelled(spark, sf_dir, "clinical", irrelevance=True).select("trial", "label")
+    return labelled(spark, sf_dir, "clinical", irrelevance=True).select(*E.KEY, "label")
 
 
 def predicate_eval(spark, sf_dir):
@@ -318,6 +330,7 @@ def predicate_eval(spark, sf_dir):
 def sc_vote(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     votes = li.select(
+        (F.col("l_suppkey") % 2).alias("topic_id"),
         (F.col("l_orderkey") % 500).alias("trial"),
         F.col("l_linenumber").alias("criterion"),
         F.col("l_returnflag").alias("label"),
@@ -327,7 +340,7 @@ def sc_vote(spark, sf_dir):
 
 
 def eligibility_score(spark, sf_dir):
-    return labelled(spark, sf_dir).select("trial", F.round(E.eligibility_score(), 6).alias("score"))
+    return labelled(spark, sf_dir).select(*E.KEY, F.round(E.eligibility_score(), 6).alias("score"))
 
 
 def _scored(spark, sf_dir, mode):
@@ -344,11 +357,11 @@ def _scored(spark, sf_dir, mode):
 
 
 def trial_score_hard(spark, sf_dir):
-    return _scored(spark, sf_dir, "clinical").select("trial", F.round(E.trial_score("clinical", False), 6).alias("score"))
+    return _scored(spark, sf_dir, "clinical").select(*E.KEY, F.round(E.trial_score("clinical", False), 6).alias("score"))
 
 
 def trial_score_soft(spark, sf_dir):
-    return _scored(spark, sf_dir, "benchmark").select("trial", F.round(E.trial_score("benchmark", True), 6).alias("score"))
+    return _scored(spark, sf_dir, "benchmark").select(*E.KEY, F.round(E.trial_score("benchmark", True), 6).alias("score"))
 
 
 def criterion_evidence(spark, sf_dir):
@@ -356,7 +369,7 @@ def criterion_evidence(spark, sf_dir):
     counts = E.trial_counts(evals).withColumn("label", E.trial_label("benchmark"))
     rows = E.evidence(evals, counts)
     # sums may differ in their last bit by order: a nudge keeps values halfway between two roundings on one side
-    return rows.select("trial", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in rows.columns if c not in ("trial", "fraction_nei")])
+    return rows.select(*E.KEY, *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in rows.columns if c not in (*E.KEY, "fraction_nei")])
 
 
 def label_histogram(spark, sf_dir):
@@ -382,7 +395,7 @@ def _pairs(spark, sf_dir):
     """Gold from the benchmark policy, predictions from the clinical one."""
     rows = E.trial_counts(evaluations(spark, sf_dir))
     return rows.select(
-        "trial",
+        *E.KEY,
         E.grade(E.trial_label("benchmark", True)).alias("gold"),
         E.grade(E.trial_label("clinical", True)).alias("predicted"),
         E.eligibility_score().alias("score"),
@@ -463,7 +476,7 @@ def segment_lines(spark, sf_dir):
 
 
 def cap_legacy(spark, sf_dir):
-    rows = evaluations(spark, sf_dir).select("trial", F.col("criterion").alias("pos"), "polarity")
+    rows = trial_criteria(spark, sf_dir).select("trial", F.col("criterion").alias("pos"), "polarity")
     return C.cap_balanced(rows, "trial", 4)
 
 
@@ -513,7 +526,7 @@ def error_categories(spark, sf_dir):
 
 def attention_flags(spark, sf_dir):
     rows = labelled(spark, sf_dir).join(trials(spark, sf_dir), "trial").withColumn("in_country", F.col("trial") % 4 > 0)
-    return rows.select("trial", F.array_join(P.attention_flags(), ",").alias("flags"))
+    return rows.select(*E.KEY, F.array_join(P.attention_flags(), ",").alias("flags"))
 
 
 def geography(spark, sf_dir):
@@ -542,7 +555,7 @@ def irrelevance_policy(spark, sf_dir):
         (F.col("trial") % 2 == 0).alias("no_condition"),
         (F.col("trial") % 3 == 0).alias("no_intervention"),
     )
-    return rows.select("trial", P.irrelevance(least=4).alias("outcome"))
+    return rows.select(*E.KEY, P.irrelevance(least=4).alias("outcome"))
 
 
 def index_coverage(spark, sf_dir):
@@ -587,7 +600,7 @@ def verifier_rule(spark, sf_dir):
     strength = F.get(F.array(*map(F.lit, ("none", "weak", "moderate", "strong"))), (F.col("trial") % 4).cast("int"))
     revised = F.get(F.array(*map(F.lit, ("met", "not_met", "NEI"))), (F.col("trial") % 3).cast("int"))
     x = E.verified(F.col("label"), F.col("confidence"), strength, revised)
-    return evaluations(spark, sf_dir).select("trial", "criterion", x.alias("x")).select("trial", "criterion", "x.label", F.round("x.confidence", 6).alias("confidence"), "x.flipped")
+    return evaluations(spark, sf_dir).select(*E.KEY, "criterion", x.alias("x")).select(*E.KEY, "criterion", "x.label", F.round("x.confidence", 6).alias("confidence"), "x.flipped")
 
 
 def cascade_route(spark, sf_dir):
@@ -599,9 +612,9 @@ def cascade_route(spark, sf_dir):
 def evidence_adjust(spark, sf_dir):
     scored = _scored(spark, sf_dir, "benchmark").withColumn("score", E.trial_score("benchmark", False))
     evals = evaluations(spark, sf_dir)
-    facts = E.evidence(evals, E.trial_counts(evals).withColumn("label", E.trial_label("benchmark"))).select("trial", "evidence")
+    facts = E.evidence(evals, E.trial_counts(evals).withColumn("label", E.trial_label("benchmark"))).select(*E.KEY, "evidence")
     veto = (F.col("exc_met") > 0) | F.col("mandatory_failed")
-    return scored.join(facts, "trial").select("trial", F.round(E.adjust(F.col("score"), F.col("evidence"), veto, 0.5) + 1e-9, 6).alias("score"))
+    return scored.join(facts, E.KEY).select(*E.KEY, F.round(E.adjust(F.col("score"), F.col("evidence"), veto, 0.5) + 1e-9, 6).alias("score"))
 
 
 def critique_demote(spark, sf_dir):

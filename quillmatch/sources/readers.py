@@ -46,9 +46,14 @@ def _texts(a: Column) -> Column:
 def studies_json(spark: SparkSession, path: str) -> DataFrame:
     """Trials from files that each hold an array of studies; broken files and studies without id are left out."""
     raw = spark.read.schema(_JSON).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    p = raw.select("protocolSection.*")
+    return trials_of_sections(raw.select("protocolSection.*"))
+
+
+def trials_of_sections(p: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Trials from the modules of a study's protocol section, with the columns ``carry`` in front."""
     c = F.col
     return p.where(F.coalesce("identificationModule.nctId", F.lit("")) != "").select(
+        *carry,
         c("identificationModule.nctId").alias("nct_id"),
         F.coalesce("identificationModule.briefTitle", F.lit("")).alias("title"),
         c("identificationModule.officialTitle").alias("official_title"),
@@ -81,9 +86,18 @@ _XML = """id_info struct<nct_id:string>, brief_title string, official_title stri
   sponsors struct<lead_sponsor:struct<agency:string>>, last_update_posted string, enrollment string"""
 
 
+def raw_xml(spark: SparkSession, path: str | list[str], schema: str = _XML) -> DataFrame:
+    """The fields of ``schema`` of every study element; malformed files give no row."""
+    return spark.read.format("xml").schema(schema).option("rowTag", "clinical_study").option("mode", "DROPMALFORMED").load(path)
+
+
 def studies_xml(spark: SparkSession, path: str) -> DataFrame:
     """Trials from legacy XML; white space is collapsed everywhere, malformed files give no row."""
-    raw = spark.read.format("xml").schema(_XML).option("rowTag", "clinical_study").option("mode", "DROPMALFORMED").load(path)
+    return trials_of_xml(raw_xml(spark, path))
+
+
+def trials_of_xml(raw: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Trials from the fields of legacy XML, with the columns ``carry`` in front."""
     c, flat = F.col, lambda x: T.collapse(F.col(x))
     many = lambda x: F.transform(_texts(F.col(x)), T.collapse)
     place = lambda l: F.struct(
@@ -95,6 +109,7 @@ def studies_xml(spark: SparkSession, path: str) -> DataFrame:
     )
     contact = lambda k: F.struct(k["last_name"].alias("name"), k["role"].alias("role"), k["email"].alias("email"), k["phone"].alias("phone"))
     return raw.where(F.coalesce("id_info.nct_id", F.lit("")) != "").select(
+        *carry,
         flat("id_info.nct_id").alias("nct_id"),
         F.coalesce(flat("brief_title"), F.lit("")).alias("title"),
         flat("official_title").alias("official_title"),

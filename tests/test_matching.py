@@ -1,9 +1,11 @@
-"""Every query of profiles, criteria, ranking steps and audits against its SQL on DuckDB."""
+"""Every query of profiles, criteria, ranking steps, audits, access and manifests against its SQL on DuckDB."""
 
 import pytest
-from quillmatch.plans.matching import ORACLES, QUERIES
+from quillmatch.plans import access, matching
 from test_oracles import SF, duck, rows_of  # noqa: F401
 
+QUERIES, ORACLES = matching.QUERIES | access.QUERIES, matching.ORACLES | access.ORACLES
+
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):  # noqa: F811

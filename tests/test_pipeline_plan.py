@@ -1,4 +1,5 @@
 from pyspark.sql import functions as F
+from quillmatch.operators import eligibility as E
 from quillmatch.operators import ranking as G
 from quillmatch.plans import pipeline as P
 from quillmatch.plans import queries as Q
@@ -54,8 +55,12 @@ def profiled(spark):
         "array('x') as keywords", "array('pembrolizumab') as interventions", "text as inclusion_text", "'' as exclusion_text", "text as raw_text",
     )
     evals = spark.createDataFrame(
-        [(1, 1, "inclusion", "met", 0.9, True, "diagnosis"), (3, 1, "exclusion", "met", 0.9, False, "lab"), (4, 1, "inclusion", "NEI", 0.5, False, "age")],
-        "trial long, criterion int, polarity string, label string, confidence double, mandatory boolean, type string",
+        [
+            (t, *e)
+            for t in (0, 1)
+            for e in [(1, 1, "inclusion", "met", 0.9, True, "diagnosis"), (3, 1, "exclusion", "met", 0.9, False, "lab"), (4, 1, "inclusion", "NEI", 0.5, False, "age")]
+        ],
+        "topic_id long, trial long, criterion int, polarity string, label string, confidence double, mandatory boolean, type string",
     )
     trials = studies.selectExpr("doc_id as trial", "status", "'PHASE2' as phase", "date'2001-01-01' as updated")
     return docs, topics, evals, trials, people, studies
@@ -108,3 +113,18 @@ def test_outside_selection_is_demoted(spark):
     docs, topics, evals, trials, people, studies = profiled(spark)
     got = by_topic(P.match(docs, topics, evals, trials, P.benchmark(diverse=True, evaluated=2, diverse_keep=1), people, studies))
     assert all(len([r for r in rs if r.source == "ranked"]) == 2 for rs in got.values())
+
+
+def test_two_patients_one_trial(spark):
+    """What one patient meets or fails says nothing of the other."""
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    own = evals.withColumn("label", F.when((F.col("trial") == 1) & (F.col("topic_id") == 1), "not_met").otherwise(F.col("label")))
+    got = by_topic(P.match(docs, topics, own, trials, P.benchmark(irrelevance=False), people, studies))
+    labels = {t: {r.doc_id: r.label for r in rows} for t, rows in got.items()}
+    assert (labels[0][1], labels[1][1]) == ("eligible", "excludes") and labels[0][3] == labels[1][3] == "excludes"
+    scores = {t: {r.doc_id: r.score for r in rows} for t, rows in got.items()}
+    assert scores[0][1] > 0 > scores[1][1]
+    alone = by_topic(P.match(docs, topics, own.where("topic_id = 0"), trials, P.benchmark(irrelevance=False), people, studies))
+    assert {r.doc_id: (r.label, r.score) for r in alone[0]} == {r.doc_id: (r.label, r.score) for r in got[0]}
+    counts = {(r.topic_id, r.trial): (r.n_inc, r.inc_met) for r in E.trial_counts(own).collect()}
+    assert counts[0, 1] == (1, 1) and counts[1, 1] == (1, 0)
