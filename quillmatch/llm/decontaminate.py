@@ -254,5 +254,5 @@ def uncontaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent:
     """The rows of ``docs`` that hold no item, with all columns."""
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     rows = documents(docs).select(F.xxhash64("doc_id", "text").alias("uid"), "text")
-    found = matches(rows, items, shingle, percent, radius).select(F.col("uid").alias("uid of a leak")).distinct()
-    return docs.join(found, key == F.col("uid of a leak"), "left_anti")
+    found = matches(rows, items, shingle, percent, radius).select("uid").distinct()
+    return docs.join(found, key == found["uid"], "left_anti")

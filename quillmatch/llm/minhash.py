@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import cut, documents, in_pieces, mix, window_hashes, word_hashes
+from quillmatch.llm.common import cut, documents, in_pieces, mix, unused, window_hashes, word_hashes
 
 BANDS = 32
 ROWS = 4
@@ -183,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+    """The pairs (a, b) whose full sets meet the threshold; ``docs`` holds each id once."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     sets = (
         docs.join(ids, docs.doc_id == ids.id, "left_semi")
@@ -233,7 +233,6 @@ def _prefix_pairs(rest: DataFrame, docs: DataFrame, size: int, percent: int) ->
     sets = (
         docs.join(rest, docs.doc_id == rest.rep, "left_semi")
         .select("doc_id", "text")
-        .dropDuplicates(["doc_id"])
         .mapInArrow(in_pieces(_shingle_maker(size)), "rep long, shingles array<long>")
     )
     grams = cut(sets.select("rep", F.explode("shingles").alias("h")))
@@ -275,7 +274,7 @@ def near_duplicates(
     mixed = _mixed_ids(docs)
     if mixed.isEmpty():
         return _near(docs, shingle, percent, bands, rows)
-    told = _told_apart(docs, mixed).select("doc_id", "text", F.col("own id").alias("own"))
+    told = _told_apart(docs, mixed)
     near = _near(told.select(F.col("own").alias("doc_id"), "text"), shingle, percent, bands, rows)
     near = cut(near.select(F.col("doc_id").alias("own"), "n_shingles", F.col("component_id").alias("root"), "digest"))
     names = cut(told.select("own", "doc_id").distinct())
@@ -293,6 +292,19 @@ def near_duplicates(
     return out.unionByName(nameless)
 
 
+def _without_copies(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` with one row of each repeated id; ``named`` has the same ids, and ids have one text each.
+
+    Most tables repeat no id: these are told by their ids alone, and only rows of repeated ids move with their texts.
+    """
+    again = cut(named.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("k")).where("k > 1").select("again"))
+    if again.isEmpty():
+        return docs
+    repeated = docs.doc_id == again.again
+    once = docs.where("doc_id is not null").join(again, repeated, "left_anti")
+    return once.unionAll(docs.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _near(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The same for rows whose ids have one text each."""
     sketch = cut(
@@ -301,6 +313,7 @@ def _near(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows:
         )
     )
     named = sketch.where("doc_id is not null and n_shingles > 0")
+    single = _without_copies(docs, named)
     classes = cut(
         named.groupBy("digest").agg(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
@@ -315,11 +328,11 @@ def _near(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows:
         .select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
-    links = cut(_confirm(cut(stars), docs, shingle, percent))
+    links = cut(_confirm(cut(stars), single, shingle, percent))
     roots = cut(components(links))
     rest = _unsettled(members.where(F.col("rep") != F.col("c.rep")).drop("c", "k"), roots)
     if not rest.isEmpty():
-        more = cut(_confirm(cut(_prefix_pairs(rest, docs, shingle, percent)), docs, shingle, percent))
+        more = cut(_confirm(cut(_prefix_pairs(rest, single, shingle, percent)), single, shingle, percent))
         if not more.isEmpty():
             roots = components(links.unionAll(more))
     to_root = classes.select("digest", "rep")
@@ -341,27 +354,27 @@ def _near(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows:
 
 
 def _mixed_ids(docs: DataFrame) -> DataFrame:
-    """The ids that have several texts, as ``mixed id``."""
+    """The ids that have several texts, as ``mixed``."""
     said = F.xxhash64(F.col("text").cast("string"))
     return cut(
         docs.where("doc_id is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("mixed id"))
+        .groupBy(F.col("doc_id").cast("long").alias("mixed"))
         .agg(F.min(said).alias("x"), F.max(said).alias("y"))
         .where("x < y")
-        .select("mixed id")
+        .select("mixed")
     )
 
 
-def _told_apart(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows with an id, and ``own id``: the id, or a hash of id and text where an id has several texts."""
+def _told_apart(docs: DataFrame, mixed: DataFrame, own: str = "own") -> DataFrame:
+    """The rows with an id, and ``own``: the id, or a hash of id and text where an id has several texts."""
     named = docs.where("doc_id is not null")
-    number = F.col("doc_id").cast("long")
+    number = named["doc_id"].cast("long")
     if mixed.isEmpty():
-        return named.select("*", number.alias("own id"))
+        return named.select("*", number.alias(own))
     if mixed.count() <= MIXED_ROWS:
         mixed = F.broadcast(mixed)
-    own = F.when(F.col("mixed id").isNull(), number).otherwise(F.xxhash64(number, F.col("text").cast("string")))
-    return named.join(mixed, number == F.col("mixed id"), "left").select(*docs.columns, own.alias("own id"))
+    apart = F.when(mixed["mixed"].isNull(), number).otherwise(F.xxhash64(number, named["text"].cast("string")))
+    return named.join(mixed, number == mixed["mixed"], "left").select(*[named[c] for c in docs.columns], apart.alias(own))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -371,14 +384,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     of their own here, each with a 64-bit hash in place of the id.  Of rows that
     repeat id and text one stays; rows without an id stay all.
     """
-    rows = _told_apart(docs, _mixed_ids(docs))
-    near = _near(rows.select(F.col("own id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle, percent)
-    kept = near.where("kept").select(F.col("doc_id").alias("own id")).distinct()
-    order = W.partitionBy("own id").orderBy(F.col("text").asc_nulls_last())
+    own, nth = unused("own", docs.columns), unused("nth", docs.columns)
+    rows = _told_apart(docs, _mixed_ids(docs), own)
+    texts = rows.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = _near(texts, shingle, percent).where("kept").select("doc_id").distinct()
+    order = W.partitionBy(own).orderBy(F.col("text").asc_nulls_last())
     named = (
-        rows.join(kept, "own id", "left_semi")
-        .select(*docs.columns, F.row_number().over(order).alias("nth of its id"))
-        .where("`nth of its id` = 1")
+        rows.join(kept, rows[own] == kept["doc_id"], "left_semi")
+        .select(*docs.columns, F.row_number().over(order).alias(nth))
+        .where(F.col(nth) == 1)
         .select(*docs.columns)
     )
     return named.unionAll(docs.where("doc_id is null"))

@@ -72,3 +72,23 @@ def test_hot_keys_join_whole(spark):
     few = many.groupBy("bucket").agg(F.count("*").alias("k"), F.min("id").alias("least"))
     got = on_hot_key(many, few, "bucket", 6000)
     assert got.count() == 6000 and got.where("least <> if(id < 2500, 0, id)").count() == 0
+
+
+def test_copies_do_not_multiply_pairs(spark, monkeypatch):
+    """300 rows of each of two alike texts are two documents and one pair, whose sets are sent once."""
+    from quillmatch.llm import minhash
+
+    left, right = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(62))
+    rows = [(1, left)] * 300 + [(2, right)] * 300 + [(3, "a b c d e f g"), (None, left)]
+    confirmed = []
+    plain = minhash._confirm
+
+    def counted(pairs, *rest):
+        out = plain(pairs, *rest)
+        confirmed.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert confirmed == [(1, 1)]
+    assert len(got) == 602 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3), (None, None)}

@@ -24,3 +24,15 @@ def test_unlike_texts_of_one_id_stay(spark):
     assert sum(t.startswith("c0 ") for t in texts) == 1
     assert (4, say("d")) in got and (None, say("d")) in got
     assert len(got) == 32 + 2 + 1 + 2
+
+
+def test_clashing_columns(spark):
+    from quillmatch.llm.decontaminate import uncontaminated
+
+    rows = [(1, say("a")), (2, say("a")), (2, say("b")), (3, say("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as own", "1 as nth", "2 as mixed", "3 as uid", "4 as again", "5 as k")
+    out = one_of_each(df)
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == sorted({t for _, t in rows})
+    items = spark.createDataFrame([(9, say("c"))], "item_id long, text string")
+    left = uncontaminated(df, items)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {1, 2}
