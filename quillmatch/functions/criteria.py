@@ -140,8 +140,17 @@ def lookup_keys(term: Column) -> Column:
 
 
 def data_type(text: Column) -> Column:
+    return _alias(text, X.TYPE_ALIASES)
+
+
+def priority_alias(text: Column) -> Column:
+    """A priority's own name for one of its aliases; other texts in their normal form."""
+    return _alias(text, X.PRIORITY_ALIASES)
+
+
+def _alias(text: Column, names: dict[str, str]) -> Column:
     t = F.replace(F.replace(F.lower(F.trim(text)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
     out = F
-    for k, v in X.TYPE_ALIASES.items():
+    for k, v in names.items():
         out = out.when(t == k, v)
     return out.otherwise(t)

@@ -16,16 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmatch.functions.text import once
+
 #: Stand for an escaped backslash and an escaped quote.
 _PAIR, _QUOTE = "\ufdd0", "\ufdd1"
 _SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
-def once(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _swap(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions import criteria as C
+from quillmatch.functions import fixed as X
 from quillmatch.functions import views as V
 from quillmatch.operators.eligibility import KEY
 
-PRIORITIES = ("critical", "high", "medium", "low")
+PRIORITIES = X.PRIORITIES
 
 
 def locations_summary(locations: Column) -> Column:
@@ -59,9 +60,73 @@ def with_payload(questions: DataFrame, payload: DataFrame) -> DataFrame:
     )
 
 
-def dossiers(judged: DataFrame, evals: DataFrame, trials: DataFrame, questions: DataFrame) -> DataFrame:
+def generated_questions(evals: DataFrame, payload: DataFrame) -> DataFrame:
+    """Questions for every criterion that lacks information: a model's where it gave a usable one, else the fallback.
+
+    ``evals`` as in `fallback_questions`; ``payload``: topic_id, trial, criterion (what was asked about), question_text,
+    data_point, rationale, expected_data_type, priority and, if the model named them, trial_id and criterion_id.  Types
+    and priorities are taken by their aliases; an unknown one, a missing text and a missing rationale make an answer
+    unusable, a missing type is text and a missing priority medium.  Of several usable answers the first in order of
+    their texts counts.
+    """
+    kind = F.coalesce(C.data_type(F.col("expected_data_type")), F.lit("text"))
+    urgency = F.coalesce(C.priority_alias(F.col("priority")), F.lit("medium"))
+    said = payload.select(
+        *KEY, "criterion", "trial_id", F.col("criterion_id").alias("named"), "question_text", "data_point", "rationale", kind.alias("kind"), urgency.alias("urgency")
+    ).where("question_text is not null and data_point is not null and rationale is not null")
+    said = said.where(F.col("kind").isin(*X.DATA_TYPES) & F.col("urgency").isin(*X.PRIORITIES))
+    value = F.struct("question_text", "data_point", "rationale", "kind", "urgency", "trial_id", "named")
+    said = said.groupBy(*KEY, "criterion").agg(F.min(value).alias("said"))
+    rows = fallback_questions(evals).join(said, [*KEY, "criterion"], "left")
+    own = {"question_text": "question_text", "data_point": "data_point", "rationale": "rationale", "expected_data_type": "kind", "priority": "urgency"}
+    return rows.select(
+        *KEY,
+        "criterion",
+        F.coalesce(F.nullif(F.col("said.trial_id"), F.lit("")), F.col("trial").cast("string")).alias("trial_id"),
+        F.coalesce(F.nullif(F.col("said.named"), F.lit("")), F.col("criterion_id")).alias("criterion_id"),
+        *[F.coalesce(F.col(f"said.{theirs}"), F.col(mine)).alias(mine) for mine, theirs in own.items()],
+        F.col("said").isNotNull().alias("asked_by_model"),
+    )
+
+
+def attention(home: Column) -> Column:
+    """What a reader should look at, as severity, category and message.
+
+    Reads fraction_nei, mandatory_failed, exc_met, status and locations; ``home`` is the patient's place, if known.
+    """
+    c = F.col
+    near = F.exists("locations", lambda x: F.coalesce(F.contains(F.lower(x["country"]), F.lower(home)), F.lit(False)))
+    far = (F.coalesce(home, F.lit("")) != "") & (F.size("locations") > 0) & ~near
+    share = F.bround(100 * c("fraction_nei"), 0).cast("long").cast("string")
+    rules = (
+        (c("fraction_nei") >= 0.4, "warning", "data_quality", F.concat(share, F.lit(X.FLAG_UNKNOWN))),
+        (c("mandatory_failed"), "critical", "eligibility", F.lit(X.FLAG_FAILED)),
+        (c("exc_met") > 0, "critical", "eligibility", F.lit(X.FLAG_EXCLUDED)),
+        (far, "warning", "geographic", F.concat(F.lit(X.FLAG_FAR[0]), home, F.lit(X.FLAG_FAR[1]))),
+        (~c("status").isin("RECRUITING", "NOT_YET_RECRUITING"), "warning", "trial_status", F.concat(F.lit(X.FLAG_STATUS), c("status"), F.lit("."))),
+    )
+    cells = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(k).alias("category"), m.alias("message"))) for cond, s, k, m in rules]
+    return F.array_compact(F.array(*cells))
+
+
+def breakdown() -> Column:
+    """The parts of a score; reads score and the columns of `eligibility.trial_score`."""
+    c = F.col
+    sure = X.SCORE_WEIGHTS["blend"] * F.coalesce("avg_confidence", F.lit(0.7)) + (1 - X.SCORE_WEIGHTS["blend"])
+    parts = {
+        "total": c("score"), "eligibility_score": c("elig"), "recruiting_bonus": c("status_bonus"), "phase_alignment": c("phase_score"),
+        "recency": c("recency"), "geographic_proximity": c("geography"), "nei_penalty": c("fraction_nei"),
+    }
+    rest = F.coalesce((c("exc_met") > 0) | c("mandatory_failed"), F.lit(False)).alias("mandatory_veto")
+    return F.struct(*[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in parts.items()], rest, F.coalesce(sure, F.lit(1.0)).alias("confidence_adjustment"))
+
+
+def dossiers(judged: DataFrame, evals: DataFrame, trials: DataFrame, questions: DataFrame, facts: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
     """One row per judged trial: counts, criterion table, evidence, summary, questions by priority, sites, contact, url.
 
+    With ``facts`` (topic_id, trial, fraction_nei, mandatory_failed, exc_met, avg_confidence, elig, status_bonus, phase_score,
+    recency, geography) also the attention flags and the parts of the score; ``people`` (topic_id, home) tells where patients live.
+
     ``judged``: topic_id, trial, rank, score, rationale.  ``evals``: topic_id, trial, criterion, id, polarity, type, text, label,
     evidence, confidence.  ``trials``: trial, title, brief_summary, phase, status, locations, contacts.
     """
@@ -79,6 +144,13 @@ def dossiers(judged: DataFrame, evals: DataFrame, trials: DataFrame, questions:
     )
     rows = judged.join(tables, KEY, "left").join(trials, "trial", "left").join(asked, KEY, "left")
     said = F.coalesce("rationale", F.lit(""))
+    more = []
+    if facts is not None:
+        rows = rows.join(facts, KEY, "left")
+        if people is not None:
+            rows = rows.join(people.select("topic_id", F.col("home").alias("home")), "topic_id", "left")
+        home = F.col("home") if people is not None else F.lit(None).cast("string")
+        more = [attention(home).alias("attention_flags"), breakdown().alias("score_breakdown")]
     return rows.select(
         "topic_id", "trial", "rank", "score", "title", "phase", "status",
         *[F.coalesce(f"{p}_{x}", F.lit(0)).alias(f"{p}_{x}") for p in ("inclusion", "exclusion") for x in ("total", "met", "not_met", "nei")],
@@ -88,6 +160,7 @@ def dossiers(judged: DataFrame, evals: DataFrame, trials: DataFrame, questions:
         locations_summary(F.col("locations")).alias("locations_summary"),
         contact_summary(F.col("contacts")).alias("contact_summary"),
         V.trial_url(F.col("trial")).alias("url"),
+        *more,
     )
 
 

@@ -89,9 +89,9 @@ def recency(updated: Column, as_of: Column) -> Column:
     return F.when(updated.isNull(), 0.0).when(days <= 0, 1.0).otherwise(1 / (1 + F.log1p(days / 365.0)))
 
 
-def trial_score(mode: str, soft_veto: bool) -> Column:
+def trial_score(mode: str, soft_veto: bool, weights: dict[str, float] | None = None) -> Column:
     """Weighted sum of the components, blended with confidence; vetoes sink to -1."""
-    w, c = X.SCORE_WEIGHTS, F.col
+    w, c = weights or X.SCORE_WEIGHTS, F.col
     base = (
         w["eligibility"] * c("elig")
         + w["recruiting"] * c("status_bonus")

@@ -146,6 +146,36 @@ def fuse_node(runs: DataFrame, weights: dict[str, float], fused_k: int, rerank_k
     return kept.select("topic_id", "doc_id", "score", "rank").unionAll(fused.select("topic_id", "doc_id", "score", "rank"))
 
 
+def listwise_windows(run: DataFrame, score: Column, k: int = 100, window: int = 20, step: int = 10) -> DataFrame:
+    """topic_id, doc_id, old_rank, rank: the first ``k`` of each topic after sliding windows from the back.
+
+    The last ``window`` candidates are put in order of ``score`` (what a listwise model would say of them), then the
+    window moves up by ``step`` and meets what it has carried there, until it reaches the head.  Candidates of one
+    window with equal or no score keep their order, those without one last; those beyond ``k`` are left out.  A topic
+    is an array of at most ``k`` in one row, and the windows are a fold over it.
+    """
+    if not 0 < step <= window:
+        raise ValueError("a window moves by one at least and by its size at most")
+    rows = run.select("topic_id", "doc_id", "rank", score.cast("double").alias("said"))
+    place = F.row_number().over(W.partitionBy("topic_id").orderBy("rank", "doc_id"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= k)
+    pools = rows.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "rank", "said"))).alias("pool"))
+    n = F.size("pool")
+
+    def ordered(part: Column) -> Column:
+        keyed = F.transform(part, lambda c, i: F.struct(c["said"].isNull().alias("none"), (-c["said"]).alias("down"), i.alias("i"), c.alias("c")))
+        return F.transform(F.array_sort(keyed), lambda x: x["c"])
+
+    def moved(pool: Column, end: Column) -> Column:
+        start = F.greatest(end - window, F.lit(0))
+        return F.concat(F.slice(pool, F.lit(1), start), ordered(F.slice(pool, start + 1, end - start)), F.slice(pool, end + 1, n - end))
+
+    last = F.greatest(F.ceil((n - window) / step), F.lit(0)).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), last), lambda j: n - j * step)
+    out = pools.select("topic_id", F.posexplode(F.aggregate(ends, F.col("pool"), moved)).alias("at", "c"))
+    return out.select("topic_id", F.col("c.doc_id").alias("doc_id"), F.col("c.rank").alias("old_rank"), (F.col("at") + 1).alias("rank"))
+
+
 def listwise(run: DataFrame, k: int = 30) -> DataFrame:
     """Without a model the listwise step keeps the first ``k`` of each topic as they are."""
     return run.where(F.col("rank") <= k)

@@ -155,6 +155,46 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored_pairs(vectors, queries), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
+def lexical(docs: DataFrame, topics: DataFrame, k: int, mode: str = "fielded", terms: DataFrame | None = None) -> DataFrame:
+    """topic_id, doc_id, score, rank: the lexical run by its mode; a single field's query takes the terms of ``terms``
+    (topic_id, and the array terms) behind it."""
+    if mode == "fielded":
+        return fielded(docs, topics, k).select("topic_id", "doc_id", "score", "rank")
+    if mode != "single":
+        raise ValueError("a lexical run is fielded or single")
+    if terms is not None:
+        more = F.array_join(F.coalesce("terms", F.array().cast("array<string>")), " ")
+        topics = topics.join(terms, "topic_id", "left").select("topic_id", F.concat_ws(" ", "text", F.when(more != "", more)).alias("text"))
+    return bm25(docs, topics, k).select("topic_id", "doc_id", "score", "rank")
+
+
+def mean_vectors(parts: DataFrame, normalise: bool = False) -> DataFrame:
+    """(query_id, query): the mean of each query's vectors (query_id, embedding), place by place; equal lengths."""
+    cells = parts.select("query_id", F.posexplode("embedding").alias("i", "x"))
+    means = cells.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = means.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("query"))
+    if not normalise:
+        return rows
+    size = F.sqrt(F.aggregate("query", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("query_id", F.when(size > 0, F.transform("query", lambda x: x / size)).otherwise(F.col("query")).alias("query"))
+
+
+def dense_run(vectors: DataFrame, queries: DataFrame, k: int, mode: str = "plain", answers: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank by mode: none (an empty run), the query's own vector, or its mean with ``answers``.
+
+    ``answers``: query_id, embedding, the vectors of hypothetical answers; ``where`` filters ``vectors``.
+    """
+    if mode not in ("off", "plain", "hyde"):
+        raise ValueError("a dense run is off, plain or hyde")
+    if where is not None:
+        vectors = vectors.where(where)
+    if mode == "hyde" and answers is not None:
+        own = queries.select("query_id", F.col("query").alias("embedding"))
+        queries = mean_vectors(own.unionByName(answers.select("query_id", "embedding")))
+    run = dense(vectors, queries, k)
+    return run.where(F.lit(False)) if mode == "off" else run
+
+
 def min_max(by: list[str], value: str) -> Column:
     """Value scaled to its group's range; equal values fall from 1 to 0 by their order."""
     w = W.partitionBy(*by)

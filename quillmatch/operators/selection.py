@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
 from quillmatch.functions.text import entity_terms, irrelevance_terms, jaccard, once, overlap_cosine, selection_terms, support
+from quillmatch.operators.lineage import cut
 from quillmatch.operators.retrieval import small, top
 
 
@@ -61,7 +62,7 @@ def payload_filter(rows: DataFrame, filters: dict) -> DataFrame:
 
 def features(run: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
     """Overlap cosine, Jaccard and support of each candidate's terms with its topic's."""
-    run = run.persist()  # counted before it is joined
+    run = cut(run)  # counted before it is joined
     cands = docs.join(small(run.select("doc_id").distinct()), "doc_id").select("doc_id", entity_terms(F.col("text")).alias("d"))
     asked = topics.select("topic_id", entity_terms(F.col("text")).alias("q"))
     rows = run.join(cands, "doc_id").join(small(asked), "topic_id")
@@ -91,7 +92,7 @@ def diverse(run: DataFrame, docs: DataFrame, topics: DataFrame, keep: int, total
 
     A pool is a bounded array of one row, so the greedy steps are a fold inside it.
     """
-    run = run.persist()  # counted before it is joined
+    run = cut(run)  # counted before it is joined
     cands = docs.join(small(run.select("doc_id").distinct()), "doc_id").select("doc_id", selection_terms(F.col("text")).alias("d"))
     asked = topics.select("topic_id", selection_terms(F.col("text")).alias("q"))
     rows = run.join(cands, "doc_id").join(small(asked), "topic_id")

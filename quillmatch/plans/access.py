@@ -1,4 +1,4 @@
-"""Registered queries of the model hook, lenient JSON, access by id and manifests, each with its DuckDB SQL."""
+"""Registered queries of the model hook, lenient JSON, saved indexes, access by id and manifests, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
+from quillmatch.functions import views as V
 from quillmatch.functions.lenient import lenient_json
+from quillmatch.operators import lexical as L
 from quillmatch.operators import modelhook as H
 from quillmatch.operators.lineage import shared_folder
+from quillmatch.plans import matching as N
+from quillmatch.plans import oracle as O
 from quillmatch.plans import queries as Q
 from quillmatch.sources import corpus as C
 from quillmatch.sources import manifests as M
@@ -87,6 +91,69 @@ def model_answers(spark, sf_dir):
     return rows.select("doc_id", "answer.n_words", "answer.size", F.md5(F.col("answer.quote").cast("binary")).alias("quote"), "attempts", "error")
 
 
+# --- saved lexical index -------------------------------------------------------------
+
+
+def _ranked_sql(index: str, asked: str, k: int) -> str:
+    """CTEs up to full(field, topic_id, doc_id, score, rank) of idx(field, doc_id, t) and q(topic_id, field, text)."""
+    return f"""idx AS ({index}), q AS ({asked}), size AS (SELECT field, count(*) AS n, avg(len(t)) AS avgdl FROM idx GROUP BY field),
+      terms AS (SELECT topic_id, field, term, count(*) AS qtf FROM (SELECT topic_id, field, unnest({O.tokens('text')}) AS term FROM q) GROUP BY ALL),
+      tf AS (SELECT field, doc_id, dl, term, count(*) AS tf FROM (SELECT field, doc_id, len(t) AS dl, unnest(t) AS term FROM idx) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+      df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+      sc AS (SELECT tf.field, topic_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + {X.K1}::DOUBLE * (1 - {X.B}::DOUBLE + {X.B}::DOUBLE * dl / avgdl))), 6) AS score
+        FROM tf JOIN df USING (field, term) JOIN size USING (field) JOIN terms USING (field, term) GROUP BY ALL),
+      pairs AS (SELECT q.field, q.topic_id, d.doc_id, coalesce(score, 0) AS score FROM q JOIN (SELECT DISTINCT field, doc_id FROM idx) d ON d.field = q.field LEFT JOIN sc ON sc.field = q.field AND sc.topic_id = q.topic_id AND sc.doc_id = d.doc_id),
+      full_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, topic_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM pairs) WHERE rank <= {k})"""
+
+
+_ASKED = {
+    "all": N._BROAD,
+    "condition_title": N._sql_terms("[query]", "concepts"),
+    "eligibility": N._sql_terms("[query]", N._OWN, "risks", "priorities"),
+    "intervention": N._sql_terms("[query]", "priorities", "list_transform(given[1:8], lambda g: g.name)", "list_transform(marks[1:8], lambda b: b.name)"),
+    "summary_description": N._BROAD,
+}
+_VIEWED = " UNION ALL ".join(f"SELECT '{f}' AS field, doc_id, {O.tokens(N._sql_view(V.VIEWS[f]))} AS t FROM texts" for f in X.FIELD_WEIGHTS)
+
+
+@query(
+    f"""WITH {N.TEXTS}, {N.PROFILES}, p AS (SELECT profiles.*, text AS query, CASE WHEN topic_id % 2 = 0 THEN [lang] ELSE []::VARCHAR[] END AS concepts, CASE WHEN topic_id % 3 = 0 THEN ['recruiting phase2'] ELSE []::VARCHAR[] END AS priorities, ['web', ' '] AS risks
+        FROM profiles JOIN (SELECT item_id AS topic_id, text, (['en', 'de', 'fr', 'es'])[(item_id % 4 + 1)::INT] AS lang FROM benchmark) USING (topic_id)),
+      {_ranked_sql(_VIEWED, ' UNION ALL '.join(f"SELECT topic_id, '{f}' AS field, {e} AS text FROM p" for f, e in _ASKED.items()), 1000)}
+      {O.fused(X.FIELD_WEIGHTS, 20, 'full_')}"""
+)
+def fielded_views_topk(spark, sf_dir):
+    """Documents as trials, indexed by their views, searched with five query strings per patient and fused."""
+    path = _own_folder(spark, "lexical")
+    L.add(N.texts(spark, sf_dir), path, {f: V.trial_view(f) for f in X.FIELD_WEIGHTS})
+    people = N.profiles(spark, sf_dir).join(Q.topics(spark, sf_dir).withColumnRenamed("text", "query"), "topic_id")
+    none = F.array().cast("array<string>")
+    lang = F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("topic_id") % 4).cast("int"))
+    concepts = F.when(F.col("topic_id") % 2 == 0, F.array(lang)).otherwise(none)
+    priorities = F.when(F.col("topic_id") % 3 == 0, F.array(F.lit("recruiting phase2"))).otherwise(none)
+    asked = V.fielded_queries(F.col("query"), concepts, priorities, F.array(F.lit("web"), F.lit(" ")))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in asked.items()])
+    queries = people.select("topic_id", F.inline(cells))
+    return L.fielded_search(spark, path, queries, 20, 1000)
+
+
+@query(
+    f"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN 'renewed ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3),
+      {_ranked_sql(f"SELECT 'all' AS field, doc_id, {O.tokens('text')} AS t FROM now", "SELECT item_id AS topic_id, 'all' AS field, text FROM benchmark", 20)}
+      SELECT topic_id, doc_id, score, rank FROM full_ WHERE score > 0"""
+)
+def lexical_update_topk(spark, sf_dir):
+    """An index of all documents that then follows changed, new and removed ones, searched by all topics."""
+    path = _own_folder(spark, "lexical")
+    docs = Q.documents(spark, sf_dir)
+    L.add(docs.where("doc_id % 13 <> 5"), path, {"all": F.col("text")}, block_rows=100_000)
+    now = docs.where("doc_id % 11 <> 3")
+    renewed = F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("renewed "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    L.update(now.withColumn("text", renewed), path, {"all": F.col("text")})
+    queries = Q.topics(spark, sf_dir).select("topic_id", F.lit("all").alias("field"), "text")
+    return L.search(spark, path, queries, 20).select("topic_id", "doc_id", "score", "rank")
+
+
 # --- access by id ------------------------------------------------------------------
 
 

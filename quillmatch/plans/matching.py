@@ -20,7 +20,7 @@ from quillmatch.operators import ranking as G
 from quillmatch.operators import retrieval as R
 from quillmatch.operators import selection as S
 from quillmatch.operators.evaluation import averages, class_scores
-from quillmatch.operators.lineage import shared_folder
+from quillmatch.operators.lineage import cut, shared_folder
 from quillmatch.plans import oracle as O
 from quillmatch.plans import queries as Q
 from quillmatch.sources import sinks
@@ -735,7 +735,7 @@ _TRACES = f"""{O.QRELS}, {O.bm25(['all'], 50)}, judged AS (SELECT doc_id % 40 AS
 
 
 def _traces(spark, sf_dir):
-    run = R.bm25(Q.documents(spark, sf_dir), Q.topics(spark, sf_dir), 50).persist()
+    run = cut(R.bm25(Q.documents(spark, sf_dir), Q.topics(spark, sf_dir), 50))
     part = lambda where, stage, place: run.where(where).select("topic_id", F.lit(stage).alias("stage"), place.cast("long").alias("place"), "doc_id")
     rank = F.col("rank")
     rows = part("true", "bm25", rank).unionAll(part("rank <= 30", "reranked_candidates", (F.col("doc_id") % 97) * 100 + rank))
@@ -851,7 +851,7 @@ _W = X.CHALLENGE_WEIGHTS
 )
 def challenge_score(spark, sf_dir):
     one = lambda name, df, value: df.select(F.lit(name).alias("part"), value.cast("double").alias("value"))
-    ranking = Q.trec_summary(spark, sf_dir).persist()
+    ranking = cut(Q.trec_summary(spark, sf_dir))
     rows = one("retrieval", ranking, F.col("recall20")).unionAll(one("ndcg", ranking, F.col("ndcg10")))
     rows = rows.unionAll(one("f1", Q.f1_average(spark, sf_dir), F.col("micro_f1"))).unionAll(one("questions", Q.question_summary(spark, sf_dir), F.col("mean_score")))
     full = Q.dossier_completeness(spark, sf_dir).agg(F.round(F.avg("completeness"), 6).alias("completeness"))

@@ -2,7 +2,7 @@
 
 retrieve (BM25, fielded) -> fuse -> rerank by entities -> hard filter -> select
 -> label (with irrelevance) -> score -> adjust by evidence -> demote what only
-diversity selected -> rank -> fill.  Every step is a DataFrame operator; labels
+diversity selected -> rank -> fill -> judge's order -> critique.  Every step is a DataFrame operator; labels
 come from criterion evaluations where there are any.
 """
 
@@ -20,7 +20,7 @@ from quillmatch.operators import ranking as G
 from quillmatch.operators import report as P
 from quillmatch.operators import retrieval as R
 from quillmatch.operators import selection as S
-from quillmatch.operators.lineage import cut
+from quillmatch.operators.steplog import StepLog
 
 
 @dataclass(frozen=True)
@@ -62,8 +62,8 @@ def retrieve(docs: DataFrame, topics: DataFrame, config: Config) -> DataFrame:
     return R.bm25(docs, topics, config.fused_k).select("topic_id", "doc_id", "score", "rank")
 
 
-def entity_rerank(run: DataFrame, docs: DataFrame, topics: DataFrame, config: Config) -> DataFrame:
-    """Scores blended with term overlap less a penalty for negated terms; the first ranks never fall."""
+def term_rerank(run: DataFrame, docs: DataFrame, topics: DataFrame, config: Config) -> DataFrame:
+    """Without profiles: scores blended with term overlap less a penalty for negated terms; the first ranks never fall."""
     if not config.entity_weight:
         return run
     text = F.col("text")
@@ -114,6 +114,9 @@ def match(
     config: Config,
     people: DataFrame | None = None,
     studies: DataFrame | None = None,
+    order: DataFrame | None = None,
+    flagged: DataFrame | None = None,
+    log: StepLog | None = None,
 ) -> DataFrame:
     """topic_id, doc_id, label, score, source, rank: the first ``output_k`` of each topic.
 
@@ -124,7 +127,11 @@ def match(
     the steps that need them (hard filter, entity components, geography, signals of terms) don't act.
 
     Documents with no criteria evaluated count as evaluated with none.  ``source``: ranked, tail, excluded.
+
+    ``order`` (topic_id, doc_id, place): a judge's order of the final list; fills stay behind it.  ``flagged`` (topic_id,
+    doc_id): what a critique moves two places down after that.  ``log`` takes rows and seconds of each step.
     """
+    log = log or StepLog()
     profiled = people is not None and studies is not None
     run = retrieve(docs, topics, config)
     if profiled and config.entity_weight:
@@ -132,11 +139,11 @@ def match(
         run = G.entity_rerank(seen, config.entity_weight, config.protect_top)
         run = run.select("topic_id", "doc_id", "score", F.col("position").alias("rank"))
     elif config.entity_weight:
-        run = entity_rerank(run, docs, topics, config)
+        run = term_rerank(run, docs, topics, config)
     # several steps read the screened run; it holds at most fused_k rows a topic
-    run = cut(screen(run, people, studies, config))
+    run = log.step("screened", screen(run, people, studies, config))
     viable = run.where("not hard_excluded").select("topic_id", "doc_id", "score", "rank")
-    chosen = cut(select(viable, docs, topics, config))
+    chosen = log.step("selected", lambda: select(viable, docs, topics, config))
     rows = S.prior(viable).join(chosen, ["topic_id", "doc_id"]).select("topic_id", "doc_id", "prior", "outside")
 
     pairs = rows.select("topic_id", F.col("doc_id").alias("trial"))
@@ -144,7 +151,7 @@ def match(
     counts = pairs.join(E.trial_counts(mine), E.KEY, "left")
     none = [c for c in counts.columns if c not in (*E.KEY, "mandatory_failed", "avg_confidence")]
     counts = counts.fillna(0, none).fillna(False, ["mandatory_failed"]).withColumn("label", E.trial_label(config.mode))
-    counts = cut(counts)
+    counts = log.step("labelled", counts)
     facts = counts.join(E.evidence(mine, counts).select(*E.KEY, "evidence"), E.KEY).join(trials, "trial", "left")
     rows = rows.join(facts.withColumnRenamed("trial", "doc_id"), ["topic_id", "doc_id"])
     if profiled:
@@ -175,7 +182,7 @@ def match(
     veto = (F.col("exc_met") > 0) | F.col("mandatory_failed")
     weight = F.when(veto & (base <= -0.95), 0.25 * config.evidence_weight).otherwise(config.evidence_weight)
     scored = rows.select("topic_id", "doc_id", "label", "outside", (base + weight * (F.col("evidence") - 0.5)).alias("score"))
-    scored = cut(G.demote_outside(scored))  # a few rows a topic, read by every step of the fill
+    scored = log.step("scored", G.demote_outside(scored))  # a few rows a topic, read by every step of the fill
 
     known = run.join(chosen.withColumn("evaluated", F.lit(True)).drop("outside"), ["topic_id", "doc_id"], "left")
     known = known.withColumn("evaluated", F.col("evaluated").isNotNull())
@@ -188,7 +195,17 @@ def match(
         "label", F.coalesce("label", F.lit("excludes"))
     )
     full = full.select("topic_id", "doc_id", "label", F.round("score", 4).alias("score"), "source", F.col("score").alias("exact"))
-    return R.top(full, ["topic_id"], [F.desc("exact"), F.asc("doc_id")], config.output_k).drop("exact")
+    ranked = R.top(full, ["topic_id"], [F.desc("exact"), F.asc("doc_id")], config.output_k).drop("exact")
+    if order is None and flagged is None:
+        return ranked
+    ranked = log.step("ranked", ranked)
+    places = ranked.select("topic_id", "doc_id", "rank")
+    if order is not None:
+        filled = ranked.select("topic_id", "doc_id", "rank", (F.col("source") != "ranked").alias("filled"))
+        places = G.judged(filled, order, config.output_k).select("topic_id", "doc_id", "rank")
+    if flagged is not None:
+        places = P.demote(places, flagged)
+    return ranked.drop("rank").join(places, ["topic_id", "doc_id"])
 
 
 def match_text(spark: SparkSession, docs: DataFrame, text: str, top_k: int = 10) -> DataFrame:

@@ -219,6 +219,15 @@ def bank_problems(bank: DataFrame, labels: tuple = ("met", "not_met", "NEI")) ->
     return bad.unionAll(twice[0]).unionAll(twice[1]).unionAll(lacks)
 
 
+def criterion_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(topic_id, trial, criterion, label) of hand annotations, one JSON object a line; the last of a key wins."""
+    schema = "topic_id string, nct_id string, criterion_id string, label string"
+    rows = spark.read.schema(schema).json(path).withColumn("line", F.monotonically_increasing_id())
+    rows = rows.where("topic_id is not null and nct_id is not null and criterion_id is not null and label in ('met', 'not_met', 'NEI')")
+    last = rows.groupBy("topic_id", F.col("nct_id").alias("trial"), F.col("criterion_id").alias("criterion")).agg(F.max_by("label", "line").alias("label"))
+    return last
+
+
 def predictions_run(spark: SparkSession, path: str) -> DataFrame:
     """(topic_id, nct_id, score, position) of a predictions file."""
     schema = "topics array<struct<topic_id:string,ranked_trials:array<struct<nct_id:string,score:double,label:string,predicted_trec_qrel:int>>>>"

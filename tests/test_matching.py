@@ -1,10 +1,11 @@
 """Every query of profiles, criteria, ranking steps, audits, access and manifests against its SQL on DuckDB."""
 
 import pytest
-from quillmatch.plans import access, matching
+from quillmatch.plans import access, diagnosis, matching
 from test_oracles import SF, duck, rows_of  # noqa: F401
 
-QUERIES, ORACLES = matching.QUERIES | access.QUERIES, matching.ORACLES | access.ORACLES
+QUERIES = matching.QUERIES | access.QUERIES | diagnosis.QUERIES
+ORACLES = matching.ORACLES | access.ORACLES | diagnosis.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 from quillmatch.operators import eligibility as E
 from quillmatch.operators import ranking as G
+from quillmatch.operators.steplog import StepLog
 from quillmatch.plans import pipeline as P
 from quillmatch.plans import queries as Q
 
@@ -33,7 +34,7 @@ def test_match_text(spark):
 def test_protected_ranks(spark):
     docs, topics = Q.documents(spark, SF), Q.topics(spark, SF).where("topic_id < 3")
     run = P.retrieve(docs, topics, P.benchmark())
-    again = P.entity_rerank(run, docs, topics, P.benchmark(entity_weight=0.09))
+    again = P.term_rerank(run, docs, topics, P.benchmark(entity_weight=0.09))
     assert again.count() == run.count()
 
 
@@ -128,3 +129,40 @@ def test_two_patients_one_trial(spark):
     assert {r.doc_id: (r.label, r.score) for r in alone[0]} == {r.doc_id: (r.label, r.score) for r in got[0]}
     counts = {(r.topic_id, r.trial): (r.n_inc, r.inc_met) for r in E.trial_counts(own).collect()}
     assert counts[0, 1] == (1, 1) and counts[1, 1] == (1, 0)
+
+
+def test_judge_and_critique(spark):
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    plain = [r.doc_id for r in by_topic(P.match(docs, topics, evals, trials, P.benchmark(), people, studies))[0]]
+    last = plain[2]
+    order = spark.createDataFrame([(0, last, 1), (0, 77, 0), (0, plain[3], 0)], "topic_id long, doc_id long, place int")
+    got = by_topic(P.match(docs, topics, evals, trials, P.benchmark(), people, studies, order=order))
+    assert [r.doc_id for r in got[0]] == [last, plain[0], plain[1], plain[3]]  # a fill stays behind
+    assert [r["rank"] for r in got[0]] == [1, 2, 3, 4] and len(got[1]) > 0
+    flagged = spark.createDataFrame([(0, plain[0])], "topic_id long, doc_id long")
+    got = by_topic(P.match(docs, topics, evals, trials, P.benchmark(), people, studies, flagged=flagged))
+    assert [r.doc_id for r in got[0]] == [plain[1], plain[2], plain[0], plain[3]]
+
+
+def test_steps_are_logged_without_jobs_of_their_own(spark):
+    docs, topics, evals, trials, people, studies = profiled(spark)
+    log = StepLog()
+    P.match(docs, topics, evals, trials, P.benchmark(), people, studies, log=log).collect()
+    rows = log.table(spark).orderBy("place").collect()
+    assert [r.step for r in rows] == ["screened", "selected", "labelled", "scored"]
+    assert [r.rows for r in rows][1:] == [rows[1].rows] * 3 and all(r.seconds > 0 and r.error is None for r in rows)
+
+
+def test_step_log(spark):
+    a, b = StepLog(), StepLog()
+    assert a.step("ten", spark.range(10)).count() == 10 and a.step("none", lambda: spark.range(0)).count() == 0
+    try:
+        b.step("broken", spark.range(3).select(F.raise_error(F.lit("no"))))
+        raise AssertionError
+    except Exception as e:
+        assert "no" in str(e)
+    a.count("calls", 2), b.count("calls"), b.count("retries", None), b.fail("a note")
+    both = a.merge(b)
+    assert [(s[0], s[1], s[2]) for s in both.steps] == [(1, "ten", 10), (2, "none", 0), (3, "broken", None)]
+    assert both.counters == {"calls": 3, "retries": 0} and both.errors[1] == "a note" and both.errors[0].startswith("broken: ")
+    assert a.table(spark).count() == 2 and StepLog().table(spark).count() == 0
