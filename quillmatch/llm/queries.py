@@ -52,8 +52,8 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 tokens."""
-    return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
+    """All documents in sequences of at most 4096 tokens; as many documents to a sequence as have a token's room."""
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1, max_docs=4096)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ The model is fitted on the driver from at most ``fit_rows`` labelled rows, the
 ones with the smallest hash of their id; everything is scored by executors.
 
 Defined cases: null or blank text scores as no words; labels that are null are
-ignored; without usable labels of both kinds every text gets grade 0; repeated
-rows are scored each; other columns are ignored.
+ignored; without usable labels of both kinds every text gets grade 0; an empty
+table gives no rows; repeated rows are scored each and count once in the fit;
+very long texts are scored whole, each word's count capped; of equally likely
+grades the lower one is given; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,20 +132,37 @@ def predict(w, theta, texts: list) -> np.ndarray:
     return np.diff(np.c_[np.zeros(len(texts)), upto, np.ones(len(texts))], axis=1)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """(text, toxic): ``fit_rows`` different texts at most, of the ``fit_rows`` labelled ids with the smallest hashes.
+
+    Both bounds are limits of an order, so they hold at any size; an id labelled twice is toxic if any label says so.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic"))
+    known = known.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = documents(docs).join(F.broadcast(known), "doc_id")  # at most ``fit_rows`` ids
+    # copies are no further evidence
+    texts = rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
+    return texts.orderBy(F.xxhash64("text"), "text").limit(fit_rows)
+
+
+def _featurer(batches):
+    for batch in batches:
+        slot, value, at = features(batch.column(0).to_pylist())
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (slot, value)]
+        yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], names=["slot", "value", "toxic"])
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000):
-    """(weights, thresholds) or None, from at most ``fit_rows`` labelled documents."""
-    known = labels.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")
-    ).where("toxic is not null and doc_id is not null")
-    share = fit_rows / max(1, known.count())
-    if share < 1:  # a hash of the id decides, so the same rows whatever the partitions
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = documents(docs).join(known, "doc_id").limit(2 * fit_rows).select("text", "toxic").toPandas()
-    rows = rows.drop_duplicates("text")  # copies are no further evidence
-    toxic = rows["toxic"].to_numpy(bool)
+    """(weights, thresholds) or None, from at most ``fit_rows`` labelled documents, whose features come to the driver."""
+    few = labelled(docs, labels, fit_rows)
+    rows = few.mapInArrow(in_pieces(_featurer), "slot array<int>, value array<float>, toxic boolean").collect()
+    toxic = np.array([r["toxic"] for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    slot, value, at = features(rows["text"].tolist())
+    at = np.cumsum([0, *[len(r["slot"]) for r in rows]])
+    slot = np.concatenate([np.array(r["slot"], np.int32) for r in rows])
+    value = np.concatenate([np.array(r["value"], np.float32) for r in rows])
     grade = grades(slot, value, at, toxic)
     return fit(*only(telling_slots(slot, at, toxic), slot, value, at), grade)
 

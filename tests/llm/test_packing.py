@@ -66,3 +66,22 @@ def test_best_fit_limits():
     bins = best_fit(items, limits, np.array([1.0, 0.1, 0.1]))
     for k in range(bins.max() + 1):
         assert (items[bins == k].sum(axis=0) <= limits).all() and (bins == k).any()
+
+
+def test_every_limit_can_bind(spark):
+    """Sequences stay under the cost and the document limit, and these decide how many there are."""
+    rows = [(i, "a " * 19) for i in range(120)]  # 20 tokens with the end id, a cost of 400
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    free = check(pack(df, path, capacity=400), rows, 400)
+    assert free.groupby("sequence_id").length.sum().max() == 400 and free.sequence_id.nunique() == 6
+    costly = check(pack(df, path, capacity=400, max_cost=2000.0), rows, 400)
+    cost = costly.assign(c=costly.length**2).groupby("sequence_id").c.sum()
+    assert cost.max() == 2000 and len(cost) == 24
+    few = check(pack(df, path, capacity=400, max_docs=3), rows, 400)
+    assert few.groupby("sequence_id").size().max() == 3 and few.sequence_id.nunique() == 40
+
+
+def test_short_texts_share_one_sequence(spark):
+    rows = [(i % 4000, None if i % 2 else "") for i in range(4096)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), path, max_docs=4096).toPandas()
+    assert got.sequence_id.nunique() == 1 and sorted(got.offset) == list(range(4096)) and (got.length == 1).all()
