@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,10 +16,15 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_QUERIES = 10_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows and bytes (as JSON text) are few."""
+def fits(df: DataFrame, times: int = 1) -> bool:
+    """Whether ``times`` as many rows as ``df`` has, and bytes (as JSON text), are few enough to be sent to every task."""
     size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
-    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES else df
+    return size["n"] * times <= BROADCAST_ROWS and (size["b"] or 0) * times <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows and bytes are few."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -41,11 +46,10 @@ def fields_of(text: Column) -> dict[str, Column]:
 
 
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(field, doc_id, tokens): one row per document and field that has tokens."""
+    """(field, doc_id, tokens): one row per document and field."""
     views = fields_of(F.col("text"))
     cells = [F.struct(F.lit(f).alias("field"), index_tokens(views[f]).alias("tokens")) for f in fields or ["all"]]
-    rows = docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("x.field", "doc_id", "x.tokens")
-    return rows.where(F.size("tokens") > 0)
+    return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("x.field", "doc_id", "x.tokens")
 
 
 def bm25(docs: DataFrame, topics: DataFrame, k: int, fields: list[str] | None = None, k1: float = X.K1, b: float = X.B) -> DataFrame:
@@ -57,50 +61,21 @@ def bm25(docs: DataFrame, topics: DataFrame, k: int, fields: list[str] | None =
     index = postings(docs, fields)
     size = index.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     terms = query_terms(topics)
-    asked = small(terms.select("term").distinct())
+    asked = terms.select("term").distinct()
+    few = fits(asked, len(fields or ["all"]))  # holds for a row per field and term, too
     tf = (
         index.select("field", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(asked, "term")
+        .join(F.broadcast(asked) if few else asked, "term")
         .groupBy("field", "term", "doc_id", "dl")
         .agg(F.count("*").alias("tf"))
     )
-    return _ranked(tf, size, terms, k, k1, b)
-
-
-def term_shard(term: Column, shards: Column) -> Column:
-    """Where a saved index keeps the postings of ``term``."""
-    return F.pmod(F.xxhash64(term), shards).cast("int")
-
-
-def query_terms(topics: DataFrame) -> DataFrame:
-    """topic_id, term, qtf."""
-    terms = topics.select("topic_id", F.explode(index_tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("topic_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def bm25_saved(
-    spark: SparkSession, path: str, topics: DataFrame, k: int, fields: list[str] | None = None, k1: float = X.K1, b: float = X.B
-) -> DataFrame:
-    """`bm25` from the index that `sinks.write_index` saved: no text is read, only the shards that hold the terms.
-
-    The shard numbers asked for come to the driver; there are at most as many as the index has shards.
-    """
-    size = spark.read.parquet(f"{path}/size").where(F.col("field").isin(fields or ["all"]))
-    terms = query_terms(topics)
-    first = size.select("shards").first()
-    shards = F.lit(first["shards"] if first else 1)
-    wanted = sorted(r["shard"] for r in terms.select(term_shard(F.col("term"), shards).alias("shard")).distinct().collect())
-    kept = spark.read.parquet(f"{path}/postings").where(F.col("field").isin(fields or ["all"]) & F.col("shard").isin(wanted))
-    tf = kept.drop("shard").join(small(terms.select("term").distinct()), "term").select("field", "term", "doc_id", "dl", "tf")
-    return _ranked(tf, size.drop("shards"), terms, k, k1, b)
-
-
-def _ranked(tf: DataFrame, size: DataFrame, terms: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    known = df.join(F.broadcast(size), "field")
     weighted = (
-        tf.join(df.join(F.broadcast(size), "field"), ["field", "term"])
+        # a frequent term's postings stay where they are
+        tf.join(F.broadcast(known) if few else known, ["field", "term"])
         .select("field", "term", "doc_id", weight.alias("w"))
         .join(small(terms), "term")
     )
@@ -108,6 +83,12 @@ def _ranked(tf: DataFrame, size: DataFrame, terms: DataFrame, k: int, k1: float,
     return top(scored, ["field", "topic_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def query_terms(topics: DataFrame) -> DataFrame:
+    """topic_id, term, qtf."""
+    terms = topics.select("topic_id", F.explode(index_tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("topic_id", "term").agg(F.count("*").alias("qtf"))
+
+
 def fuse(runs: DataFrame, k: int, weights: dict[str, float], rrf_k: int = X.RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion of runs (source, topic_id, doc_id, rank)."""
     weight = F.lit(0.0)

@@ -34,7 +34,7 @@ VIEWS = {
 def bm25(fields, k: int) -> str:
     """CTEs up to run(field, topic_id, doc_id, score, rank)."""
     index = " UNION ALL ".join(f"SELECT '{f}' AS field, doc_id, {tokens(VIEWS[f])} AS t FROM documents" for f in fields)
-    return f"""idx AS (SELECT * FROM ({index}) WHERE len(t) > 0),
+    return f"""idx AS (SELECT * FROM ({index})),
       size AS (SELECT field, count(*) AS n, avg(len(t)) AS avgdl FROM idx GROUP BY field),
       terms AS (SELECT topic_id, term, count(*) AS qtf FROM (SELECT item_id AS topic_id, unnest({tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
       tf AS (SELECT field, doc_id, dl, term, count(*) AS tf FROM (SELECT field, doc_id, len(t) AS dl, unnest(t) AS term FROM idx) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),

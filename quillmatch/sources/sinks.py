@@ -7,22 +7,14 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.operators.retrieval import postings, term_shard
+from quillmatch.operators import lexical
+from quillmatch.operators.retrieval import fields_of
 
 
-def write_index(docs: DataFrame, path: str, fields: list[str], shards: int = 64) -> None:
-    """Postings (term, doc_id, tf, dl) partitioned by field and term shard, and each field's size and shard count.
-
-    A search reads only the shards of its terms (`retrieval.bm25_saved`).  Ranges over term and document deal the
-    postings of a frequent term to several tasks.
-    """
-    rows = postings(docs, fields)
-    tf = rows.select("field", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    tf = tf.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf")).withColumn("shard", term_shard(F.col("term"), F.lit(shards)))
-    order = ("field", "shard", "term", "doc_id")
-    tf.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("field", "shard").parquet(f"{path}/postings")
-    size = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).withColumn("shards", F.lit(shards))
-    size.coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+def write_index(docs: DataFrame, path: str, fields: list[str]) -> None:
+    """The line views ``fields`` of ``docs`` as a saved lexical index (`operators.lexical`), searched by terms."""
+    views = fields_of(F.col("text"))
+    lexical.add(docs, path, {f: views[f] for f in fields})
 
 
 def write_metadata(trials: DataFrame, path: str) -> None:

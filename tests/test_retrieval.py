@@ -2,7 +2,9 @@
 
 import math
 
+from pyspark.sql import functions as F
 from quillmatch.functions import fixed as X
+from quillmatch.operators import lexical as L
 from quillmatch.operators import retrieval as R
 from quillmatch.plans import queries as Q
 from quillmatch.sources import sinks
@@ -44,13 +46,26 @@ def test_fielded_fuses_ranks_beyond_200(spark, tmp_path):
 
 
 def test_saved_index(spark, tmp_path):
-    """The saved index ranks like the scan, reads no text and only the shards of the terms."""
+    """The saved index ranks like the scan, reads no text and only the blocks of the terms."""
     docs, topics = Q.documents(spark, "/root/testdata/sf0.001"), Q.topics(spark, "/root/testdata/sf0.001").where("topic_id < 4")
+    docs = docs.unionByName(spark.createDataFrame([(10**6, ""), (10**6 + 1, None)], "doc_id long, text string"), allowMissingColumns=True)
     fields = ["condition_title", "eligibility"]
-    sinks.write_index(docs, str(tmp_path), fields, shards=8)
-    found = R.bm25_saved(spark, str(tmp_path), topics, 10, fields)
+    sinks.write_index(docs, str(tmp_path), fields)
+    each = lambda t: t.select("topic_id", "text", F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    found = L.search(spark, str(tmp_path), each(topics), 10)
     assert sorted(found.collect()) == sorted(R.bm25(docs, topics, 10, fields).collect())
-    one = spark.createDataFrame([(0, "melanoma"), (1, None)], "topic_id long, text string")
-    plan = R.bm25_saved(spark, str(tmp_path), one, 10, fields)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "shard" in plan.split("PartitionFilters")[1].split("]")[0] and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
-    assert R.bm25_saved(spark, str(tmp_path), one.where("text is null"), 10, fields).count() == 0
+    word = spark.read.parquet(f"{tmp_path}/lexicon").first().term
+    one = spark.createDataFrame([(0, word), (1, None)], "topic_id long, text string")
+    read, _ = L.hits(spark, str(tmp_path), L.asked_terms(each(one)))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert L.search(spark, str(tmp_path), each(one.where("text is null")), 10).count() == 0
+
+
+def test_frequent_terms_are_not_gathered(spark):
+    """Document frequencies meet the postings by broadcast: no task gets all postings of a term."""
+    docs = spark.createDataFrame([(k, "common word" if k % 2 else "common") for k in range(50)], "doc_id long, text string")
+    run = R.bm25(docs, spark.createDataFrame([(1, "common word")], "topic_id long, text string"), 5)
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 4
+    assert run.count() == 5
