@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import documents, in_pieces, mix
+from quillmatch.llm.common import binary_column, documents, in_pieces, mix
 
 SLOTS = 1 << 18
 GRADES = 4
@@ -149,20 +149,20 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
 def _featurer(batches):
     for batch in batches:
         slot, value, at = features(batch.column(0).to_pylist())
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (slot, value)]
-        yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], names=["slot", "value", "toxic"])
+        cut_up = [binary_column([x[a:b] for a, b in zip(at, at[1:])]) for x in (slot, value)]
+        yield pa.RecordBatch.from_arrays([*cut_up, batch.column(1)], names=["slot", "value", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000):
     """(weights, thresholds) or None, from at most ``fit_rows`` labelled documents, whose features come to the driver."""
     few = labelled(docs, labels, fit_rows)
-    rows = few.mapInArrow(in_pieces(_featurer), "slot array<int>, value array<float>, toxic boolean").collect()
+    rows = few.mapInArrow(in_pieces(_featurer), "slot binary, value binary, toxic boolean").collect()
     toxic = np.array([r["toxic"] for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    at = np.cumsum([0, *[len(r["slot"]) for r in rows]])
-    slot = np.concatenate([np.array(r["slot"], np.int32) for r in rows])
-    value = np.concatenate([np.array(r["value"], np.float32) for r in rows])
+    at = np.cumsum([0, *[len(r["slot"]) // 4 for r in rows]])
+    slot = np.frombuffer(b"".join([r["slot"] for r in rows]), np.int32)
+    value = np.frombuffer(b"".join([r["value"] for r in rows]), np.float32)
     grade = grades(slot, value, at, toxic)
     return fit(*only(telling_slots(slot, at, toxic), slot, value, at), grade)
 
