@@ -90,7 +90,8 @@ def stage_table(runs: DataFrame, topics: DataFrame, qrels: DataFrame, cutoffs: t
 
 def stage_means(stages: DataFrame) -> DataFrame:
     """stage, cutoff, the means over topics, and how many and which topics have no relevant or no eligible hit."""
-    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("judged", "relevant", "eligible", "unjudged", "recall_relevant", "recall_eligible", "judged_fraction")]
+    # shares have six places, so their mean may lie halfway between two roundings: a nudge keeps it on one side
+    means = [F.round(F.avg(c) + 1e-9, 6).alias(f"mean_{c}") for c in ("judged", "relevant", "eligible", "unjudged", "recall_relevant", "recall_eligible", "judged_fraction")]
     without = lambda c: F.sort_array(F.collect_list(F.when(F.col(c) == 0, F.col("topic_id"))))
     rows = stages.groupBy("stage", "cutoff").agg(*means, without("relevant").alias("zero_relevant"), without("eligible").alias("zero_eligible"))
     return rows.select("*", F.size("zero_relevant").alias("n_zero_relevant"), F.size("zero_eligible").alias("n_zero_eligible"))

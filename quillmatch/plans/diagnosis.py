@@ -98,7 +98,7 @@ def retrieval_audit(spark, sf_dir):
     return _audit(spark, sf_dir).stages
 
 
-_MEANS = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("judged", "relevant", "eligible", "unjudged", "recall_relevant", "recall_eligible", "judged_fraction"))
+_MEANS = ", ".join(f"round(avg({c}) + 1e-9, 6) AS mean_{c}" for c in ("judged", "relevant", "eligible", "unjudged", "recall_relevant", "recall_eligible", "judged_fraction"))
 
 
 @query(
