@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
-from quillmatch.functions.text import strip
+from quillmatch.functions.text import once, strip
 
 
 def any_of(text: Column, patterns) -> Column:
@@ -20,10 +20,15 @@ def bare_header(text: Column) -> Column:
 
 def is_header(text: Column) -> Column:
     """Headings by name, by reference, or short lines that end in a colon and demand nothing."""
-    bare = bare_header(F.coalesce(text, F.lit("")))
-    low = strip(F.regexp_replace(F.lower(bare), ":+$", ""))
-    short = bare.endswith(":") & (F.regexp_count(low, F.lit(X.HEADER_WORD)) <= 8) & ~low.rlike(X.HEADER_NOT)
-    return (bare != "") & (low.isin(list(X.HEADER_HINTS)) | any_of(low, X.HEADER_REFERENCES) | short)
+
+    def judged(bare: Column) -> Column:
+        def by_name(low: Column) -> Column:
+            short = bare.endswith(":") & (F.regexp_count(low, F.lit(X.HEADER_WORD)) <= 8) & ~low.rlike(X.HEADER_NOT)
+            return (bare != "") & (low.isin(list(X.HEADER_HINTS)) | any_of(low, X.HEADER_REFERENCES) | short)
+
+        return once(strip(F.regexp_replace(F.lower(bare), ":+$", "")), by_name)
+
+    return once(bare_header(F.coalesce(text, F.lit(""))), judged)
 
 
 def header_action(text: Column) -> Column:
@@ -31,12 +36,23 @@ def header_action(text: Column) -> Column:
     return F.when(is_header(text), F.when(any_of(low, X.HEADER_DROP), "drop").otherwise("merge"))
 
 
+def padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+
+def is_section_header(text: Column) -> Column:
+    """Whether ``criterion_type`` is section_header, without trying the patterns of other types."""
+    return is_header(text) | any_of(padded(text), [p for name, patterns in X.CRITERION_TYPES if name == "section_header" for p in patterns])
+
+
 def criterion_type(text: Column) -> Column:
-    low = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    out = F.when(is_header(text), "section_header")
-    for name, patterns in X.CRITERION_TYPES:
-        out = out.when(any_of(low, patterns), name)
-    return out.otherwise("other")
+    def typed(low: Column) -> Column:
+        out = F
+        for name, patterns in X.CRITERION_TYPES:
+            out = out.when(any_of(low, patterns), name)
+        return out.otherwise("other")
+
+    return F.when(is_header(text), "section_header").otherwise(once(padded(text), typed))
 
 
 def question_type(text: Column) -> Column:

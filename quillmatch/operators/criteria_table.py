@@ -71,10 +71,10 @@ def segment(trials: DataFrame, header_policy: bool = True) -> DataFrame:
     """trial, polarity, n, id (``i_1``, ``e_1``, gaps where a heading went), type, text, annotated, has_negation."""
     texts = sides(trials)
     rows = merged(chunks(texts)).where("n is not null") if header_policy else legacy_chunks(texts, ["trial", "polarity"])
+    if header_policy:  # not by the type: a filter on it would try all patterns twice
+        rows = rows.where(~C.is_section_header(F.col("chunk")))
     kind = C.criterion_type(F.col("chunk"))
     rows = rows.select("trial", "polarity", "n", F.col("chunk").alias("text"), kind.alias("type"))
-    if header_policy:
-        rows = rows.where("type <> 'section_header'")
     text = F.col("text")
     return rows.select(
         "trial",
@@ -91,7 +91,7 @@ def segment(trials: DataFrame, header_policy: bool = True) -> DataFrame:
 def segment_counts(trials: DataFrame) -> DataFrame:
     """trial, section_headers_merged, section_headers_dropped."""
     rows = merged(chunks(sides(trials)))
-    late = (F.col("n").isNotNull() & (C.criterion_type(F.col("chunk")) == "section_header")).cast("int")
+    late = (F.col("n").isNotNull() & C.is_section_header(F.col("chunk"))).cast("int")
     return rows.groupBy("trial").agg(
         F.sum("headers").alias("section_headers_merged"), F.sum(F.col("dropped") + late).alias("section_headers_dropped")
     )
