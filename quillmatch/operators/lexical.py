@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import fixed as X
 from quillmatch.functions.text import index_tokens, once
-from quillmatch.operators.lineage import cut
-from quillmatch.operators.retrieval import fuse, small, top
+from quillmatch.operators.lineage import cut, kept
+from quillmatch.operators.nearest import hit_scores
+from quillmatch.operators.retrieval import fits, fuse, small, top
 from quillmatch.sources import folders
 
 _DOCS = "doc_id long, digest string, lens array<int>, generation int"
@@ -78,21 +79,25 @@ def add(docs: DataFrame, path: str, views: dict[str, Column], removed: DataFrame
     for name in ("docs", "postings", "lexicon"):  # what an addition that died has left
         folders.remove(spark, f"{path}/{name}/generation={new}")
     tokens = F.array(*[index_tokens(F.coalesce(v, F.lit(""))) for v in views.values()])
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(views).alias("digest"), tokens.alias("tokens")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(views).alias("digest"), tokens.alias("tokens"))
+    # each text is tokenised once; the terms of a document with their counts are what all the rest is made of
+    counts = F.transform("tokens", lambda t: once(counted(t), lambda c: F.struct(F.size(t).alias("dl"), c["term"].alias("term"), c["tf"].alias("tf"))))
+    rows = kept(rows.select("doc_id", "digest", counts.alias("fields")))
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         raise ValueError("an addition holds a doc_id twice")
-    told = rows.select("doc_id", "digest", F.transform("tokens", F.size).alias("lens"))
+    told = rows.select("doc_id", "digest", F.col("fields.dl").alias("lens"))
     if removed is not None:
         gone = removed.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(told, "doc_id", "left_anti")
         told = told.unionAll(gone.select("doc_id", F.lit(None).cast("string"), F.lit(None).cast("array<int>")))
     told.write.parquet(f"{path}/docs/generation={new}")
-    cells = rows.select("doc_id", F.posexplode("tokens").alias("place", "tokens")).where(F.size("tokens") > 0)
-    names = F.array(*map(F.lit, fields))
-    found = cells.select(F.get(names, F.col("place")).alias("field"), "doc_id", F.size("tokens").alias("dl"), F.inline(counted(F.col("tokens"))))
-    found = cut(found.select("field", "term", "doc_id", "tf", "dl"))
-    blocks, order = max(1, -(-found.count() // block_rows)), ("field", "term", "doc_id")
+    cells = rows.select("doc_id", F.posexplode("fields").alias("place", "x"))
+    found = cells.select(F.col("place").cast("short").alias("place"), "doc_id", F.col("x.dl").alias("dl"), F.inline(F.arrays_zip("x.term", "x.tf")))
+    found = found.select("place", "term", "doc_id", "tf", "dl")
+    n = rows.agg(F.coalesce(F.sum(F.aggregate("fields", F.lit(0).cast("long"), lambda s, x: s + F.size(x["term"]))), F.lit(0)).alias("n")).first().n
+    blocks, order, names = max(1, -(-n // block_rows)), ("place", "term", "doc_id"), F.array(*map(F.lit, fields))
     dealt = found.repartitionByRange(int(blocks), *order).sortWithinPartitions(*order)
-    dealt.withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(f"{path}/postings/generation={new}")
+    dealt = dealt.select(F.get(names, F.col("place").cast("int")).alias("field"), "term", "doc_id", "tf", "dl", F.spark_partition_id().alias("block"))
+    dealt.write.partitionBy("block").parquet(f"{path}/postings/generation={new}")
     written = spark.read.schema(_POSTINGS.replace(", generation int", "")).parquet(f"{path}/postings/generation={new}")
     lexicon = written.groupBy("field", "term").agg(F.count("*").alias("df"), F.min("block").alias("first"), F.max("block").alias("last"))
     lexicon.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/lexicon/generation={new}")
@@ -170,10 +175,15 @@ def search(
     size = _table(spark, path, "size", _SIZE, known).where(F.col("generation") == last)
     size = size.select("field", "n", F.try_divide("tokens", "n").alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # a row per topic and term
-    weighted = small(cut(terms.join(df, ["field", "term"]).join(F.broadcast(size), "field").select("topic_id", "field", "term", (F.col("qtf") * idf).alias("w"), "avgdl")))
-    gain = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(weighted, ["field", "term"]).groupBy("field", "topic_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"))
+    known_terms = cut(df.join(F.broadcast(size), "field").select("field", "term", idf.alias("idf"), "avgdl"))
+    if fits(terms) and terms.schema["topic_id"].dataType.typeName() in ("long", "integer", "string"):
+        uses = terms.groupBy("field", "term").agg(F.collect_list(F.struct("topic_id", "qtf")).alias("asked"))
+        scored = hit_scores(found, known_terms.join(F.broadcast(uses), ["field", "term"]), k, k1, b)
+    else:
+        # a row per topic and term
+        weighted = terms.join(known_terms, ["field", "term"]).select("topic_id", "field", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
+        gain = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = found.join(weighted, ["field", "term"]).groupBy("field", "topic_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"))
     run = top(scored, ["field", "topic_id"], [F.desc("score"), F.asc("doc_id")], k)
     return _filled(run, queries, live(spark, path), k) if fill else run
 
