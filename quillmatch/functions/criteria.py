@@ -98,13 +98,19 @@ def triage_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(X.TRIAGE_STOPWORDS)))
 
 
-def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column, terms: Column, typed: Column | None = None) -> Column:
+def triage_facts(text: Column) -> dict[str, Column]:
+    """name: all that triage reads off a criterion's text alone."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    signals = {f"signal_{i}": low.rlike(p) for i, (p, _) in enumerate(X.TRIAGE_WORDS)}
+    return {"words": triage_terms(low), **signals, "admin": any_of(low, X.TRIAGE_ADMIN), "broad": low.rlike(X.TRIAGE_BROAD)}
+
+
+def triage_score(facts: dict[str, Column], kind: Column, polarity: Column, mandatory: Column, terms: Column, typed: Column | None = None) -> Column:
     """How much a criterion tells: base by type, raised by signals, lowered for administration, 0 at least.
 
-    ``typed``: whether the criterion has a predicate.
+    ``facts`` as of `triage_facts`; ``typed``: whether the criterion has a predicate.
     """
     typed = F.lit(False) if typed is None else typed
-    low = F.lower(F.coalesce(text, F.lit("")))
     base = F
     for k, v in X.TRIAGE_BASE.items():
         base = base.when(kind == k, F.lit(v))
@@ -116,19 +122,18 @@ def triage_score(text: Column, kind: Column, polarity: Column, mandatory: Column
         + add(exclusion & kind.isin(list(X.TRIAGE_STRONG_EXCLUSIONS)), 0.8)
         + add(mandatory, 0.3)
         + add(typed, 0.4)
-        + F.least(F.lit(3.0), 0.7 * F.size(F.array_intersect(terms, triage_terms(low))))
+        + F.least(F.lit(3.0), 0.7 * F.size(F.array_intersect(terms, facts["words"])))
     )
-    for pattern, v in X.TRIAGE_WORDS:
-        score = score + add(low.rlike(pattern), v)
-    score = score - add(any_of(low, X.TRIAGE_ADMIN), 3.5) - add(low.rlike(X.TRIAGE_BROAD), 0.6)
+    for i, (_, v) in enumerate(X.TRIAGE_WORDS):
+        score = score + add(facts[f"signal_{i}"], v)
+    score = score - add(facts["admin"], 3.5) - add(facts["broad"], 0.6)
     return F.greatest(score, F.lit(0.0))
 
 
-def triage_reasons(text: Column, kind: Column, polarity: Column, mandatory: Column, terms: Column, typed: Column) -> Column:
+def triage_reasons(facts: dict[str, Column], kind: Column, polarity: Column, mandatory: Column, terms: Column, typed: Column) -> Column:
     """What raised or lowered `triage_score`, in order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     exclusion = polarity == "exclusion"
-    matched = F.array_sort(F.array_intersect(terms, triage_terms(low)))
+    matched = F.array_sort(F.array_intersect(terms, facts["words"]))
     names = ("disease_severity", "molecular_status", "functional_status")
     return F.array_compact(
         F.array(
@@ -138,9 +143,9 @@ def triage_reasons(text: Column, kind: Column, polarity: Column, mandatory: Colu
             F.when(mandatory, "mandatory"),
             F.when(typed, "typed_predicate"),
             F.when(F.size(matched) > 0, F.concat(F.lit("patient_match:"), F.array_join(F.slice(matched, 1, 4), ","))),
-            *[F.when(low.rlike(p), name) for name, (p, _) in zip(names, X.TRIAGE_WORDS)],
-            F.when(any_of(low, X.TRIAGE_ADMIN), "administrative_penalty"),
-            F.when(low.rlike(X.TRIAGE_BROAD), "broad_organ_function"),
+            *[F.when(facts[f"signal_{i}"], name) for i, name in enumerate(names)],
+            F.when(facts["admin"], "administrative_penalty"),
+            F.when(facts["broad"], "broad_organ_function"),
         )
     )
 

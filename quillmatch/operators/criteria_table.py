@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmatch.functions import criteria as C
 from quillmatch.functions import fixed as X
 from quillmatch.functions import text as T
+from quillmatch.operators.retrieval import fits
 
 SENTENCE = r"(?<=[.;])\s+(?=[A-Z])"
 LEGACY = r"\n\s*(?:[-*•·]|\d+\.)\s*|\n\s*\n"
@@ -142,22 +143,37 @@ def coerced(json: Column) -> Column:
     return T.once(raw, build)
 
 
-def triaged(criteria: DataFrame, terms: Column, most: int) -> DataFrame:
+def with_facts(criteria: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``criteria`` with `triage_facts` and text_type of each text; where the different texts are few (counted), each is read once.
+
+    ``texts``: rows that hold every text of ``criteria``, where there are some that take less work.
+    """
+    facts = C.triage_facts(F.col("text")) | {"text_type": C.criterion_type(F.col("text"))}
+    cells = [f.alias(name) for name, f in facts.items()]
+    texts = (criteria if texts is None else texts).select("text").distinct()
+    if not fits(texts, 3):  # a text's words take about as much again
+        return criteria.select("*", *cells)
+    known = texts.select(F.col("text").alias("_text"), *cells)
+    return criteria.join(F.broadcast(known), F.col("text").eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+def triaged(criteria: DataFrame, terms: Column, most: int, texts: DataFrame | None = None) -> DataFrame:
     """``criteria`` with score, reasons, selected, and the place among the five best that were dropped.
 
-    ``criteria``: trial, pos, polarity, type, text, mandatory, typed.  At most ``most`` of a trial are selected (all if
-    ``most`` is 0): half of each polarity (rounded up for inclusions; all if there are no exclusions), by score, then
-    the best of the rest.
+    ``criteria``: trial, pos, polarity, type, text, mandatory, typed; ``texts`` as of `with_facts`.  At most ``most`` of a
+    trial are selected (all if ``most`` is 0): half of each polarity (rounded up for inclusions; all if there are no
+    exclusions), by score, then the best of the rest.
     """
     c = F.col
-    kind = F.when(c("type") == "other", C.criterion_type(c("text"))).otherwise(c("type"))
-    rows = criteria.withColumn("type", kind)
-    args = (c("text"), c("type"), c("polarity"), c("mandatory"), terms, c("typed"))
+    rows = with_facts(criteria, texts).withColumn("type", F.when(c("type") == "other", c("text_type")).otherwise(c("type")))
+    args = ({name: c(name) for name in C.triage_facts(c("text"))}, c("type"), c("polarity"), c("mandatory"), terms, c("typed"))
     rows = rows.withColumn("score", F.round(C.triage_score(*args), 6)).withColumn("reasons", C.triage_reasons(*args))
+    rows = rows.select(*criteria.columns, "score", "reasons")
     whole = W.partitionBy("trial")
     best = [F.desc("score"), F.asc("pos")]
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("trial", "polarity").orderBy(*best)))
-    rows = rows.withColumn("n_exc", F.count_if(c("polarity") == "exclusion").over(whole)).withColumn("n_all", F.count("*").over(whole))
+    # dealt and sorted once for the first two windows: a count that reads nth stays behind its sort
+    rows = rows.repartition("trial").withColumn("nth", F.row_number().over(W.partitionBy("trial", "polarity").orderBy(*best)))
+    rows = rows.withColumn("n_exc", F.count(F.when(c("polarity") == "exclusion", c("nth"))).over(whole)).withColumn("n_all", F.count("nth").over(whole))
     quota = F.when(c("n_exc") > 0, (most + 1) // 2).otherwise(most)
     first = F.when(c("polarity") == "inclusion", c("nth") <= quota).otherwise(c("nth") <= most - quota)
     rows = rows.withColumn("turn", F.row_number().over(whole.orderBy(F.when(first, 0).otherwise(1), *best)))
