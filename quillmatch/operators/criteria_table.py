@@ -171,9 +171,9 @@ def triaged(criteria: DataFrame, terms: Column, most: int, texts: DataFrame | No
     rows = rows.select(*criteria.columns, "score", "reasons")
     whole = W.partitionBy("trial")
     best = [F.desc("score"), F.asc("pos")]
-    # dealt and sorted once for the first two windows: a count that reads nth stays behind its sort
-    rows = rows.repartition("trial").withColumn("nth", F.row_number().over(W.partitionBy("trial", "polarity").orderBy(*best)))
-    rows = rows.withColumn("n_exc", F.count(F.when(c("polarity") == "exclusion", c("nth"))).over(whole)).withColumn("n_all", F.count("nth").over(whole))
+    # by trial first: rows dealt by trial need not move again for its polarities
+    rows = rows.withColumn("n_exc", F.count_if(c("polarity") == "exclusion").over(whole)).withColumn("n_all", F.count("*").over(whole))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("trial", "polarity").orderBy(*best)))
     quota = F.when(c("n_exc") > 0, (most + 1) // 2).otherwise(most)
     first = F.when(c("polarity") == "inclusion", c("nth") <= quota).otherwise(c("nth") <= most - quota)
     rows = rows.withColumn("turn", F.row_number().over(whole.orderBy(F.when(first, 0).otherwise(1), *best)))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from quillmatch.operators import criteria_table as K
+from quillmatch.plans import matching as N
 from quillmatch.plans import queries as Q
 
 
@@ -26,3 +27,8 @@ def test_texts_are_read_once(spark, monkeypatch):
     assert len(got) == 240 and sum("selected=True" in r for r in got) == 120
     monkeypatch.setattr(K, "fits", lambda *a: False)
     assert sorted(map(str, K.triaged(criteria, terms, 3).collect())) == got
+
+
+def test_evaluations_are_dealt_once(spark):
+    _, dealt = plans(N.triage_diagnostics(spark, "/root/testdata/sf0.001"))
+    assert sum("Exchange hashpartitioning(trial" in line for line in dealt) == 1
